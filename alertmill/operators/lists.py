@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -62,14 +64,9 @@ def delete_outcomes(
         .otherwise(F.lit(NOT_FOUND))
     )
     # Null-safe on the id, so that a request without one still gets its answer.
-    keyed = [deletes[k].eqNullSafe(found[k]) for k in key]
-    on = keyed[0]
-    for condition in keyed[1:]:
-        on = on & condition
-    columns = [deletes[c] for c in deletes.columns]
-    return deletes.join(found, on, "left").select(
-        *columns, "_first", "_known"
-    ).withColumn("status", status).drop("_first", "_known")
+    found = found.select(*[F.col(k).alias(f"_{k}") for k in key], "_first", "_known")
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    return deletes.join(found, on, "left").withColumn("status", status).select(*deletes.columns, "status")
 
 
 def list_sizes(items: DataFrame, as_of: Column, names: DataFrame | None = None) -> DataFrame:
