@@ -147,7 +147,8 @@ def alert_render(spark, sf):
     to = F.when(F.col("host").cast("int") % 3 == 0, F.concat(F.lit("-100"), F.col("host"))).otherwise(
         F.when(F.col("host").cast("int") % 3 == 1, F.lit("0")).otherwise(F.concat(F.lit("@"), F.col("host")))
     )
-    return outbox.alerts(msgs, to, fx.message_text("timestamp", "host", "msg"), keep=["id"])
+    rows = outbox.alerts(msgs, to, fx.message_text("timestamp", "host", "msg"), keep=["id"])
+    return rows.withColumn("chat_id", F.col("chat_id").cast("string"))
 
 
 def alert_html(spark, sf):
@@ -177,7 +178,7 @@ def list_upload(spark, sf):
     spoiled = F.when(F.col("list_name") == "view", F.replace(fields, F.lit("}"), F.lit("]"))).otherwise(fields)
     posted = tb.list_adds(spark, sf).select("list_name", "ts", "seq", spoiled.alias("body"))
     done = lists.upload_outcomes(posted, ["ts", "seq"])
-    return done.select("seq", "list_name", "pattern", "id", tb.ntz("expired_at").alias("expired_at"), "status")
+    return done.select("seq", "list_name", "pattern", F.col("id").cast("string").alias("id"), tb.ntz("expired_at").alias("expired_at"), "status")
 
 
 def list_active(spark, sf):
@@ -255,7 +256,7 @@ def duration_parse(spark, sf):
     return parts.select("p_partkey", text.alias("duration")).select(
         "p_partkey",
         "duration",
-        seconds.alias("seconds"),
+        seconds.cast("string").alias("seconds"),
         fx.expiry(start, seconds).cast("timestamp_ntz").alias("expired_at"),
         fx.duration_error("duration").alias("reply"),
     )
@@ -319,7 +320,8 @@ def device_search_status(spark, sf):
 
 
 def device_search_json(spark, sf):
-    return inventory.search_documents(tb.devices(spark, sf), _device_queries(spark))
+    answers = inventory.search_documents(tb.devices(spark, sf), _device_queries(spark))
+    return answers.withColumn("page", F.col("page").cast("string"))
 
 
 def device_by_brand(spark, sf):
@@ -351,7 +353,7 @@ def device_file_load(spark, sf):
 
 def line_file_load(spark, sf):
     path = new_table_path(spark, "lines")
-    tb.document_lines(spark, sf).select("value").coalesce(1).write.text(path)
+    tb.document_lines(spark, sf).orderBy("line_no").select("value").write.text(path)
     return read_lines(spark, path).select("line_no", "value")
 
 
