@@ -124,9 +124,9 @@ def previous_rows(
     frame = Window.partitionBy("_block").orderBy("_rank").rowsBetween(-k, -1)
     keys = F.struct(*[F.col(c) for c in partition]) if partition else F.lit(0)
     entry = F.struct(keys.alias("k"), value.alias("v"))
-    spread = spread.withColumn("_prev", F.collect_list(entry).over(frame)).where(F.col("_block") == block)
-    same = F.filter("_prev", lambda e: e.getField("k").eqNullSafe(keys))
-    return spread.withColumn(out, F.transform(same, lambda e: e.getField("v"))).drop("_prev", "_block", "_rank")
+    spread = spread.withColumn("_window", F.collect_list(entry).over(frame)).where(F.col("_block") == block)
+    same = F.filter("_window", lambda e: e.getField("k").eqNullSafe(keys))
+    return spread.withColumn(out, F.transform(same, lambda e: e.getField("v"))).drop("_window", "_block", "_rank")
 
 
 def running_start(

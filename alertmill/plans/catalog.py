@@ -199,7 +199,7 @@ def list_delete(spark, sf):
 
 def list_remaining(spark, sf):
     items, deletes = _split_adds(spark, sf)
-    late = deletes.where("value >= 40")
+    late = deletes.where("value >= 60 and list_name <> 'view'")
     return lists.remove_items(items, late).select("list_name", "id", "pattern")
 
 
@@ -233,7 +233,7 @@ def list_gc(spark, sf):
 
 
 def list_gc_empty(spark, sf):
-    adds = tb.list_adds(spark, sf).withColumn("list_name", F.concat_ws(":", "list_name", F.date_format("ts", "yyyy-MM-dd")))
+    adds = tb.list_adds(spark, sf).withColumn("list_name", F.concat_ws(":", "list_name", "pattern", F.date_format("ts", "yyyy-MM-dd")))
     return lists.empty_lists(adds, F.lit("2024-01-20 00:00:00").cast("timestamp"))
 
 

@@ -216,7 +216,7 @@ k AS (SELECT DISTINCT list_name, id FROM adds WHERE value < 20)
 SELECT seq, d.id, CASE WHEN d.id = 0 THEN 'bad_request' WHEN k.id IS NOT NULL AND row_number() OVER (PARTITION BY d.list_name, d.id ORDER BY ts, seq) = 1 THEN 'ok' ELSE 'not_found' END AS status
 FROM d LEFT JOIN k ON k.list_name = d.list_name AND k.id = d.id""",
     "list_remaining": f"""WITH {_ADDS}, f AS ({_FIRSTS.format('(SELECT * FROM adds WHERE value < 20)')})
-SELECT list_name, id, pattern FROM f WHERE NOT EXISTS (SELECT 1 FROM adds d WHERE d.value >= 40 AND d.list_name = f.list_name AND d.id = f.id)""",
+SELECT list_name, id, pattern FROM f WHERE NOT EXISTS (SELECT 1 FROM adds d WHERE d.value >= 60 AND d.list_name <> 'view' AND d.list_name = f.list_name AND d.id = f.id)""",
     "list_state_fold": f"{_STEPS} SELECT list_name, id, pattern, expired_at FROM (SELECT *, max(rn) OVER (PARTITION BY list_name, id) AS last FROM steps) WHERE rn = last AND present",
     "list_command_outcomes": f"{_STEPS} SELECT seq, status FROM steps",
     "list_snapshot_json": f"""WITH {_ADDS}, f AS ({_FIRSTS.format('adds')})
@@ -225,7 +225,7 @@ SELECT list_name, 0::BIGINT AS page, '{{' || string_agg('"' || id || '":' || {_I
     "list_text": f"""WITH {_ADDS}, f AS ({_FIRSTS.format('adds')})
 SELECT list_name, 0::BIGINT AS page, string_agg(id || ':' || pattern || ':' || replace(rtrim({_RFC}, 'Z'), 'T', ' ') || ' +0000 UTC' || chr(10), '' ORDER BY id) AS body FROM f GROUP BY list_name""",
     "list_gc": f"WITH {_ADDS} SELECT list_name, count(*) FILTER (WHERE expired_at IS NULL OR expired_at >= TIMESTAMP '{AS_OF}') AS n_live, count(*) AS n_items FROM adds GROUP BY list_name",
-    "list_gc_empty": f"""WITH {_ADDS} SELECT list_name || ':' || strftime(ts, '%Y-%m-%d') AS list_name FROM adds GROUP BY 1
+    "list_gc_empty": f"""WITH {_ADDS} SELECT list_name || ':' || pattern || ':' || strftime(ts, '%Y-%m-%d') AS list_name FROM adds GROUP BY 1
 HAVING count(*) FILTER (WHERE expired_at IS NULL OR expired_at >= TIMESTAMP '2024-01-20 00:00:00') = 0""",
     "list_patterns": "SELECT DISTINCT props AS pattern FROM events WHERE event_type = 'error'",
     "duration_parse": f"""
