@@ -152,7 +152,7 @@ def flag_matches(df: DataFrame, text: str, patterns: PatternSet, out: str = "mat
     hit = []
     for i in range(patterns.n_parts):
         part = patterns.part(i)
-        hit.append(part.where(F.col("_text").outer().rlike(F.col("java"))).exists())
+        hit.append(part.where(F.rlike(F.col("_text").outer(), F.col("java"))).exists())
     return flagged.withColumn(out, _any(hit)).drop("_text") if hit else flagged.drop("_text")
 
 
@@ -161,7 +161,7 @@ def drop_matching(df: DataFrame, text: str, patterns: PatternSet) -> DataFrame:
     if patterns.parts is None:
         return df.where(~matches_any(text, patterns)) if patterns.literals else df
     for i in range(patterns.n_parts):
-        df = df.join(patterns.part(i), F.coalesce(df[text], F.lit("")).rlike(F.col("java")), "left_anti")
+        df = df.join(patterns.part(i), F.rlike(F.coalesce(df[text], F.lit("")), F.col("java")), "left_anti")
     return df
 
 
@@ -176,7 +176,7 @@ def route_matches(df: DataFrame, text: str, patterns: PatternSet) -> DataFrame:
     """Inner fan-out: one row per matching pattern with ``route`` and ``pattern``."""
     if patterns.parts is not None:
         joined = [
-            df.join(patterns.part(i), F.coalesce(df[text], F.lit("")).rlike(F.col("java"))).drop("java")
+            df.join(patterns.part(i), F.rlike(F.coalesce(df[text], F.lit("")), F.col("java"))).drop("java")
             for i in range(patterns.n_parts)
         ]
         return reduce(DataFrame.unionByName, joined)

@@ -11,10 +11,11 @@ from alertmill.schemas import DEVICE
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _H = "[0-9A-Fa-f]{1,4}"
-# Full form, or one "::" with at most seven groups around it; the last two may be an IPv4 address.
+_SHORT = rf"(?:{_H}(?::{_H})*)?::"
+# Full form, or one "::" with at most seven groups beside it; an IPv4 address can stand for the last two.
 _V6 = (
-    rf"(?=[^.]*\z)(?:(?:{_H}:){{7}}{_H}|(?!(?:[^:]*:){{8}}[^:])(?:{_H}(?::{_H})*)?::(?:{_H}(?::{_H})*)?)"
-    rf"|(?:{_H}:){{6}}{_V4}|(?!(?:[^:]*:){{7}}[^:])(?:{_H}(?::{_H})*)?::(?:{_H}:)*{_V4}"
+    rf"(?:{_H}:){{7}}{_H}|(?!:*(?:{_H}(?::+|\z)){{8}}){_SHORT}(?:{_H}(?::{_H})*)?"
+    rf"|(?:{_H}:){{6}}{_V4}|(?!:*(?:{_H}:+){{6}}){_SHORT}(?:{_H}:)*{_V4}"
 )
 
 
