@@ -115,11 +115,23 @@ def search_batch(devices: DataFrame, queries: DataFrame, plans: DataFrame | None
     return by_pair.select(*out).unionByName(everything.select(*out))
 
 
+def _query_text(q: Column) -> Column:
+    return F.to_json(F.array_sort(F.map_entries(q)))
+
+
 def search_status(devices: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, status, n_found``; an ``ok`` query may have found nothing."""
-    plans = query_plans(devices, queries)
-    found = search_batch(devices, queries, plans).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found"))
-    return plans.select("query_id", "status").join(found, "query_id", "left").na.fill(0, ["n_found"])
+    """``query_id, status, n_found``; an ``ok`` query may have found nothing.
+
+    Identical queries are looked up once.
+    """
+    asked = queries.select("query_id", "q", _query_text(F.col("q")).alias("_text"))
+    distinct = asked.groupBy("_text").agg(F.any_value("q").alias("q")).select(F.col("_text").alias("query_id"), "q")
+    plans = query_plans(devices, distinct.where("query_id is not null"))
+    found = search_batch(devices, distinct, plans).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found"))
+    answers = plans.select("query_id", "status").join(found, "query_id", "left").withColumnRenamed("query_id", "_text")
+    return asked.join(answers, "_text", "left").select(
+        "query_id", F.coalesce("status", F.lit(BAD_REQUEST)).alias("status"), F.coalesce("n_found", F.lit(0)).alias("n_found")
+    )
 
 
 def attribute_counts(devices: DataFrame) -> DataFrame:

@@ -87,10 +87,21 @@ def live_texts(samples: Column, now_us: Column, lifetime_s: int = LIFETIME_S) ->
 
 
 def min_distance(ring: Column | str, text: Column | str) -> Column:
-    """Smallest edit distance to the ring, -1 when the ring is empty."""
+    """Smallest edit distance to the ring, -1 when the ring is empty.
+
+    Samples are tried from the newest; each only has to beat the best so far,
+    and a distance beyond that bound is not worked out in full.
+    """
     ring = F.col(ring) if isinstance(ring, str) else ring
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return F.coalesce(F.array_min(F.transform(ring, lambda r: F.levenshtein(r, text))), F.lit(-1))
+
+    def closer(best: Column, sample: Column) -> Column:
+        bounded = F.call_function("levenshtein", sample, text, best - 1)
+        return (
+            F.when(best < 0, F.levenshtein(sample, text)).when(best == 0, best).otherwise(F.when(bounded >= 0, bounded).otherwise(best))
+        )
+
+    return F.aggregate(F.reverse(ring), F.lit(-1), closer)
 
 
 def is_new(ring: Column | str, text: Column | str, threshold: int = THRESHOLD, on_empty: str = "suppress") -> Column:

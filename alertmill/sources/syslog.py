@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,24 +38,26 @@ def parse_syslog(df: DataFrame, payload: str = "payload", lenient: bool = False)
         reason = F.when(F.col("_m").isNull(), F.lit(NOT_ONE_DOCUMENT)).alias("reject_reason")
         return out.select("*", *fields, reason).drop("_m")
 
-    doc = F.try_parse_json(_wrapped(F.col(payload)))
-    # One-row generators keep later filters from copying the parse below themselves.
-    out = df.select("*", F.explode(F.array(doc)).alias("_v"))
-    root = F.schema_of_variant(F.try_variant_get("_v", "$[0][0]", "variant"))
-    one = (F.try_variant_get("_v", "$[1]", "string") == F.md5(F.col(payload).cast("binary"))) & F.try_variant_get(
-        "_v", "$[0][1]", "variant"
-    ).isNull()
-    kinds = [F.schema_of_variant(F.try_variant_get("_v", f"$[0][0].{name}", "variant")) for name in SYSLOG_FIELDS]
-    typed = F.lit(True)
-    for kind in kinds:
-        typed = typed & F.coalesce(kind.isin("STRING", "VOID"), F.lit(True))
+    # One-row generators: later filters stay above them, so each step is done once.
+    out = df.select("*", F.explode(F.array(F.try_parse_json(_wrapped(F.col(payload))))).alias("_v"))
+    mark = F.try_variant_get("_v", "$[1]", "string")
+    second = F.try_variant_get("_v", "$[0][1]", "variant")
+    root = F.try_variant_get("_v", "$[0][0]", "variant")
+    head = F.struct(mark.alias("_mark"), second.isNull().alias("_single"), root.alias("_root"))
+    out = out.select(*df.columns, F.inline(F.array(head)))
+    whole = F.coalesce((F.col("_mark") == F.md5(F.col(payload).cast("binary"))) & F.col("_single"), F.lit(False))
+    values = [F.try_variant_get("_root", f"$.{name}", "variant").alias(f"_{name}") for name in SYSLOG_FIELDS]
+    parts = F.struct(whole.alias("_whole"), F.schema_of_variant("_root").substr(1, 7).alias("_kind"), *values)
+    out = out.select(*df.columns, F.inline(F.array(parts)))
+
+    wrong = reduce(or_, [~F.schema_of_variant(f"_{name}").isin("STRING", "VOID") for name in SYSLOG_FIELDS])
+    kind = F.col("_kind")
     reason = (
-        F.when(~F.coalesce(one, F.lit(False)) | root.isNull(), F.lit(NOT_ONE_DOCUMENT))
-        .when(root == "VOID", F.lit(None).cast("string"))
-        .when(~root.startswith("OBJECT<"), F.lit(NOT_AN_OBJECT))
-        .when(~typed, F.lit(WRONG_FIELD_TYPE))
+        F.when(~F.col("_whole") | kind.isNull(), F.lit(NOT_ONE_DOCUMENT))
+        .when((kind != "OBJECT<") & (kind != "VOID"), F.lit(NOT_AN_OBJECT))
+        .when(F.coalesce(wrong, F.lit(False)), F.lit(WRONG_FIELD_TYPE))
     )
-    fields = [F.try_variant_get("_v", f"$[0][0].{name}", "string").alias(name) for name in SYSLOG_FIELDS]
+    fields = [F.try_variant_get(f"_{name}", "$", "string").alias(name) for name in SYSLOG_FIELDS]
     return out.select(*df.columns, *fields, reason.alias("reject_reason"))
 
 
