@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertmill.storage import materialize
+
 # Fixed values.
 ALL = "*"
 OK, NO_RESULT, BAD_REQUEST = "ok", "no_result", "bad_request"
@@ -95,7 +97,7 @@ def search_batch(devices: DataFrame, queries: DataFrame, plans: DataFrame | None
     checked on the spot, so nothing larger than the shortest posting list is
     joined.
     """
-    plans = query_plans(devices, queries) if plans is None else plans
+    plans = materialize(query_plans(devices, queries), "plans") if plans is None else plans
     ready = plans.where(F.col("status") == OK).select("query_id", "q", "attr", "value")
     star = (F.col("attr") == ALL) & (F.col("value") == ALL)
     columns = devices.columns
@@ -126,7 +128,7 @@ def search_status(devices: DataFrame, queries: DataFrame) -> DataFrame:
     """
     asked = queries.select("query_id", "q", _query_text(F.col("q")).alias("_text"))
     distinct = asked.groupBy("_text").agg(F.any_value("q").alias("q")).select(F.col("_text").alias("query_id"), "q")
-    plans = query_plans(devices, distinct.where("query_id is not null"))
+    plans = materialize(query_plans(devices, distinct.where("query_id is not null")), "plans")
     found = search_batch(devices, distinct, plans).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found"))
     answers = plans.select("query_id", "status").join(found, "query_id", "left").withColumnRenamed("query_id", "_text")
     return asked.join(answers, "_text", "left").select(
@@ -164,7 +166,8 @@ def search_documents(devices: DataFrame, requests: DataFrame, body: str = "body"
     from alertmill.operators.documents import device_json
 
     queries = requests.select("query_id", parse_query(body).alias("q"))
-    plans = query_plans(devices, queries)
-    found = search_batch(devices, queries, plans)
+    # Written once: each is used more than once below.
+    plans = materialize(query_plans(devices, queries), "plans")
+    found = materialize(search_batch(devices, queries, plans).select("query_id", "id", "name", "ip"), "found")
     answers = device_json(found, "query_id", names=plans.where(F.col("status") == OK))
     return plans.select("query_id", "status").join(answers, "query_id", "left")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from alertmill.functions.text import expiry_time, list_item_id, pattern_id
 from alertmill.operators.ordered import previous_rows
+from alertmill.storage import materialize
 
 KEY = ["list_name", "id"]
 # Outcomes of list operations.
@@ -227,6 +228,8 @@ def command_outcomes(commands: DataFrame, max_group_rows: int | None = None) ->
     rows = commands.where(~_stillborn()).withColumn("_us", _us("ts"))
     instant = [*KEY, "_us"]
     rows = previous_rows(rows, ["seq"], 1, F.col("op"), "_prev", partition=instant, **limits)
+    # Written once: the rows are used three times below.
+    rows = materialize(rows, "commands")
     before = F.get("_prev", F.lit(0))
     follow = (
         F.when(F.col("op") == ADD, F.when(before == ADD, F.lit(DUPLICATE)).otherwise(F.lit(OK)))

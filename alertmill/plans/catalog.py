@@ -101,12 +101,12 @@ def ban_filter(spark, sf):
 
 
 def list_exists(spark, sf):
-    docs = tb.table(spark, sf, "documents").select("doc_id", "text")
+    docs = tb.documents(spark, sf)
     return flag_matches(docs, "text", _routes(spark), "matched").select("doc_id", "matched")
 
 
 def pattern_routes(spark, sf):
-    docs = tb.table(spark, sf, "documents").select("doc_id", "text")
+    docs = tb.documents(spark, sf)
     return route_matches(docs, "text", _routes(spark)).select("doc_id", "route", "pattern")
 
 
@@ -152,7 +152,7 @@ def alert_render(spark, sf):
 
 
 def alert_html(spark, sf):
-    docs = tb.table(spark, sf, "documents")
+    docs = tb.documents(spark, sf)
     return docs.select("doc_id", fx.html_alert("text").alias("html"))
 
 

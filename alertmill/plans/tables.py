@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from alertmill.functions.text import pattern_id
 from alertmill.session import prepare
 from alertmill.sources.lines import split_lines
+from alertmill.storage import spread
 
 LIST_NAMES = ["ban", "notify"]
 
@@ -29,7 +30,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
         F.col("props").alias("msg"),
     )
-    return table(spark, sf_dir, "events").select(
+    events = spread(table(spark, sf_dir, "events").drop("value"))
+    return events.select(
         F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.to_json(fields).alias("payload")
     )
 
@@ -69,6 +71,7 @@ def list_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
         "value",
+        "user_id",
     )
 
 
@@ -76,10 +79,8 @@ def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a list command: errors remove, the others add."""
     adds = list_adds(spark, sf_dir)
     remove = F.col("list_name") == "error"
-    return adds.join(
-        table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 5).alias("n")), "seq"
-    ).select(
-        F.concat(F.lit("list"), F.col("n").cast("string")).alias("list_name"),
+    return adds.select(
+        F.concat(F.lit("list"), (F.col("user_id") % 5).cast("string")).alias("list_name"),
         "id",
         F.when(remove, F.lit("rm")).otherwise(F.lit("add")).alias("op"),
         F.when(~remove, F.col("pattern")).alias("pattern"),
@@ -137,9 +138,13 @@ def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_no, value``: the lines of all documents, numbered in document order."""
-    lines = split_lines(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    lines = split_lines(documents(spark, sf_dir), "text", ["doc_id"])
     return lines.select(
         F.shiftleft("doc_id", 24).bitwiseOR(F.col("line_in_text").cast("bigint")).alias("line_no"), "value"
     )

@@ -7,13 +7,14 @@ from alertmill.functions.subjects import subject_matches, wildcard_regex
 
 TEXTS = [
     "", "foo", "foo\n", "a.foo", "foo\nbar", "bar\n", "x[:alpha:]", "ABC", "é", "É", "a\rb", "a\nb", "a\x0bb", "test-11", "te.st",
-    "foo_bar 12", "12-34", "a]b", "a&&b", "a-b", "{x}", "a{2}", "aaa", "\\E", "(.)", "K", "ſ", "s", "tab\there", "Ünïcode", "日本 42", "a^b$c",
+    "foo_bar 12", "12-34", "a]b", "a&&b", "a-b", "{x}", "a{2}", "aaa", "\\E", "(.)", "K", "ſ", "s", "tab\there", "Ünïcode", "日本 42", "a^b$c", "éa", "aé", "foo-bar_", "k", "xK", "ſ1",
 ]
 PATTERNS = [
     "foo$", "^foo$", "(?m)foo$", "(?m)^bar", "(?m)^$", "a.b", "(?s)a.b", "[[:alpha:]]", "[[:^alpha:]]", "(?i)é", "(?i)abc", "(?i)k", r"a\sb", r"a\Sb",
     r"\d+", r"[^\d]", r"\w+\b", r"\bfoo\b", r"\Bo", r"[\s]", r"[^\s]b", "[]a]", "[^]a]", "[a&&b]", "a[-]b", "[a-c]+", "{x}", "a{2}", "a{2,}", "a{1,2}?b?",
     r"\Q(.)\E", r"\x41", r"\x{e9}", r"\pL+", r"\p{Greek}", r"\PL", r"[\pN]", "(?P<n>foo)", "(?:foo|bar)", "(?i:FOO)", "(?i)f(?-i)oo", "te[sS]t", "t.st",
-    r"\A\z", "()", "|", "a|", "(?U)a+", "[[:word:]]+", r"[\w-]+", r"\t", "x*", r"a\x0Bb", r"[\x00-\x1f]", r"\.", r"\{2\}", "[$^]", r"[\]]", r"\-", "a{,2}", "日.+",
+    r"\A\z", "()", "|", "a|", "(?U)a+", "[[:word:]]+", r"[\w-]+", r"\t", "x*", r"a\x0Bb", r"[\x00-\x1f]", r"\.", r"\{2\}", "[$^]", r"[\]]", r"\-", "a{,2}", "日.+", r"\bfoo", r"o\b", r"\b[a-z]+\b", r"[a-z]*\b", r"\b[a-z]*_", r"\bo?o", r"(?i)\bk", r"(?i)k\b", r"(?i)\bx", r"\b\d+\b", r"\w\b-", r"\b", r"x\b{0}", r"(foo)\b",
+    r"foo|\bbar", r"(?i)\w", r"(?i)[\w]", r"(?i)s\b", r"é\b", r"\bé", r"12\b-\b34", r"\b\b1",
 ]
 BAD = [
     "[", "(", ")", "a)", "*a", "a**", "a+*", "a{2}{3}", "(?=a)", "(?!a)", "(?<=a)", "(?<!a)", r"(a)\1", "a++", "(?>a)", "a{1001}", "a{2,1}", "[b-a]",
