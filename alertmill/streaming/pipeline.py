@@ -10,6 +10,7 @@ from alertmill.functions.text import SUBJECT_PREFIX, message_text
 from alertmill.operators.outbox import alerts, write_outbox
 from alertmill.operators.similarity import THRESHOLD
 from alertmill.plans.notify import candidates
+from alertmill.storage import spread
 from alertmill.streaming.refresh import RefreshedPatterns
 from alertmill.streaming.ring import ring_by_batches
 
@@ -37,7 +38,7 @@ def notify_batches(
 
     def run(raw: DataFrame, batch: int) -> None:
         spark = raw.sparkSession
-        suppress(candidates(raw, ban.current(spark), notify.current(spark), subscription, prefix), batch)
+        suppress(candidates(spread(raw), ban.current(spark), notify.current(spark), subscription, prefix), batch)
 
     return run
 
