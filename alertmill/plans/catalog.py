@@ -13,7 +13,7 @@ from alertmill.operators import chat, delivery, documents, inventory, lists, out
 from alertmill.operators.grep import grep, grep_outcomes
 from alertmill.operators.patterns import drop_matching, flag_matches, literal_patterns, compile_patterns, route_matches
 from alertmill.plans import tables as tb
-from alertmill.plans.chatbot import list_state
+from alertmill.plans.chatbot import change_replies, list_replies, list_state, whois_replies
 from alertmill.plans.notify import notify_pipeline, received
 from alertmill.sources import chat as chat_source
 from alertmill.sources.devices import read_devices
@@ -296,6 +296,29 @@ def chat_whois(spark, sf):
     return chat.parse_whois(routed).select("update_id", "pattern")
 
 
+def chat_removes(spark, sf):
+    routed = chat.route_commands(tb.event_commands(spark, sf), tb.LIST_NAMES)
+    return chat.parse_removes(routed, tb.LIST_NAMES).select("update_id", "list_name", "id")
+
+
+def chat_change_replies(spark, sf):
+    said = change_replies(tb.event_commands(spark, sf), tb.LIST_NAMES)
+    return said.select(F.col("from").alias("sender"), "text")
+
+
+def chat_list_replies(spark, sf):
+    texts = tb.event_commands(spark, sf)
+    routed = chat.route_commands(texts, tb.LIST_NAMES)
+    said = list_replies(routed, list_state(texts, tb.LIST_NAMES), _as_of())
+    return said.select(F.col("from").alias("sender"), "text")
+
+
+def chat_whois_replies(spark, sf):
+    routed = chat.route_commands(tb.event_commands(spark, sf), tb.LIST_NAMES)
+    lines = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("line_no"), F.col("c_name").alias("value"))
+    return whois_replies(routed, lines, "line_no").select(F.col("from").alias("sender"), "text")
+
+
 # --- inventory and lines -------------------------------------------------------------------
 
 
@@ -496,7 +519,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         alert_html, batch_salt, list_add_first_wins, list_add_outcomes, list_upload, list_active, list_delete,
         list_remaining, list_state_fold, list_command_outcomes, list_snapshot_json, list_snapshot_decode, list_text,
         list_gc, list_gc_empty, list_patterns, duration_parse, chat_updates, chat_next_offset, chat_commands,
-        chat_adds, chat_list_state, chat_whois, device_search, device_search_batch, device_search_status,
+        chat_adds, chat_list_state, chat_whois, chat_removes, chat_change_replies, chat_list_replies, chat_whois_replies, device_search, device_search_batch, device_search_status,
         device_search_json, device_by_brand, attribute_index, attribute_counts, device_file_load, line_file_load,
         whois_lines, whois_grep, heartbeat_check, first_arrival, first_arrival_hot, near_dup_stream, notify_stream,
         heartbeat_stream, chat_stream,

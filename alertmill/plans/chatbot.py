@@ -9,6 +9,7 @@ from alertmill.operators.chat import list_commands, parse_adds, parse_removes, p
 from alertmill.operators.documents import list_line, reply_texts
 from alertmill.operators.grep import grep_outcomes
 from alertmill.operators.lists import BAD_REQUEST, active_items, command_outcomes, fold_commands
+from alertmill.storage import materialize
 
 # Reply texts.
 ADDED, REMOVED = "record added", "record removed"
@@ -21,7 +22,8 @@ def list_state(messages: DataFrame, list_names: list[str]) -> DataFrame:
 
 def change_replies(messages: DataFrame, list_names: list[str]) -> DataFrame:
     """``from, text`` answering every ``add`` and ``rm``, with what really happened to it."""
-    commands = route_commands(messages, list_names, whois=False)
+    # Written once: adds, removes and refusals are all read from it.
+    commands = materialize(route_commands(messages, list_names, whois=False), "routed")
     asked = commands.select("list_name", F.col("update_id").cast("bigint").alias("seq"), "from", "command")
     done = command_outcomes(list_commands(commands, list_names)).select("list_name", "seq", F.col("op").alias("command"), "status")
     said = (

@@ -67,27 +67,33 @@ _FIRSTS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY list_name, i
 _RFC = "CASE WHEN expired_at IS NULL THEN '0001-01-01T00:00:00Z' ELSE strftime(expired_at, '%Y-%m-%dT%H:%M:%S') || rtrim(rtrim('.' || strftime(expired_at, '%f'), '0'), '.') || 'Z' END"
 _ITEM = "'{\"pattern\":\"' || replace(pattern, '\"', '\\\"') || '\",\"expired_at\":\"' || " + _RFC + " || '\"}'"
 
+
 # Commands stepped through one by one for each item.
-_STEPS = f"""WITH RECURSIVE {_ADDS}, cmds AS (
-  SELECT 'list' || (user_id % 5) AS list_name, id, list_name = 'error' AS rm, pattern, expired_at, ts, seq,
-         row_number() OVER (PARTITION BY user_id % 5, id ORDER BY ts, seq) AS rn
-  FROM adds),
+def _steps(log: str) -> str:
+    return f"""WITH RECURSIVE {_ADDS}, log AS ({log}),
+cmds AS (SELECT *, row_number() OVER (PARTITION BY list_name, id ORDER BY ts, seq) AS rn FROM log),
 steps AS (
   SELECT list_name, id, rn, seq, NOT rm AS present, CASE WHEN NOT rm THEN pattern END AS pattern, CASE WHEN NOT rm THEN expired_at END AS expired_at,
          CASE WHEN rm THEN 'not_found' ELSE 'ok' END AS status
   FROM cmds WHERE rn = 1
   UNION ALL
-  SELECT c.list_name, c.id, c.rn, c.seq,
-         CASE WHEN c.rm THEN NOT s.live AND s.present AND FALSE ELSE TRUE END,
+  SELECT c.list_name, c.id, c.rn, c.seq, NOT c.rm,
          CASE WHEN c.rm THEN NULL WHEN s.live THEN s.pattern ELSE c.pattern END,
          CASE WHEN c.rm THEN NULL WHEN s.live THEN s.expired_at ELSE c.expired_at END,
          CASE WHEN c.rm THEN CASE WHEN s.live THEN 'ok' ELSE 'not_found' END
               ELSE CASE WHEN s.live THEN 'duplicate' ELSE 'ok' END END
-  FROM (SELECT s0.*, n.ts AS now, s0.present AND (s0.expired_at IS NULL OR s0.expired_at >= n.ts) AS live
+  FROM (SELECT s0.*, s0.present AND (s0.expired_at IS NULL OR s0.expired_at >= n.ts) AS live
         FROM steps s0 JOIN cmds n ON n.list_name = s0.list_name AND n.id = s0.id AND n.rn = s0.rn + 1) s
   JOIN cmds c ON c.list_name = s.list_name AND c.id = s.id AND c.rn = s.rn + 1)
 """
 
+
+_STEPS = _steps("SELECT 'list' || (user_id % 5) AS list_name, id, list_name = 'error' AS rm, pattern, expired_at, ts, seq FROM adds")
+_CHAT_STEPS = _steps(
+    "SELECT 'ban' AS list_name, id, list_name = 'view' AS rm, pattern, ts + user_id * INTERVAL 1 HOUR AS expired_at, ts, seq "
+    "FROM adds WHERE list_name IN ('click', 'signup', 'view')"
+)
+
 _SECONDS = """CASE WHEN regexp_full_match({d}, '0|([0-9]+[hm])+') THEN
   coalesce(list_sum(list_transform(regexp_extract_all({d}, '([0-9]+)h', 1), lambda v: v::BIGINT)), 0)::BIGINT * 3600
   + coalesce(list_sum(list_transform(regexp_extract_all({d}, '([0-9]+)m', 1), lambda v: v::BIGINT)), 0)::BIGINT * 60 END"""
@@ -250,6 +256,24 @@ chain AS (
     FROM chain c JOIN ok o ON o.list_name = c.list_name AND o.pattern = c.pattern AND o.ts > c.expired_at) n WHERE k = 1)
 SELECT list_name, pattern, max(expired_at) AS expired_at FROM chain GROUP BY list_name, pattern""",
     "chat_whois": f"WITH {_CHAT} SELECT update_id, regexp_extract(text, '/whois (.*)', 1) AS pattern FROM chat WHERE regexp_matches(text, '/whois .*')",
+    "chat_removes": f"WITH {_ADDS} SELECT seq AS update_id, 'ban' AS list_name, id FROM adds WHERE list_name = 'view'",
+    "chat_change_replies": f"""{_CHAT_STEPS}
+SELECT a.user_id::VARCHAR AS sender, CASE WHEN s.status <> 'ok' THEN 'can''t change the list, ' || s.status
+   WHEN a.list_name = 'view' THEN 'record removed' ELSE 'record added' END AS text
+FROM steps s JOIN adds a USING (seq)""",
+    "chat_list_replies": f"""{_CHAT_STEPS},
+state AS (SELECT id, pattern, expired_at FROM (SELECT *, max(rn) OVER (PARTITION BY list_name, id) AS last FROM steps)
+          WHERE rn = last AND present AND expired_at >= TIMESTAMP '{AS_OF}'),
+rows AS (SELECT id, id || ':' || pattern || ':' || replace(rtrim({_RFC}, 'Z'), 'T', ' ') || ' +0000 UTC' AS line FROM state),
+shown AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM rows)
+SELECT user_id::VARCHAR AS sender, coalesce((SELECT string_agg(line || chr(10), '' ORDER BY id) FROM shown WHERE start <= 4000), '') AS text
+FROM events WHERE event_type = 'error'""",
+    "chat_whois_replies": """
+WITH asks AS (SELECT user_id::VARCHAR AS sender, '#0*' || (user_id % 10) || '$' AS p FROM events WHERE event_type = 'purchase'),
+hits AS (SELECT p, c_custkey, c_name FROM (SELECT DISTINCT p FROM asks) JOIN customer ON regexp_matches(c_name, p)),
+shown AS (SELECT *, coalesce(sum(strlen(c_name) + 1) OVER (PARTITION BY p ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM hits),
+r AS (SELECT p, string_agg(c_name, chr(10) ORDER BY c_custkey) FILTER (WHERE start <= 4000) AS t FROM shown GROUP BY p)
+SELECT sender, coalesce(t, 'no_content from whois-service for query:' || asks.p) AS text FROM asks LEFT JOIN r ON r.p = asks.p""",
     "device_search": f"WITH {_DEVICES} SELECT id, name, ip FROM dev WHERE brand = 'Brand#2' AND type = 'ECONOMY'",
     "device_search_batch": f"WITH {_DEVICES}, {_DIVISION} SELECT query_id::BIGINT AS query_id, id, name, ip FROM found",
     "device_search_status": f"WITH {_DEVICES}, {_DIVISION} SELECT s.query_id::BIGINT AS query_id, status, count(f.id) AS n_found FROM statuses s LEFT JOIN found f USING (query_id) GROUP BY ALL",

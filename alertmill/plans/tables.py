@@ -107,6 +107,21 @@ def chat_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a chat command on the ban list, or as a search."""
+    events = table(spark, sf_dir, "events")
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    text = (
+        F.when(kind.isin("click", "signup"), F.concat(F.lit("/list ban add "), user, F.lit("h "), F.col("props")))
+        .when(kind == "view", F.concat(F.lit("/list ban rm "), pattern_id("props").cast("string")))
+        .when(kind == "error", F.lit("/list ban ls"))
+        .otherwise(F.concat(F.lit("/whois #0*"), (F.col("user_id") % 10).cast("string"), F.lit("$")))
+    )
+    return events.select(
+        F.col("event_id").alias("update_id"), user.alias("from"), text.alias("text"), F.col("ts").cast("timestamp").alias("ts")
+    )
+
+
 def chat_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``body``: every turn as an update envelope; system turns fail, assistants post to a channel."""
     turns = table(spark, sf_dir, "conversations")
