@@ -22,16 +22,15 @@ from alertmill.storage import materialize
 # Patterns and bytes of patterns that go into the plan as literals.
 MAX_LITERALS = 1000
 MAX_LITERAL_BYTES = 256 * 1024
-# Patterns of one broadcast part, and the longest pattern it may hold.
+# A broadcast part holds this many patterns of at most this many characters, or
+# one longer pattern.
 PART_ROWS = 5000
-MAX_PATTERN_BYTES = 64 * 1024
+LONG_PATTERN = 4096
 
 
 def _rewrite(pattern: str | None) -> tuple[str | None, str | None]:
     if pattern is None:
         return None, "null pattern"
-    if len(pattern.encode()) > MAX_PATTERN_BYTES:
-        return None, "pattern too long"
     try:
         return to_java(pattern), None
     except BadPattern as exc:
@@ -57,7 +56,7 @@ class PatternSet:
         return self.spark.createDataFrame(self.rejects, "route string, pattern string, reason string")
 
     def part(self, i: int) -> DataFrame:
-        # A part holds at most PART_ROWS patterns of MAX_PATTERN_BYTES each.
+        # Bounded: PART_ROWS patterns of at most LONG_PATTERN characters, or one pattern.
         return F.broadcast(self.parts.where((F.col("part") == i) & F.col("java").isNotNull()).select("route", "pattern", "java"))
 
 
@@ -111,19 +110,15 @@ def compile_patterns(
 
     done = named.mapInPandas(rewrite_batches, "route string, pattern string, java string, reason string")
     table = materialize(done.withColumn("position", F.monotonically_increasing_id()), "patterns")
-    # Rows of a written partition are consecutive: cut each into parts of part_rows.
-    pieces = table.select(
-        F.shiftright("position", 33).alias("p"),
-        F.expr(f"(position & ((1L << 33) - 1)) div {part_rows}").alias("c"),
-    ).distinct()
+    # Rows of a written partition are consecutive: cut each into parts of part_rows,
+    # a long pattern by itself.
+    offset = F.col("position").bitwiseAND(F.lit((1 << 33) - 1))
+    chunk = F.when(F.length("pattern") > LONG_PATTERN, -1 - offset).otherwise(F.floor(offset / part_rows))
+    table = table.withColumn("p", F.shiftright("position", 33)).withColumn("c", chunk)
+    pieces = table.select("p", "c").distinct()
     numbered = {(r.p, r.c): i for i, r in enumerate(pieces.orderBy("p", "c").collect())}
     index = spark.createDataFrame([(p, c, i) for (p, c), i in numbered.items()], "p bigint, c bigint, part int")
-    parts = (
-        table.withColumn("p", F.shiftright("position", 33))
-        .withColumn("c", F.expr(f"(position & ((1L << 33) - 1)) div {part_rows}"))
-        .join(index, ["p", "c"])
-        .drop("p", "c", "position")
-    )
+    parts = table.join(index, ["p", "c"]).drop("p", "c", "position")
     return PatternSet(spark, parts=materialize(parts, "pattern-parts"), n_parts=len(numbered))
 
 

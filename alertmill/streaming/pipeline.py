@@ -27,8 +27,14 @@ def notify_batches(
     keys: list[str] | None = None,
     on_empty: str = "suppress",
     mode: str = "auto",
+    when_empty: str = "fail",
 ):
-    """A ``foreachBatch`` function from payloads (id, ts, payload) to an outbox folder per batch."""
+    """A ``foreachBatch`` function from payloads (id, ts, payload) to an outbox folder per batch.
+
+    A batch that finds the notify list empty fails, to be tried again on
+    restart; ``when_empty='skip'`` lets its messages go, like a listener that
+    has not subscribed yet.
+    """
 
     def deliver(sent: DataFrame, batch: int) -> None:
         rows = alerts(sent, F.lit(to), message_text("timestamp", "host", "msg"), keep=["id"])
@@ -38,7 +44,10 @@ def notify_batches(
 
     def run(raw: DataFrame, batch: int) -> None:
         spark = raw.sparkSession
-        suppress(candidates(spread(raw), ban.current(spark), notify.current(spark), subscription, prefix), batch)
+        patterns = notify.current(spark)
+        if when_empty == "skip" and patterns.is_empty():
+            return
+        suppress(candidates(spread(raw), ban.current(spark), patterns, subscription, prefix), batch)
 
     return run
 
@@ -46,11 +55,7 @@ def notify_batches(
 def start_notify(
     payloads: DataFrame, checkpoint: str, available_now: bool = False, trigger: str = "10 seconds", **options
 ) -> StreamingQuery:
-    """Run :func:`notify_batches` on a stream.
-
-    The notify list must hold a pattern: a batch that finds it empty fails and
-    is tried again when the query is restarted.
-    """
+    """Run :func:`notify_batches` on a stream."""
     writer = payloads.writeStream.foreachBatch(notify_batches(**options)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
     return writer.start()

@@ -41,6 +41,14 @@ def test_all_join_kinds(texts, patterns):
     assert {r.id for r in drop_matching(texts, "text", patterns).collect()} == {i for i, _ in TEXTS} - hit
 
 
+def test_a_long_pattern_is_a_part_of_its_own(spark, texts):
+    long = "|".join(["zzzz"] * 2000 + ["flood"])
+    df = spark.createDataFrame([("t.st",), (long,), ("xx",)], "pattern string")
+    compiled = compile_patterns(df, max_literals=1, part_rows=100)
+    assert compiled.n_parts >= 2
+    assert {(r.id, r.pattern) for r in route_matches(texts, "text", compiled).collect()} == {(1, "t.st"), (6, long)}
+
+
 def test_bad_patterns_are_set_aside(patterns):
     rows = patterns.rejects_frame().collect()
     assert [(r.route, r.pattern) for r in rows] == [("r4", "[")]

@@ -154,5 +154,15 @@ def test_notify_stream_equals_batch(spark, tmp_path):
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
     assert want.count() > 3
     assert {(r.chat_id, r.parse_mode) for r in got.collect()} == {(-5, "HTML")}
+    with pytest.raises(Exception, match="notify list is empty"):
+        start_notify(
+            stream(spark, tmp_path / "in", schema), str(tmp_path / "log2"), available_now=True, ban=patterns(ban), notify=patterns([]), to="-5",
+            outbox=str(tmp_path / "out2"), ring_path=str(tmp_path / "ring2"),
+        ).awaitTermination()
+    start_notify(
+        stream(spark, tmp_path / "in", schema), str(tmp_path / "log3"), available_now=True, ban=patterns(ban), notify=patterns([]), to="-5",
+        outbox=str(tmp_path / "out3"), ring_path=str(tmp_path / "ring3"), when_empty="skip",
+    ).awaitTermination()
+    assert not (tmp_path / "out3").exists()
     fanned = notify_pipeline(df, literal_patterns(spark, ban), literal_patterns(spark, notify), threshold=3, fanout="pattern")
     assert fanned.select("id").distinct().count() == fanned.count()
