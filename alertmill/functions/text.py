@@ -117,11 +117,13 @@ def duration_seconds(text) -> Column:
     return F.when(valid & (seconds <= MAX_DURATION_S), seconds)
 
 
+def incorrect_duration(text) -> Column:
+    return F.concat(F.lit("duration "), _or_empty(text), F.lit(" is incorrect"))
+
+
 def duration_error(text) -> Column:
     """The reply for an invalid duration; null for a valid one."""
-    return F.when(
-        duration_seconds(text).isNull(), F.concat(F.lit("duration "), _or_empty(text), F.lit(" is incorrect"))
-    )
+    return F.when(duration_seconds(text).isNull(), incorrect_duration(text))
 
 
 def expiry(command_ts, seconds) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.functions import text as fx
+from alertmill.functions.once import with_once
 from alertmill.operators.lists import ADD, REMOVE
 from alertmill.operators.patterns import PatternSet, literal_patterns, route_matches
 
@@ -76,13 +77,16 @@ def _per_list(list_names: list[str], make) -> Column:
 def parse_adds(commands: DataFrame, list_names: list[str], text: str = "text", ts: str = "ts") -> DataFrame:
     """``add`` commands with id, pattern, expired_at; ``reply`` is set when the duration is bad."""
     adds = commands.where(F.col("command") == "add")
-    adds = adds.withColumn("_duration", _per_list(list_names, lambda n: fx.add_args(text, n)[0]))
-    adds = adds.withColumn("pattern", _per_list(list_names, lambda n: fx.add_args(text, n)[1]))
-    adds = adds.withColumn("_seconds", fx.duration_seconds("_duration"))
+    adds = with_once(
+        adds,
+        _duration=_per_list(list_names, lambda n: fx.add_args(text, n)[0]),
+        pattern=_per_list(list_names, lambda n: fx.add_args(text, n)[1]),
+    )
+    adds = with_once(adds, _seconds=fx.duration_seconds("_duration"))
     return (
         adds.withColumn("id", fx.pattern_id("pattern"))
         .withColumn("expired_at", fx.expiry(ts, F.col("_seconds")))
-        .withColumn("reply", F.when(F.col("_seconds").isNull(), fx.duration_error("_duration")))
+        .withColumn("reply", F.when(F.col("_seconds").isNull(), fx.incorrect_duration("_duration")))
         .drop("_duration", "_seconds")
     )
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertmill.functions.once import with_once
 from alertmill.functions.text import expiry_time, list_item_id, pattern_id
 from alertmill.operators.ordered import previous_rows
 from alertmill.storage import materialize
@@ -91,24 +92,23 @@ def patterns_of(items: DataFrame, list_name: str) -> DataFrame:
 
 def decode_uploads(df: DataFrame, body: str = "body") -> DataFrame:
     """Items posted as JSON: pattern, expired_at and id, ``status`` set for malformed ones."""
-    schema = "pattern string, expired_at string"
-    item = F.from_json(F.col(body), schema)
-    valid = F.try_parse_json(body)
-    kind = F.schema_of_variant(valid)
+    out = with_once(
+        df, _item=F.from_json(F.col(body), "pattern string, expired_at string"), _doc=F.try_parse_json(body)
+    )
     typed = F.lit(True)
     for name in ("pattern", "expired_at"):
-        field = F.schema_of_variant(F.try_variant_get(valid, f"$.{name}", "variant"))
+        field = F.schema_of_variant(F.try_variant_get("_doc", f"$.{name}", "variant"))
         typed = typed & F.coalesce(field.isin("STRING", "VOID"), F.lit(True))
-    out = df.select("*", F.explode(F.array(item)).alias("_item"))
+    when_ = F.col("_item.expired_at")
+    good = F.schema_of_variant("_doc").startswith("OBJECT<") & typed & (when_.isNull() | F.try_to_timestamp(when_).isNotNull())
+    out = with_once(out, _good=F.coalesce(good, F.lit(False)))
     # A missing pattern is the empty pattern, as for any missing text.
     text = F.coalesce(F.col("_item.pattern"), F.lit(""))
-    when_ = F.col("_item.expired_at")
-    good = kind.startswith("OBJECT<") & typed & (when_.isNull() | F.try_to_timestamp(when_).isNotNull())
     return out.select(
         *df.columns,
-        F.when(F.coalesce(good, F.lit(False)), text).alias("pattern"),
-        F.when(F.coalesce(good, F.lit(False)), expiry_time(when_)).alias("expired_at"),
-        F.when(~F.coalesce(good, F.lit(False)), F.lit(BAD_REQUEST)).alias("status"),
+        F.when(F.col("_good"), text).alias("pattern"),
+        F.when(F.col("_good"), expiry_time(when_)).alias("expired_at"),
+        F.when(~F.col("_good"), F.lit(BAD_REQUEST)).alias("status"),
     ).withColumn("id", pattern_id("pattern"))
 
 
