@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from alertmill.llm import dac, packing
+from alertmill.llm import dac, fm_index, packing
 from alertmill.llm.tokens import byte_bpe_path
 from alertmill.session import prepare
 
@@ -23,9 +24,16 @@ def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_table(_table(spark, sf_dir, "documents"), byte_bpe_path(), end_id=0)
 
 
+def op10_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_index.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), length=13, share=20)
+    items = F.array_join(F.array_sort("item_ids"), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_token_codes": op6_token_codes,
+    "op10_fm_index_decontamination": op10_fm_index_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
