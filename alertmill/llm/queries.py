@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertmill.llm import dac, fm_index, packing
+from alertmill.llm import chat, dac, fm_index, packing
 from alertmill.llm.tokens import byte_bpe_path
 from alertmill.session import prepare
+from alertmill.storage import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,23 @@ def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_table(_table(spark, sf_dir, "documents"), byte_bpe_path(), end_id=0)
 
 
+def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    messages = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    written = materialize(chat.format_reply_trees(chat.linear_replies(messages)), "conversations-formatted")
+    turns = F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = written.select("tree", "formatted", turns.alias("turns"), chat.read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    return read.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op10_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_index.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), length=13, share=20)
     items = F.array_join(F.array_sort("item_ids"), ",")
@@ -33,7 +51,26 @@ def op10_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_token_codes": op6_token_codes,
+    "op9_reply_trees": op9_reply_trees,
     "op10_fm_index_decontamination": op10_fm_index_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_reply_trees": r"""
+WITH m AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), g AS (
+    SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+        sum(length(role) + length(text) + 15 + length(text) - length(replace(replace(text, '\', ''), '<', ''))
+            + length(role) - length(replace(replace(replace(role, '\', ''), '<', ''), chr(10), ''))) AS chars
+    FROM m GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+    chars::BIGINT AS formatted_chars
+FROM g
+""",
+}
