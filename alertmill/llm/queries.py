@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertmill.llm import chat, dac, fm_index, packing
+from alertmill.llm import chat, dac, fm_index, packing, phrase_dedup, suffix_dedup
 from alertmill.llm.tokens import byte_bpe_path
 from alertmill.session import prepare
 from alertmill.storage import materialize
@@ -17,6 +17,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=200).drop("spans")
+
+
+def op2_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.remove_repeated_phrases(_table(spark, sf_dir, "documents"), length=13).drop("kept_text")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), byte_bpe_path(), capacity=1024, end_id=2)
 
@@ -49,6 +57,8 @@ def op10_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_phrase_automata": op2_phrase_automata,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_token_codes": op6_token_codes,
     "op9_reply_trees": op9_reply_trees,
@@ -56,6 +66,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_phrase_automata": r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), n AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h
+    FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS i) WHERE len(w) >= 13
+), f AS (
+    SELECT h, min(doc_id) AS least FROM n GROUP BY h
+), r AS (
+    SELECT DISTINCT doc_id, i + k AS i FROM n JOIN f USING (h), (SELECT unnest(range(13)) AS k) WHERE doc_id > least
+), k AS (
+    SELECT d.doc_id, d.i, d.word, r.i IS NOT NULL AS gone
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) AS d LEFT JOIN r USING (doc_id, i)
+), s AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+        string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept
+    FROM k GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)
+""",
     "op9_reply_trees": r"""
 WITH m AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
