@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertmill.llm import chat, dac, fm_index, packing, phrase_dedup, suffix_dedup
+from alertmill.llm import chat, dac, fm_index, nbsvm, packing, partenum, phrase_dedup, suffix_dedup
 from alertmill.llm.tokens import byte_bpe_path
 from alertmill.session import prepare
 from alertmill.storage import materialize
@@ -25,10 +25,18 @@ def op2_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.remove_repeated_phrases(_table(spark, sf_dir, "documents"), length=13).drop("kept_text")
 
 
+def op3_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), byte_bpe_path(), capacity=1024, end_id=2)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_table(_table(spark, sf_dir, "documents"), byte_bpe_path(), end_id=0)
 
@@ -59,7 +67,9 @@ def op10_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_phrase_automata": op2_phrase_automata,
+    "op3_partenum_join": op3_partenum_join,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_token_codes": op6_token_codes,
     "op9_reply_trees": op9_reply_trees,
     "op10_fm_index_decontamination": op10_fm_index_decontamination,
