@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertmill.llm import chat, dac, fm_index, nbsvm, packing, partenum, phrase_dedup, suffix_dedup
+from alertmill.llm import chat, dac, fm_index, nbsvm, packing, partenum, phrase_dedup, pii, suffix_dedup
 from alertmill.llm.tokens import byte_bpe_path
 from alertmill.session import prepare
 from alertmill.storage import materialize
@@ -41,6 +41,15 @@ def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_table(_table(spark, sf_dir, "documents"), byte_bpe_path(), end_id=0)
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.concat(*[F.col(f"base_{k}") for k in pii.BASE])
+    return found.select(
+        "doc_id", *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -71,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_codes": op6_token_codes,
+    "op8_personal_data": op8_personal_data,
     "op9_reply_trees": op9_reply_trees,
     "op10_fm_index_decontamination": op10_fm_index_decontamination,
 }
