@@ -23,11 +23,15 @@ from alertmill.llm.textbytes import LOWER, WORD_BY_SPACE, Sums, mixed, slices, w
 from alertmill.storage import materialize
 
 BAND_RATIO = 1.6  # greatest size of a band over that of the band before
-SECOND_LEVEL, LEFT_OUT = 2, 1  # partitions of a first-level group, and how many of them a signature leaves out
+# For sets that can differ in up to SMALL elements: partitions of a first-level group, and the most differences in it.
+# Their signatures cover a large part of the set, so that one frequent passage does not make short texts candidates.
+SMALL, SMALL_GROUP, SMALL_LEFT_OUT = 15, 6, 3
 SPARE = 0.04  # further partitions in proportion, so that sets with few empty partitions need no signature for those
 FIRST_CENTERS, MORE_CENTERS = 1, 8
+SKETCH_SHARE = 4  # elements of a set for each byte of its sketch
 
-SIGNATURES = "signature long, doc_id long"
+SIGNATURES = "signature long, doc_id long, size int"
+SIGNATURE_NAMES = ["signature", "doc_id", "size"]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,51 +60,60 @@ def greatest_difference(size: int, percent: int) -> int:
     return 2 * size * (100 - percent) // (100 + percent)
 
 
+def partitions(k: int) -> tuple[int, int, int, int]:
+    """First-level groups, partitions in each, how many of them a signature leaves out, and empty partitions to spare.
+
+    Some group has at most ``k // groups`` of the differences, so leaving that many partitions out gives a common
+    signature. Large sets have groups of two: of all partitions more than ``spare`` agree, so of two sets with
+    at most ``spare`` empty ones an agreeing partition is not empty.
+    """
+    if k <= SMALL:
+        groups = -(-(k + 1) // (SMALL_LEFT_OUT + 1))
+        return groups, SMALL_GROUP, k // groups, -1
+    groups = -(-(k + 1 + int(SPARE * k)) // 2)
+    return groups, 2, 1, 2 * groups - k - 1
+
+
 @lru_cache(maxsize=4)
-def bands(upto: int, percent: int) -> np.ndarray:
-    """(least size, greatest size, partitions, empty partitions that need no signature) of every band that needs signatures.
+def bands(upto: int, percent: int) -> list[tuple[int, int, int]]:
+    """(least size, greatest size, greatest difference) of every band that needs signatures.
 
-    A pair belongs to the band of its larger set; sets of up to the least size that can hold a similar one take part.
+    A pair belongs to the band of its larger set; smaller sets that can be similar to one of the band take part.
     """
     rows, below, top = [], 0, 1
     while below < upto:
-        k = greatest_difference(top, percent)
-        if k:
-            groups = -(-(k + 1 + int(SPARE * k)) // SECOND_LEVEL)
-            n = groups * SECOND_LEVEL
-            least = -(-percent * (below + 1) // 100)
-            rows.append((least, top, n, n - k - 1))
+        if k := greatest_difference(top, percent):
+            rows.append((-(-percent * (below + 1) // 100), top, k))
         below, top = top, max(top + 1, int(top * BAND_RATIO))
-    return np.array(rows, dtype=np.int64).reshape(-1, 4)
+    return rows
 
 
 def signatures(value: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the sets and the row of each."""
     size = np.diff(bounds)
-    table = bands(int(size.max(initial=0)) * 2, percent)
     found, rows = [], []
-    for band, (least, top, n, spare) in enumerate(table.tolist()):
+    for band, (least, top, k) in enumerate(bands(1 << int(size.max(initial=0) * 2 + 1).bit_length(), percent)):
         own = np.flatnonzero((size >= least) & (size <= top))
         if not len(own):
             continue
-        count = size[own]
+        groups, width, left_out, spare = partitions(k)
+        n, count = groups * width, size[own]
         at = np.repeat(bounds[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         element = value[at]
         cell = np.repeat(np.arange(len(own)) * n, count) + (mixed(element ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(n)).astype(np.int64)
         total = np.zeros(len(own) * n, dtype=np.uint64)
         np.add.at(total, cell, mixed(element))
-        filled = np.bincount(cell, minlength=len(own) * n)
-        total = total.reshape(len(own), n // SECOND_LEVEL, SECOND_LEVEL)
-        filled = filled.reshape(total.shape)
-        empty_needed = (filled.reshape(len(own), n) == 0).sum(axis=1) > spare
-        for subset in combinations(range(SECOND_LEVEL), SECOND_LEVEL - LEFT_OUT):
-            part, some = np.zeros(total.shape[:2], dtype=np.uint64), np.zeros(total.shape[:2], dtype=np.int64)
+        empty = np.bincount(cell, minlength=len(own) * n).reshape(len(own), n) == 0
+        empty_needed = empty.sum(axis=1) > spare
+        total, empty = total.reshape(len(own), groups, width), empty.reshape(len(own), groups, width)
+        group = np.arange(groups, dtype=np.uint64)
+        for subset in combinations(range(width), width - left_out):
+            part, none = np.zeros(total.shape[:2], dtype=np.uint64), np.ones(total.shape[:2], dtype=bool)
             for member in subset:
                 part = part + total[:, :, member] * np.uint64(2 * member + 1)
-                some = some + filled[:, :, member]
-            group = np.arange(n // SECOND_LEVEL, dtype=np.uint64)
+                none &= empty[:, :, member]
             name = mixed(np.uint64(band) << np.uint64(40) | group << np.uint64(8) | np.uint64(sum(1 << m for m in subset)))
-            keep = (some > 0) | empty_needed[:, None]
+            keep = ~none | empty_needed[:, None]
             found.append(mixed(part ^ name[None, :])[keep])
             rows.append(np.broadcast_to(own[:, None], keep.shape)[keep])
     if not found:
@@ -108,6 +121,25 @@ def signatures(value: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.
     return np.concatenate(found), np.concatenate(rows)
 
 
+def sketch(value: np.ndarray) -> bytes:
+    """One byte for each of 2^b cells of the domain: the sum of what the set has there."""
+    cells = 1 << max(4, (max(0, len(value) - 1) // SKETCH_SHARE).bit_length())
+    out = np.zeros(cells, dtype=np.uint8)
+    code = mixed(value ^ np.uint64(0x3C3C3C3C3C3C3C3C))
+    np.add.at(out, (code & np.uint64(cells - 1)).astype(np.int64), (code >> np.uint64(56)).astype(np.uint8))
+    return out.tobytes()
+
+
+def may_link(one: bytes, two: bytes, size_one: int, size_two: int, percent: int) -> bool:
+    """False only if more cells differ than two linked sets of these sizes can have elements apart."""
+    a, b = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] + a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] + b[len(b) // 2 :]
+    return int(np.count_nonzero(a != b)) <= (size_one + size_two) * (100 - percent) // (100 + percent)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -146,7 +178,7 @@ def _signature_rows(texts: DataFrame, n: int, percent: int) -> DataFrame:
                 found, row = signatures(value, np.r_[0, ends], percent)
                 if len(found):
                     doc = batch.column("doc_id")[first:stop].to_numpy()[own[row]]
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(doc)], names=["signature", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(doc), pa.array(count[row], pa.int32())], names=SIGNATURE_NAMES)
 
     return texts.mapInArrow(sign, SIGNATURES)
 
@@ -155,50 +187,75 @@ def _shared(rows: DataFrame) -> DataFrame:
     """Rows of signatures that more than one row has, told by its neighbours in sorted order."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_sig, held_doc, before = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-
+        held: pa.RecordBatch | None = None
+        before: int | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, doc = np.r_[held_sig, batch.column(0).to_numpy()], np.r_[held_doc, batch.column(1).to_numpy()]
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            sig = rows.column(0).to_numpy()
             same = sig[1:] == sig[:-1]
             keep = same | np.r_[before is not None and sig[0] == before, same[:-1]] if len(same) else same
-            yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][keep]), pa.array(doc[:-1][keep])], names=["signature", "doc_id"])
-            held_sig, held_doc = sig[-1:], doc[-1:]
+            yield rows.slice(0, len(sig) - 1).filter(pa.array(keep, pa.bool_()))
+            held = rows.slice(len(sig) - 1)
             if len(sig) > 1:
                 before = sig[-2]
-        if len(held_sig) and before is not None and held_sig[0] == before:
-            yield pa.RecordBatch.from_arrays([pa.array(held_sig), pa.array(held_doc)], names=["signature", "doc_id"])
+        if held is not None and before is not None and held.column(0)[0].as_py() == before:
+            yield held
 
     return rows.repartition("signature").sortWithinPartitions("signature", "doc_id").mapInArrow(walk, SIGNATURES)
 
 
-def _candidate_pairs(groups: DataFrame, done: int, centers: int) -> DataFrame:
+def _candidate_pairs(groups: DataFrame, done: int, centers: int, percent: int) -> DataFrame:
     """Pairs of members ``done`` to ``centers`` of every group with the later members of other components.
 
-    ``groups`` are (signature, doc_id, component). Members are taken in a fixed order and streamed, so a group is
+    ``groups`` are (signature, doc_id, size, component). Pairs whose sizes alone forbid a link are left out. Members are taken in a fixed order and streamed, so a group is
     never held; only its centers are.
     """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rank = None, 0
-        own: list[tuple[int, int]] = []
+        own: list[tuple[int, int, int]] = []
         for batch in batches:
             seen: set[tuple[int, int]] = set()
-            for sig, doc, component in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for sig, doc, size, component in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if sig != last:
                     last, rank, own = sig, 0, []
-                for center, of in own:
-                    if of != component:
+                for center, other, of in own:
+                    if of != component and 100 * min(size, other) >= percent * max(size, other):
                         seen.add((center, doc))
                 if done <= rank < centers:
-                    own.append((doc, component))
+                    own.append((doc, size, component))
                 rank += 1
             if seen:
                 left, right = zip(*seen, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return groups.select("signature", "doc_id", "component").repartition("signature").sortWithinPartitions("signature", "doc_id").mapInArrow(pair, "a long, b long").distinct()
+    return groups.select("signature", "doc_id", "size", "component").repartition("signature").sortWithinPartitions("signature", "doc_id").mapInArrow(pair, "a long, b long").distinct()
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their sketches do not rule out."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "size_a", "size_b"))
+            keep = [may_link(a, b, n, m, percent) for a, b, n, m in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(look, "a long, b long")
+
+
+def _with_sketches(texts: DataFrame, n: int) -> DataFrame:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, stop, data, offsets in slices(batch, "text"):
+                value, bounds = shingle_sets(data, offsets, n)
+                made = [sketch(value[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:stop], batch.column("text")[first:stop], pa.array(np.diff(bounds), pa.int32()), pa.array(made, pa.binary())], names=["doc_id", "text", "size", "sketch"])
+
+    return texts.select("doc_id", "text").mapInArrow(add, "doc_id long, text string, size int, sketch binary")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -281,15 +338,15 @@ def class_components(texts: DataFrame, sets: DataFrame, classes: DataFrame, n: i
     member = sets.where("n_shingles > 0").join(classes, key).select("doc_id", "class_id")
     shared = materialize(_shared(_signature_rows(texts, n, percent)), "shared")
     groups = materialize(
-        shared.join(member, "doc_id").select("signature", F.col("class_id").alias("doc_id")).distinct(), "groups"
+        shared.join(member, "doc_id").select("signature", F.col("class_id").alias("doc_id"), "size").distinct(), "groups"
     )
     several = groups.groupBy("signature").count().where("count > 1").select("signature")
     groups = materialize(groups.join(several, "signature", "left_semi"), "groups")
     nodes = groups.select("doc_id").distinct()
-    candidates = materialize(texts.join(nodes, "doc_id").dropDuplicates(["doc_id"]), "candidates")
+    candidates = materialize(_with_sketches(texts.join(nodes, "doc_id").dropDuplicates(["doc_id"]), n), "candidates")
     labels = nodes.withColumn("component", F.col("doc_id"))
-    links: DataFrame | None = None
     done, upto = 0, FIRST_CENTERS
+    compared: DataFrame | None = None
     while True:
         labelled = groups.join(labels, "doc_id")
         mixed_up = labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
@@ -297,9 +354,24 @@ def class_components(texts: DataFrame, sets: DataFrame, classes: DataFrame, n: i
         current = materialize(labelled.join(open_groups, "signature", "left_semi"), "open")
         if current.isEmpty():
             return labels.select(F.col("doc_id").alias("class_id"), "component")
-        pairs = _candidate_pairs(current, done, upto)
-        fresh = materialize(_links(pairs, candidates, n, percent), "links")
-        links = fresh if links is None else materialize(links.unionByName(fresh), "links")
-        labels = components(nodes, links)
-        groups = current.select("signature", "doc_id")
+        pairs = _candidate_pairs(current, done, upto, percent)
+        if compared is not None:
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        compared = pairs if compared is None else compared.union(pairs)
+        likely = materialize(_likely(pairs, candidates.select("doc_id", "size", "sketch"), percent), "likely")
+        links = materialize(_links(likely, candidates.select("doc_id", "text"), n, percent), "links")
+        if not links.isEmpty():
+            labels = materialize(_relabelled(labels, links), "labels")
+        groups = current.select("signature", "doc_id", "size")
         done, upto = upto, upto * MORE_CENTERS
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: components of the labels that the links join."""
+    of = lambda x: labels.select(F.col("doc_id").alias(x), F.col("component").alias(f"of_{x}"))
+    joined = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct()
+    joined = materialize(joined, "joined")
+    nodes = joined.select(F.col("a").alias("doc_id")).union(joined.select("b")).distinct()
+    found = components(nodes, joined, component="least").withColumnRenamed("doc_id", "component")
+    return labels.join(found, "component", "left").select("doc_id", F.coalesce("least", "component").alias("component"))
