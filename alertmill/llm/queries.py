@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertmill.llm import chat, dac, fm_index, nbsvm, packing, partenum, phrase_dedup, pii, suffix_dedup
+from alertmill.llm import bmw, chat, dac, fm_index, nbsvm, packing, partenum, phrase_dedup, pii, suffix_dedup
 from alertmill.llm.tokens import byte_bpe_path
 from alertmill.session import prepare
 from alertmill.storage import materialize
@@ -41,6 +41,11 @@ def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_table(_table(spark, sf_dir, "documents"), byte_bpe_path(), end_id=0)
 
 
+def op7_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return bmw.top_documents(docs, docs.where(F.col("doc_id") % 50 == 0), k=10)
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.concat(*[F.col(f"base_{k}") for k in pii.BASE])
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_codes": op6_token_codes,
+    "op7_block_max_search": op7_block_max_search,
     "op8_personal_data": op8_personal_data,
     "op9_reply_trees": op9_reply_trees,
     "op10_fm_index_decontamination": op10_fm_index_decontamination,

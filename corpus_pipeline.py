@@ -1,6 +1,64 @@
-STAGES = []
+"""From raw documents to packed training sequences, in stages that each work on all that the one before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from alertmill.llm import fm_index, nbsvm, packing, partenum, pii
+from alertmill.llm.tokens import byte_bpe_path
+from alertmill.session import prepare
+from alertmill.storage import materialize
+
+QUALITY_THRESHOLD = 0.7
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; without labels to learn from it rejects none."""
+    model = nbsvm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.weights.any():
+        return docs
+    return nbsvm.score(docs, model, keep=tuple(docs.columns)).where(F.col("score") >= QUALITY_THRESHOLD).drop("score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones, the one with the smallest id; repeated rows go as well."""
+    linked = partenum.jaccard_components(docs, n=4, percent=85)
+    first = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark passages."""
+    found = fm_index.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), length=13, share=20)
+    gone = found.where("contaminated").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind in brackets."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, byte_bpe_path(), capacity=1024, end_id=2)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("pii", personal_data),
+    ("best-fit packing", packed),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise ValueError("no stages")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
