@@ -27,7 +27,7 @@ BAND_RATIO = 1.6  # greatest size of a band over that of the band before
 # Their signatures cover a large part of the set, so that one frequent passage does not make short texts candidates.
 SMALL, SMALL_GROUP, SMALL_LEFT_OUT = 15, 6, 3
 SPARE = 0.04  # further partitions in proportion, so that sets with few empty partitions need no signature for those
-FIRST_CENTERS, MORE_CENTERS = 1, 8
+FIRST_CENTERS, MORE_CENTERS = 1, 32
 SKETCH_SHARE = 4  # elements of a set for each byte of its sketch
 
 SIGNATURES = "signature long, doc_id long, size int"
@@ -130,14 +130,20 @@ def sketch(value: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def may_link(one: bytes, two: bytes, size_one: int, size_two: int, percent: int) -> bool:
-    """False only if more cells differ than two linked sets of these sizes can have elements apart."""
-    a, b = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] + a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] + b[len(b) // 2 :]
-    return int(np.count_nonzero(a != b)) <= (size_one + size_two) * (100 - percent) // (100 + percent)
+def folded(sketches: np.ndarray, cells: int) -> np.ndarray:
+    """Sketches (one per row) on fewer cells."""
+    while sketches.shape[1] > cells:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] + sketches[:, half:]
+    return sketches
+
+
+def may_link(one: np.ndarray, size: int, many: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """False only where more cells differ than two linked sets of these sizes can have elements apart."""
+    cells = min(len(one), many.shape[1])
+    apart = np.count_nonzero(folded(many, cells) != folded(one[None, :], cells), axis=1)
+    small, large = np.minimum(sizes, size), np.maximum(sizes, size)
+    return (apart * (100 + percent) <= (sizes + size) * (100 - percent)) & (100 * small >= percent * large)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -151,16 +157,18 @@ def set_digests(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _set_rows(texts: DataFrame, n: int) -> DataFrame:
-    """Size and 128-bit digest of the set of every row."""
+    """Size, 128-bit digest and sketch of the set of every row."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, stop, data, offsets in slices(batch, "text"):
                 value, bounds = shingle_sets(data, offsets, n)
                 digests = [pa.array(x.view(np.int64)) for x in set_digests(value, bounds)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:stop], pa.array(np.diff(bounds)), *digests], names=["doc_id", "n_shingles", "set_a", "set_b"])
+                made = [sketch(value[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                columns = [batch.column("doc_id")[first:stop], pa.array(np.diff(bounds)), *digests, pa.array(made, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"])
 
-    return texts.mapInArrow(digest, "doc_id long, n_shingles long, set_a long, set_b long")
+    return texts.mapInArrow(digest, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary")
 
 
 def _signature_rows(texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -184,7 +192,7 @@ def _signature_rows(texts: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of signatures that more than one row has, told by its neighbours in sorted order."""
+    """Distinct rows of signatures that more than one document has, told by their neighbours in sorted order."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -193,7 +201,9 @@ def _shared(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = batch if held is None else pa.concat_batches([held, batch])
-            sig = rows.column(0).to_numpy()
+            sig, doc = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            fresh = np.r_[True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])]
+            rows, sig = rows.filter(pa.array(fresh)), sig[fresh]
             same = sig[1:] == sig[:-1]
             keep = same | np.r_[before is not None and sig[0] == before, same[:-1]] if len(same) else same
             yield rows.slice(0, len(sig) - 1).filter(pa.array(keep, pa.bool_()))
@@ -206,56 +216,41 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("signature").sortWithinPartitions("signature", "doc_id").mapInArrow(walk, SIGNATURES)
 
 
-def _candidate_pairs(groups: DataFrame, done: int, centers: int, percent: int) -> DataFrame:
-    """Pairs of members ``done`` to ``centers`` of every group with the later members of other components.
+def _likely_pairs(groups: DataFrame, done: int, centers: int, percent: int) -> DataFrame:
+    """Pairs of members ``done`` to ``centers`` of every group with the later members of other components that sizes and sketches leave.
 
-    ``groups`` are (signature, doc_id, size, component). Pairs whose sizes alone forbid a link are left out. Members are taken in a fixed order and streamed, so a group is
-    never held; only its centers are.
+    ``groups`` are (signature, doc_id, size, component, sketch). Members are taken in a fixed order and streamed, so a
+    group is never held, only its centers are; pairs that are ruled out are not emitted.
     """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rank = None, 0
-        own: list[tuple[int, int, int]] = []
+        own: list[tuple[int, int, int, np.ndarray]] = []
         for batch in batches:
+            sig, doc, size, component = (batch.column(k).to_numpy() for k in range(4))
+            sketches = batch.column(4).to_pylist()
             seen: set[tuple[int, int]] = set()
-            for sig, doc, size, component in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if sig != last:
-                    last, rank, own = sig, 0, []
-                for center, other, of in own:
-                    if of != component and 100 * min(size, other) >= percent * max(size, other):
-                        seen.add((center, doc))
-                if done <= rank < centers:
-                    own.append((doc, size, component))
-                rank += 1
+            edges = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+            for begin, end in zip(edges.tolist(), [*edges[1:].tolist(), len(sig)], strict=True):
+                if sig[begin] != last:
+                    last, rank, own = sig[begin], 0, []
+                cells = min(map(len, sketches[begin:end]))
+                many = np.concatenate([folded(np.frombuffer(x, np.uint8)[None, :], cells) for x in sketches[begin:end]])
+                ids, sizes, parts = doc[begin:end], size[begin:end], component[begin:end]
+                fresh = range(max(done, rank), min(centers, rank + end - begin))
+                for center, other, of, drawn, after in [*((*c, 0) for c in own), *((ids[k - rank], sizes[k - rank], parts[k - rank], many[k - rank], k - rank + 1) for k in fresh)]:
+                    open_ = after + np.flatnonzero(parts[after:] != of)
+                    if len(open_):
+                        hit = open_[may_link(drawn, other, many[open_], sizes[open_], percent)]
+                        seen.update((int(center), x) for x in ids[hit].tolist())
+                own += [(ids[k - rank], sizes[k - rank], parts[k - rank], many[k - rank]) for k in fresh]
+                rank += end - begin
             if seen:
                 left, right = zip(*seen, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return groups.select("signature", "doc_id", "size", "component").repartition("signature").sortWithinPartitions("signature", "doc_id").mapInArrow(pair, "a long, b long").distinct()
-
-
-def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs that their sketches do not rule out."""
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "size_a", "size_b"))
-            keep = [may_link(a, b, n, m, percent) for a, b, n, m in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
-
-    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(look, "a long, b long")
-
-
-def _with_sketches(texts: DataFrame, n: int) -> DataFrame:
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, stop, data, offsets in slices(batch, "text"):
-                value, bounds = shingle_sets(data, offsets, n)
-                made = [sketch(value[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:stop], batch.column("text")[first:stop], pa.array(np.diff(bounds), pa.int32()), pa.array(made, pa.binary())], names=["doc_id", "text", "size", "sketch"])
-
-    return texts.select("doc_id", "text").mapInArrow(add, "doc_id long, text string, size int, sketch binary")
+    columns = ("signature", "doc_id", "size", "component", "sketch")
+    return groups.select(*columns).repartition("signature").sortWithinPartitions("signature", "doc_id").mapInArrow(pair, "a long, b long").distinct()
 
 
 def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -333,20 +328,18 @@ def _id_of(value: Column) -> Column:
 
 
 def class_components(texts: DataFrame, sets: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """(class_id, component) of all classes that share a signature with another."""
+    """(class_id, component) of all classes that share a signature with another.
+
+    Each round compares some members of every group of a signature with its later members, unless links that are
+    known already join them; a group is done when all its members are joined or have been compared.
+    """
     key = ["n_shingles", "set_a", "set_b"]
     member = sets.where("n_shingles > 0").join(classes, key).select("doc_id", "class_id")
-    shared = materialize(_shared(_signature_rows(texts, n, percent)), "shared")
-    groups = materialize(
-        shared.join(member, "doc_id").select("signature", F.col("class_id").alias("doc_id"), "size").distinct(), "groups"
-    )
-    several = groups.groupBy("signature").count().where("count > 1").select("signature")
-    groups = materialize(groups.join(several, "signature", "left_semi"), "groups")
-    nodes = groups.select("doc_id").distinct()
-    candidates = materialize(_with_sketches(texts.join(nodes, "doc_id").dropDuplicates(["doc_id"]), n), "candidates")
-    labels = nodes.withColumn("component", F.col("doc_id"))
+    drawn = sets.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    shared = _shared(_signature_rows(texts, n, percent)).join(member, "doc_id").select("signature", F.col("class_id").alias("doc_id"), "size")
+    groups = materialize(_shared(shared), "groups")
+    labels = groups.select("doc_id").distinct().withColumn("component", F.col("doc_id"))
     done, upto = 0, FIRST_CENTERS
-    compared: DataFrame | None = None
     while True:
         labelled = groups.join(labels, "doc_id")
         mixed_up = labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
@@ -354,19 +347,20 @@ def class_components(texts: DataFrame, sets: DataFrame, classes: DataFrame, n: i
         current = materialize(labelled.join(open_groups, "signature", "left_semi"), "open")
         if current.isEmpty():
             return labels.select(F.col("doc_id").alias("class_id"), "component")
-        pairs = _candidate_pairs(current, done, upto, percent)
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        compared = pairs if compared is None else compared.union(pairs)
-        likely = materialize(_likely(pairs, candidates.select("doc_id", "size", "sketch"), percent), "likely")
-        links = materialize(_links(likely, candidates.select("doc_id", "text"), n, percent), "links")
+        likely = materialize(_likely_pairs(current.join(drawn, "doc_id"), done, upto, percent), "likely")
+        links = materialize(_links(likely, _texts_of(likely, texts), n, percent), "links")
         if not links.isEmpty():
             labels = materialize(_relabelled(labels, links), "labels")
         groups = current.select("signature", "doc_id", "size")
         done, upto = upto, upto * MORE_CENTERS
 
 
+def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of the documents in ``pairs``, written once for both sides."""
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
+    return materialize(texts.join(ids, "doc_id").dropDuplicates(["doc_id"]), "pair-texts")
+
+
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after more links: components of the labels that the links join."""
     of = lambda x: labels.select(F.col("doc_id").alias(x), F.col("component").alias(f"of_{x}"))
