@@ -14,7 +14,6 @@ DELIVERY_S = 10
 DEFAULT_RESPONSE = "{}"
 TIMEOUT_ERROR = "timeout error"
 FAILURE_TEXT = "Dear engineers, syslog doesn't work correctly"
-NONCE_DIGITS = 19
 
 
 def contains_text(payload: Column | str, text: Column | str) -> Column:
@@ -23,22 +22,24 @@ def contains_text(payload: Column | str, text: Column | str) -> Column:
     return F.contains(payload, text)
 
 
-def carried_nonces(payload: Column, template: str = PROBE_TEMPLATE) -> Column:
-    """All nonces whose probe text the payload contains.
+def carried_nonces(payload: Column, lengths: list[int], template: str = PROBE_TEMPLATE) -> Column:
+    """All texts of the given lengths that the probe text follows in the payload.
 
-    A text ``7, ...`` is also contained in ``17, ...``, so the closing parts of
-    a number count as well.
+    A probe is carried when its nonce and the template are contained, so every ending of what precedes the template
+    counts, whatever its characters.
     """
-    java = f"([0-9]{{1,{NONCE_DIGITS}}}), {re.escape(template)}"
-    numbers = F.regexp_extract_all(payload, F.lit(java), 1)
-    ends = F.transform(numbers, lambda d: F.transform(F.sequence(F.lit(1), F.length(d)), lambda i: d.substr(i, F.length(d))))
-    return F.array_distinct(F.flatten(ends))
+    rest = f", {template}"
+    pieces = F.split(payload, re.escape(rest), -1)
+    before = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.array_join(F.slice(pieces, 1, k), rest))
+    sizes = F.array(*[F.lit(n) for n in lengths])
+    ends = F.transform(before, lambda b: F.transform(F.filter(sizes, lambda n: n <= F.length(b)), lambda n: F.right(b, n)))
+    return F.when(F.size(pieces) > 1, F.array_distinct(F.flatten(ends))).otherwise(F.array().cast("array<string>"))
 
 
-def carriers(messages: DataFrame, payload: str, arrived_at: str, template: str = PROBE_TEMPLATE) -> DataFrame:
+def carriers(messages: DataFrame, payload: str, arrived_at: str, lengths: list[int], template: str = PROBE_TEMPLATE) -> DataFrame:
     """``nonce, arrived_at`` of the messages that carry a probe; other messages drop out at the scan."""
     hits = messages.where(F.contains(F.col(payload), F.lit(", " + template)))
-    return hits.select(F.explode(carried_nonces(F.col(payload), template)).alias("nonce"), F.col(arrived_at).alias("arrived_at"))
+    return hits.select(F.explode(carried_nonces(F.col(payload), lengths, template)).alias("nonce"), F.col(arrived_at).alias("arrived_at"))
 
 
 def undelivered(
@@ -50,7 +51,11 @@ def undelivered(
     template: str = PROBE_TEMPLATE,
 ) -> DataFrame:
     """Probes (nonce, sent_at, ..) without a carrying message from ``sent_at`` to ``within_s`` later."""
-    arrived = carriers(messages, payload, arrived_at, template).distinct()
+    # Distinct lengths, not nonces: at most as many as the longest nonce has characters.
+    lengths = sorted(r[0] for r in probes.select(F.length(F.col("nonce").cast("string"))).distinct().collect() if r[0])
+    if not lengths:
+        return probes
+    arrived = carriers(messages, payload, arrived_at, lengths, template).distinct()
     sent = probes.select(F.col("nonce").cast("string").alias("nonce"), "sent_at").distinct()
     late = F.expr(f"sent_at + interval {within_s} seconds")
     # Joined as inner first: the optimizer can split a hot nonce on either side.

@@ -7,10 +7,10 @@ than ``page_bytes`` by more than its last entry.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.functions.text import ALERT_BYTES, ZERO_TIME
+from alertmill.functions.text import ZERO_TIME
 from alertmill.operators.ordered import running_start
 
 PAGE_BYTES = 4 * 1024 * 1024
@@ -39,28 +39,13 @@ def pages(
     return joined.select(*keys, "page", F.concat(F.lit(opening), "_body", F.lit(closing)).alias("body"))
 
 
-def reply_texts(
-    df: DataFrame, keys: list[str], position: str, line: Column, limit: int = ALERT_BYTES, shift: int = 16
-) -> DataFrame:
-    """``keys, n_lines, text``: a reply per key with at least the first ``limit`` bytes of its lines.
+def reply_texts(df: DataFrame, keys: list[str], position: str, line: Column, page_bytes: int = PAGE_BYTES) -> DataFrame:
+    """``keys, n_lines, page, text``: all lines of a reply, joined by newlines page by page.
 
-    An alert is cut to that size anyway, so lines that start beyond it cannot
-    show; the cut itself is left to the alert. Lines are first counted by
-    ranges of positions, and only ranges that reach into the reply are sorted.
+    Nothing is cut here; an alert made from a reply cuts itself.
     """
-    entries = df.select(*keys, F.col(position).cast("bigint").alias("_at"), line.alias("_line"))
-    entries = entries.withColumn("_range", F.shiftright("_at", shift)).withColumn("_size", F.octet_length("_line") + 1)
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = entries.groupBy(*keys, "_range").agg(F.sum("_size").alias("_bytes"), F.count(F.lit(1)).alias("_n"))
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_bytes").over(earlier), F.lit(0)))
-    near = ranges.where(F.col("_before") <= limit).select(*keys, "_range", "_before")
-    inside = Window.partitionBy(*keys, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    shown = entries.join(near, [*keys, "_range"]).withColumn(
-        "_start", F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
-    )
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_line"))), lambda e: e.getField("_line"))
-    texts = shown.where(F.col("_start") <= limit).groupBy(*keys).agg(F.array_join(lines, "\n").alias("text"))
-    counts = ranges.groupBy(*keys).agg(F.sum("_n").alias("n_lines"))
+    texts = pages(df, keys, position, line, "\n", page_bytes=page_bytes).withColumnRenamed("body", "text")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_lines"))
     return counts.join(texts, keys)
 
 

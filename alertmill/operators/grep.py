@@ -22,11 +22,7 @@ def grep(lines: DataFrame, queries: DataFrame, text: str = "value", pattern: str
 def grep_outcomes(
     lines: DataFrame, queries: DataFrame, position: str, text: str = "value", query_id: str = "query_id"
 ) -> DataFrame:
-    """Per query: ``status``, ``n_lines`` and the reply ``text``, lines in file order.
-
-    The reply holds what a chat message can show; :func:`grep` with
-    :func:`~alertmill.operators.documents.pages` gives all of it.
-    """
+    """Per query and page: ``status``, ``n_lines``, ``page`` and the reply ``text`` with all lines in file order."""
     found, compiled = grep(lines, queries, text)
     # Written once, so that the lines are searched once.
     found = materialize(found.select("pattern", position, text), "grep")
@@ -38,4 +34,4 @@ def grep_outcomes(
         .when(F.col("n_lines").isNull(), F.lit(NO_CONTENT))
         .otherwise(F.lit(OK))
     )
-    return out.select(query_id, "pattern", status.alias("status"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "text")
+    return out.select(query_id, "pattern", status.alias("status"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("page", F.lit(0)).alias("page"), "text")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertmill.functions.regex import BadPattern, to_java
+from alertmill.functions.regex import CATEGORIES, BadPattern, property_names, to_java
 from alertmill.storage import materialize
 
 # Patterns and bytes of patterns that go into the plan as literals.
@@ -99,13 +99,20 @@ def compile_patterns(
     )
     named = named.groupBy("pattern").agg(F.max("route").alias("route")).select("route", "pattern")
     head = named.limit(max_literals + 1).collect()
-    small = len(head) <= max_literals and sum(len(r.pattern or "") for r in head) <= MAX_LITERAL_BYTES
+    small = len(head) <= max_literals and sum(len((r.pattern or "").encode()) for r in head) <= MAX_LITERAL_BYTES
     if small:
         return literal_patterns(spark, [(r.route, r.pattern) for r in head])
 
+    scripts = {str(script) for script in spark._jvm.java.lang.Character.UnicodeScript.values()}
+
+    def checked(pattern: str | None) -> tuple[str | None, str | None]:
+        java, reason = _rewrite(pattern)
+        unknown = [n for n in property_names(java or "") if n not in CATEGORIES and n.removeprefix("Is").upper() not in scripts]
+        return (None, f"unknown character property {unknown[0]}") if unknown else (java, reason)
+
     def rewrite_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            done = [_rewrite(p) for p in pdf["pattern"]]
+            done = [checked(p) for p in pdf["pattern"]]
             yield pdf.assign(java=[d[0] for d in done], reason=[d[1] for d in done])
 
     done = named.mapInPandas(rewrite_batches, "route string, pattern string, java string, reason string")

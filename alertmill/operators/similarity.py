@@ -68,7 +68,7 @@ def with_ring(
         copies = F.when(reaches_next, F.array(tile, tile + 1)).otherwise(F.array(tile))
         spread = timed.withColumn("_tile", F.explode(copies))
         ringed = previous_rows(spread, order, samples, entry, "_prev", [*keys, "_tile"], mode="window")
-        ringed = ringed.where(F.col("_tile") == tile).drop("_tile")
+        ringed = ringed.where(F.col("_tile").eqNullSafe(tile)).drop("_tile")
     elif mode == "global":
         ringed = previous_rows(timed, order, samples, entry, "_prev", keys, mode="window")
     elif mode == "blocks":
@@ -97,9 +97,8 @@ def min_distance(ring: Column | str, text: Column | str) -> Column:
 
     def closer(best: Column, sample: Column) -> Column:
         bounded = F.call_function("levenshtein", sample, text, best - 1)
-        return (
-            F.when(best < 0, F.levenshtein(sample, text)).when(best == 0, best).otherwise(F.when(bounded >= 0, bounded).otherwise(best))
-        )
+        closest = F.array_min(F.filter(F.array(bounded, best), lambda v: v >= 0))
+        return F.when(best < 0, F.levenshtein(sample, text)).when(best == 0, best).otherwise(closest)
 
     return F.aggregate(F.reverse(ring), F.lit(-1), closer)
 

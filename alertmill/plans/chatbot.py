@@ -52,7 +52,7 @@ def list_replies(commands: DataFrame, items: DataFrame, as_of) -> DataFrame:
 
 
 def whois_replies(commands: DataFrame, lines: DataFrame, position: str) -> DataFrame:
-    """``from, text`` answering every ``whois``."""
+    """``from, text`` answering every ``whois``, a row per page of the reply."""
     asked = parse_whois(commands)
     found = grep_outcomes(lines, asked.select("pattern").distinct(), position, query_id="pattern")
     answer = F.coalesce(

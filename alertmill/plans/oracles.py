@@ -264,15 +264,13 @@ FROM steps s JOIN adds a USING (seq)""",
     "chat_list_replies": f"""{_CHAT_STEPS},
 state AS (SELECT id, pattern, expired_at FROM (SELECT *, max(rn) OVER (PARTITION BY list_name, id) AS last FROM steps)
           WHERE rn = last AND present AND expired_at >= TIMESTAMP '{AS_OF}'),
-rows AS (SELECT id, id || ':' || pattern || ':' || replace(rtrim({_RFC}, 'Z'), 'T', ' ') || ' +0000 UTC' AS line FROM state),
-shown AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM rows)
-SELECT user_id::VARCHAR AS sender, coalesce((SELECT string_agg(line || chr(10), '' ORDER BY id) FROM shown WHERE start <= 4000), '') AS text
+rows AS (SELECT id, id || ':' || pattern || ':' || replace(rtrim({_RFC}, 'Z'), 'T', ' ') || ' +0000 UTC' AS line FROM state)
+SELECT user_id::VARCHAR AS sender, coalesce((SELECT string_agg(line || chr(10), '' ORDER BY id) FROM rows), '') AS text
 FROM events WHERE event_type = 'error'""",
     "chat_whois_replies": """
 WITH asks AS (SELECT user_id::VARCHAR AS sender, '#0*' || (user_id % 10) || '$' AS p FROM events WHERE event_type = 'purchase'),
 hits AS (SELECT p, c_custkey, c_name FROM (SELECT DISTINCT p FROM asks) JOIN customer ON regexp_matches(c_name, p)),
-shown AS (SELECT *, coalesce(sum(strlen(c_name) + 1) OVER (PARTITION BY p ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM hits),
-r AS (SELECT p, string_agg(c_name, chr(10) ORDER BY c_custkey) FILTER (WHERE start <= 4000) AS t FROM shown GROUP BY p)
+r AS (SELECT p, string_agg(c_name, chr(10) ORDER BY c_custkey) AS t FROM hits GROUP BY p)
 SELECT sender, coalesce(t, 'no_content from whois-service for query:' || asks.p) AS text FROM asks LEFT JOIN r ON r.p = asks.p""",
     "device_search": f"WITH {_DEVICES} SELECT id, name, ip FROM dev WHERE brand = 'Brand#2' AND type = 'ECONOMY'",
     "device_search_batch": f"WITH {_DEVICES}, {_DIVISION} SELECT query_id::BIGINT AS query_id, id, name, ip FROM found",
@@ -288,9 +286,8 @@ FROM statuses s LEFT JOIN found f USING (query_id) GROUP BY s.query_id, s.status
     "line_file_load": f"WITH {_LINES} SELECT row_number() OVER (ORDER BY line_no) AS line_no, value FROM lines",
     "whois_lines": f"WITH {_LINES}, {_HITS} SELECT pattern, line_no, value FROM hits",
     "whois_grep": f"""WITH {_LINES}, {_HITS},
-shown AS (SELECT *, coalesce(sum(strlen(value) + 1) OVER (PARTITION BY pattern ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM hits),
-r AS (SELECT pattern, count(*) AS n, string_agg(value, chr(10) ORDER BY line_no) FILTER (WHERE start <= 4000) AS t FROM shown GROUP BY pattern)
-SELECT query_id::BIGINT AS query_id, g.pattern, CASE WHEN query_id = 5 THEN 'bad_request' WHEN n IS NULL THEN 'no_content' ELSE 'ok' END AS status, coalesce(n, 0) AS n_lines, t AS text
+r AS (SELECT pattern, count(*) AS n, string_agg(value, chr(10) ORDER BY line_no) AS t FROM hits GROUP BY pattern)
+SELECT query_id::BIGINT AS query_id, g.pattern, CASE WHEN query_id = 5 THEN 'bad_request' WHEN n IS NULL THEN 'no_content' ELSE 'ok' END AS status, coalesce(n, 0) AS n_lines, 0 AS page, t AS text
 FROM g LEFT JOIN r ON r.pattern = g.pattern""",
     "heartbeat_check": _LOST,
     "heartbeat_stream": f"""SELECT nonce, sent_at, 'Dear engineers, syslog doesn''t work correctly' AS text FROM ({_LOST})

@@ -16,13 +16,17 @@ def undelivered_stream(
     within_s: int = DELIVERY_S,
     watermark: str = "30 seconds",
     template: str = PROBE_TEMPLATE,
+    max_nonce: int = 32,
 ) -> DataFrame:
     """Alerts ``nonce, sent_at, text`` for probes (nonce, sent_at) no message carried in time.
 
-    An alert appears once the watermark of both streams has passed its window.
+    An alert appears once the watermark of both streams has passed its window. A nonce of more than ``max_nonce``
+    characters fails the stream, because it would be looked for in vain.
     """
-    sent = probes.select(F.col("nonce").cast("string").alias("nonce"), "sent_at").withWatermark("sent_at", watermark)
-    arrived = carriers(messages, payload, "arrived_at", template).withColumnRenamed("nonce", "seen")
+    name = F.col("nonce").cast("string")
+    long = F.raise_error(F.lit(f"a nonce has more than {max_nonce} characters"))
+    sent = probes.select(F.when(F.length(name) > max_nonce, long).otherwise(name).alias("nonce"), "sent_at").withWatermark("sent_at", watermark)
+    arrived = carriers(messages, payload, "arrived_at", list(range(1, max_nonce + 1)), template).withColumnRenamed("nonce", "seen")
     arrived = arrived.withWatermark("arrived_at", watermark)
     on = F.expr(f"nonce = seen and arrived_at >= sent_at and arrived_at <= sent_at + interval {within_s} seconds")
     joined = sent.join(arrived, on, "leftOuter")

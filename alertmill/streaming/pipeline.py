@@ -10,7 +10,6 @@ from alertmill.functions.text import SUBJECT_PREFIX, message_text
 from alertmill.operators.outbox import alerts, write_outbox
 from alertmill.operators.similarity import THRESHOLD
 from alertmill.plans.notify import candidates
-from alertmill.storage import spread
 from alertmill.streaming.refresh import RefreshedPatterns
 from alertmill.streaming.ring import ring_by_batches
 
@@ -47,7 +46,7 @@ def notify_batches(
         patterns = notify.current(spark)
         if when_empty == "skip" and patterns.is_empty():
             return
-        suppress(candidates(spread(raw), ban.current(spark), patterns, subscription, prefix), batch)
+        suppress(candidates(raw, ban.current(spark), patterns, subscription, prefix), batch)
 
     return run
 

@@ -95,10 +95,10 @@ class CarriedRing:
     A replayed batch reads the ring its first run read, so it decides the same.
     """
 
-    KEEP = 10
-
-    def __init__(self, path: str, keys: list[str] | None = None, samples: int = SAMPLES, lifetime_s: int = LIFETIME_S):
-        self.path, self.keys, self.samples, self.lifetime_s = path, keys or [], samples, lifetime_s
+    def __init__(
+        self, path: str, keys: list[str] | None = None, samples: int = SAMPLES, lifetime_s: int = LIFETIME_S, lateness_s: int = LIFETIME_S
+    ):
+        self.path, self.keys, self.samples, self.lifetime_s, self.lateness_s = path, keys or [], samples, lifetime_s, lateness_s
 
     def _batches(self, spark) -> list[int]:
         names = [n.partition("=")[2] for n in list_dir(spark, self.path) if n.startswith("batch_id=")]
@@ -107,21 +107,32 @@ class CarriedRing:
     def ringed(self, rows: DataFrame, batch: int, mode: str = "auto") -> DataFrame:
         """``rows`` (keys, id, ts, payload, ..) of a batch with their ``ring``."""
         spark = rows.sparkSession
-        before = [b for b in self._batches(spark) if b < batch]
+        stored = self._batches(spark)
+        before = [b for b in stored if b < batch]
+        if not before and stored and stored[0] > batch:
+            raise RuntimeError(f"the ring before batch {batch} is gone, the oldest kept is of batch {stored[0]}")
         fresh = rows.withColumn("_carried", F.lit(False))
         if before:
-            stored = spark.read.parquet(f"{self.path}/batch_id={before[-1]}").withColumn("_carried", F.lit(True))
-            fresh = fresh.unionByName(stored, allowMissingColumns=True)
+            carried = spark.read.parquet(f"{self.path}/batch_id={before[-1]}").withColumn("_carried", F.lit(True))
+            fresh = fresh.unionByName(carried, allowMissingColumns=True)
         ringed = with_ring(fresh, keys=self.keys, samples=self.samples, lifetime_s=self.lifetime_s, mode=mode)
         return ringed.where(~F.col("_carried")).drop("_carried")
 
     def store(self, rows: DataFrame, batch: int) -> None:
-        """Keep the last rows for the next batch; no key keeps more than the ring holds."""
+        """Keep the last rows for the next batch; no key keeps more than the ring holds.
+
+        Rows that expired ``lateness_s`` before the newest one can be compared with nothing any more and go, and with
+        them the keys that fell silent.
+        """
         spark = rows.sparkSession
         held = rows.select(*self.keys, "id", "ts", "payload")
         before = [b for b in self._batches(spark) if b < batch]
         if before:
             held = held.unionByName(spark.read.parquet(f"{self.path}/batch_id={before[-1]}"))
+        newest = held.agg(F.max("ts")).first()[0]
+        if newest is not None:
+            gone = F.lit(newest).cast(held.schema["ts"].dataType) - F.expr(f"interval {self.lifetime_s + self.lateness_s} seconds")
+            held = held.where(F.col("ts").isNull() | (F.col("ts") >= gone))
         latest = [F.desc("ts"), F.desc("id")]
         if self.keys:
             number = F.row_number().over(Window.partitionBy(*self.keys).orderBy(*latest))
@@ -132,8 +143,9 @@ class CarriedRing:
         self._forget(spark, batch)
 
     def _forget(self, spark, batch: int) -> None:
-        """Drop rings no replay can ask for any more."""
-        for old in [b for b in self._batches(spark) if b < batch][: -self.KEEP]:
+        """Drop rings no replay can ask for any more: older than the batches the checkpoint keeps."""
+        keep = int(spark.conf.get("spark.sql.streaming.minBatchesToRetain"))
+        for old in [b for b in self._batches(spark) if b < batch][:-keep]:
             jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch_id={old}")
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from alertmill.functions.text import PROBE_TEMPLATE
+from alertmill.functions.text import PROBE_TEMPLATE, probe_text
 from alertmill.operators.delivery import carriers, contains_text, first_arrivals, undelivered
 
 T0 = dt.datetime(2024, 1, 1)
@@ -35,7 +35,7 @@ def test_hot_nonce_is_reduced(spark):
     rows = spark.range(5000).select(
         F.lit(f"5, {PROBE_TEMPLATE}").alias("payload"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 3).alias("arrived_at")
     )
-    assert carriers(rows, "payload", "arrived_at").distinct().count() == 3
+    assert carriers(rows, "payload", "arrived_at", [1]).distinct().count() == 3
 
 
 def test_first_arrivals_equal_brute_force(spark):
@@ -61,3 +61,11 @@ def test_first_arrival_without_messages(spark):
     assert {(r.request_id, r.response, r.error) for r in first_arrivals(requests, arrivals).collect()} == {
         (1, "{}", "timeout error"), (2, "{}", "timeout error"),
     }
+
+
+def test_nonces_of_any_text_and_length(spark):
+    at = dt.datetime(2024, 1, 1)
+    names = ["1" * 23, "abc-1", "é x"]
+    probes = spark.createDataFrame([(n, at) for n in [*names, "lost"]], "nonce string, sent_at timestamp")
+    messages = probes.where("nonce <> 'lost'").select(F.col("sent_at").alias("arrived_at"), probe_text(F.col("nonce")).alias("payload"))
+    assert [r.nonce for r in undelivered(probes, messages).collect()] == ["lost"]

@@ -159,7 +159,21 @@ def test_snapshot_file(spark, tmp_path):
     good.write_text('{"1443610593":{"pattern":"p","expired_at":"0001-01-01T00:00:00Z"}}\n')
     bad.write_text('{"1443610593":{"pattern":"p"\n')
     assert [tuple(r) for r in read_snapshot(spark, str(good), "ban").collect()] == [("ban", 1443610593, "p", None)]
-    with pytest.raises(Exception, match="does not parse"):
+    with pytest.raises(Exception, match="not a list snapshot"):
         read_snapshot(spark, str(bad), "ban").collect()
     with pytest.raises(Exception):
         read_snapshot(spark, str(tmp_path / "missing"), "ban").collect()
+
+
+@pytest.mark.parametrize(
+    "body", ['{"error":"down"}', "[]", '"x"', '{"1":{"pattern":3}}', '{"abc":{"pattern":"p"}}', '{"99999999999":{"pattern":"p"}}', '{"1":{"expired_at":"x"}}', "{"]
+)
+def test_wrong_snapshots_are_refused(spark, tmp_path, body):
+    (tmp_path / "s.json").write_text(body)
+    with pytest.raises(Exception, match="not a list snapshot"):
+        read_snapshot(spark, str(tmp_path / "s.json"), "ban").collect()
+
+
+def test_empty_snapshot_is_an_empty_list(spark, tmp_path):
+    (tmp_path / "s.json").write_text("{}")
+    assert read_snapshot(spark, str(tmp_path / "s.json"), "ban").collect() == []

@@ -64,3 +64,18 @@ def test_prefix_subscription_reaches_the_scan(spark, tmp_path):
     spark.createDataFrame([("slg.err.a.h",)], "subject string").write.parquet(path)
     plan = spark.read.parquet(path).where(subject_matches("subject", "slg.err.>"))._jdf.queryExecution().toString()
     assert "StringStartsWith(subject,slg.err.)" in plan
+
+
+LONG = "ab" * 32_767 + "a"
+
+
+@pytest.mark.parametrize("pattern, found", [("(a|b)*c", False), ("(a|b)+a$", True), ("(?:foo){2,}", False), ("a(?:bc?)?a$", True)])
+def test_safe_repetitions_work_on_long_texts(spark, pattern, found):
+    row = spark.createDataFrame([(LONG,)], "t string").select(F.col("t").rlike(to_java(pattern)).alias("r")).first()
+    assert row.r is found
+
+
+@pytest.mark.parametrize("pattern", ["(a+)+$", r"(?:\w+\s?)*$", "(a{500}){500}", "(?:ab|c)*d"])
+def test_unsafe_repetitions_are_refused(pattern):
+    with pytest.raises(BadPattern):
+        to_java(pattern)

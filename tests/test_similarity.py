@@ -127,3 +127,11 @@ def test_unknown_options(spark):
         with_ring(one(spark, "a"), mode="x")
     with pytest.raises(ValueError):
         is_new(F.col("ring"), F.col("t"), on_empty="x")
+
+
+def test_rows_without_time_are_alike_in_every_mode(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, None, "aaaaaaaaaaaaaaaaaaaaaa"), (2, at, "bbbbbbbbbbbbbbbbbbbbbbbbb"), (3, at, "cccccccccccccccccccccccc")]
+    df = spark.createDataFrame(rows, "id bigint, ts timestamp, payload string")
+    got = [sorted(r.id for r in suppress_near_duplicates(df, on_empty="send", mode=m).collect()) for m in ("global", "tiled", "blocks")]
+    assert got[0] == got[1] == got[2] == [1, 2, 3]

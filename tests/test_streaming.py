@@ -84,9 +84,24 @@ def test_a_replayed_batch_decides_the_same(spark, tmp_path):
     assert ring.ringed(second, 1, "tiled").collect() == before
     ring.store(second, 1)
     assert spark.read.parquet(str(tmp_path / "state" / "batch_id=1")).count() == 20
-    for batch in range(2, 15):
-        ring.store(second, batch)
-    assert len(ring._batches(spark)) <= CarriedRing.KEEP + 1
+    spark.conf.set("spark.sql.streaming.minBatchesToRetain", "3")
+    try:
+        for batch in range(2, 8):
+            ring.store(second, batch)
+        assert ring._batches(spark) == [4, 5, 6, 7]
+        with pytest.raises(RuntimeError, match="is gone"):
+            ring.ringed(second, 2)
+    finally:
+        spark.conf.unset("spark.sql.streaming.minBatchesToRetain")
+
+
+def test_carried_ring_forgets_keys_that_fell_silent(spark, tmp_path):
+    ring = CarriedRing(str(tmp_path / "state"), ["host"])
+    day = 86_400
+    for batch in range(3):
+        rows = [(f"h{batch}-{k}", batch * 100 + k, dt.datetime.fromtimestamp(batch * day + k, dt.timezone.utc), "x") for k in range(50)]
+        ring.store(spark.createDataFrame(rows, "host string, id bigint, ts timestamp, payload string"), batch)
+    assert spark.read.parquet(str(tmp_path / "state" / "batch_id=2")).count() == 50
 
 
 def test_lists_refresh_and_keep_the_last_good_one(spark):
