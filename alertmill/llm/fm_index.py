@@ -213,7 +213,7 @@ def _search(docs: DataFrame, phrases: Phrases) -> DataFrame:
                 edge = np.zeros(len(hit) + 1, dtype=bool)
                 edge[firsts] = True
                 opens = np.flatnonzero(hit & (edge[:-1] | np.r_[True, ~hit[:-1]])) if len(hit) else np.zeros(0, np.int64)
-                closes = np.flatnonzero(hit & (edge[1:] | np.r_[~hit[1:], True])) if len(hit) else np.zeros(0, np.int64)
+                closes = np.flatnonzero(hit & (edge[1:] | np.r_[~hit[1:], True])) + 1 if len(hit) else np.zeros(0, np.int64)
                 spans: dict[int, list[dict]] = {}
                 owner = np.searchsorted(firsts, opens, side="right") - 1
                 edges = (opens - firsts[owner], closes - firsts[owner], start[opens] - offsets[owner], end[closes - 1] - offsets[owner])
