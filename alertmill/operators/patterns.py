@@ -88,16 +88,20 @@ def compile_patterns(
     route: str | None = None,
     max_literals: int = MAX_LITERALS,
     part_rows: int = PART_ROWS,
+    order: str | None = None,
 ) -> PatternSet:
     """Rewrite and check the patterns of a list; bad ones are set aside and match nothing.
 
-    A pattern registered twice keeps one route, the greatest by name.
+    A pattern registered twice keeps one route: the last by the column ``order``, or the greatest by name without one.
     """
     spark = patterns.sparkSession
     named = patterns.select(
-        (F.col(route) if route else F.lit(None).cast("string")).alias("route"), F.col(pattern).alias("pattern")
+        (F.col(route) if route else F.lit(None).cast("string")).alias("route"),
+        F.col(pattern).alias("pattern"),
+        (F.col(order) if order else F.lit(0)).alias("_order"),
     )
-    named = named.groupBy("pattern").agg(F.max("route").alias("route")).select("route", "pattern")
+    last = F.max(F.struct("_order", "route")).getField("route")
+    named = named.groupBy("pattern").agg(last.alias("route")).select("route", "pattern")
     head = named.limit(max_literals + 1).collect()
     small = len(head) <= max_literals and sum(len((r.pattern or "").encode()) for r in head) <= MAX_LITERAL_BYTES
     if small:

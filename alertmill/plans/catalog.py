@@ -93,7 +93,7 @@ def publish_folders(spark, sf):
     path = new_table_path(spark, "published")
     outbox.publish(received(tb.messages(spark, sf)).select("subject", "payload", "severity", "facility"), path)
     back = spark.read.schema("subject string, payload string, severity string, facility string").parquet(path)
-    return back.where("severity = 'error'").select("subject", "payload", "severity", "facility")
+    return back.select("subject", "payload", "severity", "facility")
 
 
 def ban_filter(spark, sf):
@@ -198,9 +198,10 @@ def list_delete(spark, sf):
 
 
 def list_remaining(spark, sf):
-    items, deletes = _split_adds(spark, sf)
-    late = deletes.where("value >= 60 and list_name <> 'view'")
-    return lists.remove_items(items, late).select("list_name", "id", "pattern")
+    """Items of all adds but those that a delete names: high values, on every list but one."""
+    adds = tb.list_adds(spark, sf)
+    deletes = adds.where("value >= 60 and list_name <> 'view'")
+    return lists.remove_items(lists.first_adds(adds, ["ts", "seq"]), deletes).select("list_name", "id", "pattern")
 
 
 def list_state_fold(spark, sf):
@@ -395,11 +396,11 @@ def whois_grep(spark, sf):
 
 
 def _arrivals(spark, sf):
-    """Every view event carries the probe of the event before it."""
-    views = tb.table(spark, sf, "events").where("event_type = 'view'")
-    text = fx.probe_text(F.col("event_id") - 1)
+    """Every event is a message; those of type view carry the probe of the event before them."""
+    events = tb.table(spark, sf, "events")
+    text = F.when(F.col("event_type") == "view", fx.probe_text(F.col("event_id") - 1)).otherwise(F.col("props"))
     payload = F.to_json(F.struct(F.col("user_id").cast("string").alias("host"), text.alias("msg")))
-    return views.select(F.col("ts").cast("timestamp").alias("arrived_at"), payload.alias("payload"))
+    return events.select(F.col("ts").cast("timestamp").alias("arrived_at"), payload.alias("payload"))
 
 
 def heartbeat_check(spark, sf):

@@ -186,7 +186,7 @@ WHERE NOT json_valid(payload) OR json_type(CASE WHEN json_valid(payload) THEN pa
 SELECT id, subject, s AS subscription FROM ({_MESSAGES}),
   (VALUES ('slg.error.>', '^slg\.error\..+$'), ('slg.*.app.7', '^slg\.[^.]+\.app\.7$'), ('slg.view.app.11', '^slg\.view\.app\.11$')) v(s, re)
 WHERE regexp_matches(subject, re)""",
-    "publish_folders": f"SELECT subject, payload, event_type AS severity, 'app' AS facility FROM ({_MESSAGES}) WHERE event_type = 'error'",
+    "publish_folders": f"SELECT subject, payload, event_type AS severity, 'app' AS facility FROM ({_MESSAGES})",
     "ban_filter": f"SELECT id, payload FROM ({_MESSAGES}) m WHERE NOT EXISTS (SELECT 1 FROM {_BAN_ACTIVE} b WHERE regexp_matches(m.payload, b.p))",
     "list_exists": f"SELECT doc_id, EXISTS (SELECT 1 FROM (VALUES {_values(WORDS)}) w(n, p) WHERE regexp_matches(d.text, w.p)) AS matched FROM documents d",
     "pattern_routes": f"SELECT doc_id, 'r' || n AS route, p AS pattern FROM documents d JOIN (VALUES {_values(WORDS)}) w(n, p) ON regexp_matches(d.text, w.p)",
@@ -221,7 +221,7 @@ d AS (SELECT list_name, CASE WHEN seq % 97 <> 0 THEN id ELSE 0 END AS id, ts, se
 k AS (SELECT DISTINCT list_name, id FROM adds WHERE value < 20)
 SELECT seq, d.id, CASE WHEN d.id = 0 THEN 'bad_request' WHEN k.id IS NOT NULL AND row_number() OVER (PARTITION BY d.list_name, d.id ORDER BY ts, seq) = 1 THEN 'ok' ELSE 'not_found' END AS status
 FROM d LEFT JOIN k ON k.list_name = d.list_name AND k.id = d.id""",
-    "list_remaining": f"""WITH {_ADDS}, f AS ({_FIRSTS.format('(SELECT * FROM adds WHERE value < 20)')})
+    "list_remaining": f"""WITH {_ADDS}, f AS ({_FIRSTS.format('adds')})
 SELECT list_name, id, pattern FROM f WHERE NOT EXISTS (SELECT 1 FROM adds d WHERE d.value >= 60 AND d.list_name <> 'view' AND d.list_name = f.list_name AND d.id = f.id)""",
     "list_state_fold": f"{_STEPS} SELECT list_name, id, pattern, expired_at FROM (SELECT *, max(rn) OVER (PARTITION BY list_name, id) AS last FROM steps) WHERE rn = last AND present",
     "list_command_outcomes": f"{_STEPS} SELECT seq, status FROM steps",

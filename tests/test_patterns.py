@@ -89,3 +89,19 @@ def test_handlers_get_their_route(texts, patterns):
 def test_literal_lists_need_no_join(texts, spark):
     plan = drop_matching(texts, "text", literal_patterns(spark, [(None, "x")]))._jdf.queryExecution().toString()
     assert "Join" not in plan
+
+
+def test_last_registered_route_stays(spark):
+    rows = spark.createDataFrame([("b", "x", 1), ("a", "x", 2), ("c", "y", 3)], "route string, pattern string, at int")
+    for limit in (1000, 1):
+        found = compile_patterns(rows, route="route", order="at", max_literals=limit)
+        texts = spark.createDataFrame([("x",), ("y",)], "t string")
+        assert sorted(r.route for r in route_matches(texts, "t", found).collect()) == ["a", "c"]
+
+
+def test_unknown_property_is_set_aside_in_long_lists(spark):
+    rows = spark.createDataFrame([(r"\p{Nonsense}",), ("abc",), (r"\p{Greek}",)], "pattern string")
+    found = compile_patterns(rows, max_literals=1)
+    assert [r.pattern for r in found.rejects_frame().collect()] == [r"\p{Nonsense}"]
+    texts = spark.createDataFrame([("abc",), ("α",), ("x",)], "t string")
+    assert [r.t for r in drop_matching(texts, "t", found).collect()] == ["x"]
