@@ -15,7 +15,7 @@ QUALITY_THRESHOLD = 0.7
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; without labels to learn from it rejects none."""
-    model = nbsvm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = nbsvm.train(docs, prepare(spark).read.parquet(f"{sf_dir}/labels.parquet"))
     if not model.weights.any():
         return docs
     return nbsvm.score(docs, model, keep=tuple(docs.columns)).where(F.col("score") >= QUALITY_THRESHOLD).drop("score")
@@ -23,6 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, the one with the smallest id; repeated rows go as well."""
+    prepare(spark)
     linked = partenum.jaccard_components(docs, n=4, percent=85)
     first = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
@@ -30,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark passages."""
-    found = fm_index.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), length=13, share=20)
+    found = fm_index.find_contamination(docs, prepare(spark).read.parquet(f"{sf_dir}/benchmark.parquet"), length=13, share=20)
     gone = found.where("contaminated").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
 
@@ -42,6 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 1024 tokens."""
+    prepare(spark)
     return packing.pack_documents(docs, byte_bpe_path(), capacity=1024, end_id=2)
 
 
