@@ -28,7 +28,7 @@ BAND_RATIO = 1.6  # greatest size of a band over that of the band before
 SMALL, SMALL_GROUP, SMALL_LEFT_OUT = 15, 6, 3
 SPARE = 0.04  # further partitions in proportion, so that sets with few empty partitions need no signature for those
 FIRST_CENTERS, MORE_CENTERS = 1, 32
-SKETCH_SHARE = 4  # elements of a set for each byte of its sketch
+FINE_SKETCH = 300  # sets of up to so many elements have a sketch cell for every element, larger ones for every two
 
 SIGNATURES = "signature long, doc_id long, size int"
 SIGNATURE_NAMES = ["signature", "doc_id", "size"]
@@ -122,19 +122,26 @@ def signatures(value: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.
 
 
 def sketch(value: np.ndarray) -> bytes:
-    """One byte for each of 2^b cells of the domain: the sum of what the set has there."""
-    cells = 1 << max(4, (max(0, len(value) - 1) // SKETCH_SHARE).bit_length())
+    """Four bits for each of 2^b cells of the domain: the sum of what the set has there."""
+    share = 1 if len(value) <= FINE_SKETCH else 2
+    cells = 1 << max(4, (max(0, len(value) - 1) // share).bit_length())
     out = np.zeros(cells, dtype=np.uint8)
     code = mixed(value ^ np.uint64(0x3C3C3C3C3C3C3C3C))
     np.add.at(out, (code & np.uint64(cells - 1)).astype(np.int64), (code >> np.uint64(56)).astype(np.uint8))
-    return out.tobytes()
+    out &= 15
+    return (out[: cells // 2] | out[cells // 2 :] << 4).tobytes()
+
+
+def cells_of(drawn: bytes) -> np.ndarray:
+    packed = np.frombuffer(drawn, np.uint8)
+    return np.concatenate([packed & 15, packed >> 4])
 
 
 def folded(sketches: np.ndarray, cells: int) -> np.ndarray:
     """Sketches (one per row) on fewer cells."""
     while sketches.shape[1] > cells:
         half = sketches.shape[1] // 2
-        sketches = sketches[:, :half] + sketches[:, half:]
+        sketches = (sketches[:, :half] + sketches[:, half:]) & 15
     return sketches
 
 
@@ -234,8 +241,8 @@ def _likely_pairs(groups: DataFrame, done: int, centers: int, percent: int) -> D
             for begin, end in zip(edges.tolist(), [*edges[1:].tolist(), len(sig)], strict=True):
                 if sig[begin] != last:
                     last, rank, own = sig[begin], 0, []
-                cells = min(map(len, sketches[begin:end]))
-                many = np.concatenate([folded(np.frombuffer(x, np.uint8)[None, :], cells) for x in sketches[begin:end]])
+                cells = 2 * min(map(len, sketches[begin:end]))
+                many = np.concatenate([folded(cells_of(x)[None, :], cells) for x in sketches[begin:end]])
                 ids, sizes, parts = doc[begin:end], size[begin:end], component[begin:end]
                 fresh = range(max(done, rank), min(centers, rank + end - begin))
                 for center, other, of, drawn, after in [*((*c, 0) for c in own), *((ids[k - rank], sizes[k - rank], parts[k - rank], many[k - rank], k - rank + 1) for k in fresh)]:

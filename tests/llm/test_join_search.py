@@ -80,7 +80,7 @@ def test_similar_sets_share_a_signature_and_pass_the_sketch():
                 continue  # equal sets are one class
             found, row = partenum.signatures(np.r_[x, y], np.array([0, len(x), len(x) + len(y)]), 85)
             assert set(found[row == 0].tolist()) & set(found[row == 1].tolist()), (size, other)
-            one, two = (np.frombuffer(partenum.sketch(s), np.uint8) for s in (x, y))
+            one, two = (partenum.cells_of(partenum.sketch(s)) for s in (x, y))
             assert partenum.may_link(one, len(x), two[None, :], np.array([len(y)]), 85).all()
 
 
