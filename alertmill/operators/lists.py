@@ -114,7 +114,8 @@ def decode_uploads(df: DataFrame, body: str = "body") -> DataFrame:
 
 def upload_outcomes(uploads: DataFrame, order: list[str], body: str = "body") -> DataFrame:
     """Uploads (list_name, body) with ``status`` ok, duplicate or bad_request."""
-    decoded = decode_uploads(uploads, body)
+    # Written once: it is read for the first of each id, for their outcomes and for the refused.
+    decoded = materialize(decode_uploads(uploads, body), "uploads")
     good = add_outcomes(decoded.where("status is null").drop("status"), order)
     return good.unionByName(decoded.where("status is not null"))
 
@@ -144,9 +145,10 @@ def fold_commands(commands: DataFrame) -> DataFrame:
     the last write. Whatever came before the last ``rm`` of an id no longer
     counts, and of the adds of one instant only the first can be taken; both
     are settled by pre-aggregation. What is left holds one row per id and
-    instant and is walked in time order with constant memory.
+    instant and is walked in time order with constant memory. Commands without
+    an id change nothing.
     """
-    rows = commands.withColumn("_us", _us("ts"))
+    rows = commands.where(F.col("id").isNotNull()).withColumn("_us", _us("ts"))
     last_rm = rows.where(F.col("op") == REMOVE).groupBy(*KEY).agg(F.max(F.struct("_us", "seq")).alias("_rm"))
     adds = rows.where((F.col("op") == ADD) & ~_stillborn()).join(last_rm, KEY, "left")
     adds = adds.where(F.col("_rm").isNull() | (F.struct("_us", "seq") > F.col("_rm")))
@@ -217,13 +219,15 @@ def _last_taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def command_outcomes(commands: DataFrame, max_group_rows: int | None = None) -> DataFrame:
-    """Every command with ``status``: ok, duplicate, not_found, or expired on arrival.
+    """Every command with ``status``: ok, duplicate, not_found, expired on arrival, or bad_request without an id.
 
     Within one instant of an id the outcome follows from the command before.
     Only the first command of an instant needs the state carried over from
     earlier ones, which one row per instant is enough to work out.
     """
     limits = {} if max_group_rows is None else {"max_group_rows": max_group_rows}
+    nameless = commands.where(F.col("id").isNull()).withColumn("status", F.lit(BAD_REQUEST))
+    commands = commands.where(F.col("id").isNotNull())
     stillborn = commands.where(_stillborn()).withColumn("status", F.lit(EXPIRED))
     rows = commands.where(~_stillborn()).withColumn("_us", _us("ts"))
     instant = [*KEY, "_us"]
@@ -258,7 +262,7 @@ def command_outcomes(commands: DataFrame, max_group_rows: int | None = None) ->
     ).mapInArrow(_first_outcomes, schema)
     resolved = rows.where("_first").join(firsts, [*instant, "seq"])
     columns = [*commands.columns, "status"]
-    return later.select(*columns).unionByName(resolved.select(*columns)).unionByName(stillborn.select(*columns))
+    return later.select(*columns).unionByName(resolved.select(*columns)).unionByName(stillborn.select(*columns)).unionByName(nameless.select(*columns))
 
 
 def _first_outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

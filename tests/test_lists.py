@@ -177,3 +177,11 @@ def test_wrong_snapshots_are_refused(spark, tmp_path, body):
 def test_empty_snapshot_is_an_empty_list(spark, tmp_path):
     (tmp_path / "s.json").write_text("{}")
     assert read_snapshot(spark, str(tmp_path / "s.json"), "ban").collect() == []
+
+
+def test_commands_without_id_are_refused(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("ban", None, "add", "p", None, at, 1), ("ban", 5, "add", "q", None, at, 2), ("ban", None, "rm", None, None, at, 3)]
+    log = spark.createDataFrame(rows, "list_name string, id bigint, op string, pattern string, expired_at timestamp, ts timestamp, seq bigint")
+    assert [tuple(r)[:3] for r in lists.fold_commands(log).collect()] == [("ban", 5, "q")]
+    assert {r.seq: r.status for r in lists.command_outcomes(log).collect()} == {1: "bad_request", 2: "ok", 3: "bad_request"}
