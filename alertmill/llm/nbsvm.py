@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from alertmill.llm.textbytes import mixed, slices
 
-SAMPLE_ROWS = 12_000  # labelled rows the model is fitted on at most
+SAMPLE_ROWS = 8_000  # labelled rows the model is fitted on at most
 FEATURE_BITS = 17  # n-grams share 2^17 places, so a model never has more weights
 GRAMS = (1, 2, 3)  # lengths of the byte n-grams
 MIX = 0.9  # how far the weights go from their mean size to the fitted ones (the rest is plain Naive Bayes)
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id")
-        model = fit([np.asarray(p, dtype=np.int64) for p in rows["places"]], rows["label"].to_numpy().astype(np.int64))
+        model = fit([np.asarray(p, dtype=np.int32) for p in rows["places"]], rows["label"].to_numpy().astype(np.int64))
         return pd.DataFrame({"weights": [model.weights.astype("<f8").tobytes()], "ratios": [model.ratios.astype("<f8").tobytes()], "rest": [[model.bias, model.slope, model.shift]]})
 
     found = texts.mapInArrow(features, "one int, doc_id long, label int, places array<int>")

@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20  # bytes of text worked on at once; a longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # bytes of text worked on at once; a longer text is a slice of its own
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE, _BASE2 = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 
@@ -42,19 +42,20 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
         row = stop
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    both = []
-    for factor in (base, pow(base, -1, 1 << 64)):
-        out = np.full(size, factor, dtype=np.uint64)
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-        both.append(out)
-    return both[0], both[1]
+_known_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # the longest asked for so far, of each base
 
 
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(base, 1 << max(16, int(n).bit_length()))
+    """The first ``n`` powers of an odd base modulo 2^64, and of its inverse."""
+    if base not in _known_powers or len(_known_powers[base][0]) < n:
+        both = []
+        for factor in (base, pow(base, -1, 1 << 64)):
+            out = np.full(n + n // 8 + 16, factor, dtype=np.uint64)
+            out[0] = 1
+            np.multiply.accumulate(out, out=out)
+            both.append(out)
+        _known_powers[base] = (both[0], both[1])
+    up, down = _known_powers[base]
     return up[:n], down[:n]
 
 

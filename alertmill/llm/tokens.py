@@ -10,7 +10,7 @@ import numpy as np
 from alertmill.llm.textbytes import word_hashes
 
 # Words and word parts whose ids a worker keeps; a store is emptied when it is full.
-KEPT_WORDS, KEPT_PARTS = 1_500_000, 350_000
+KEPT_WORDS, KEPT_PARTS = 1_000_000, 250_000
 # The usual pattern of byte-level vocabularies, which splits a text into the parts that are encoded one by one.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Below this character all versions of the Unicode tables agree on letters and digits.
