@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -60,8 +60,7 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.path = path
         self.parts = Tokenizer.from_file(path)
         self.parts.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
         vocabulary = self.parts.get_vocab()
@@ -73,6 +72,15 @@ class Encoder:
         self.of_part: dict[str, bytes] = {}
         self._forget()
 
+    @cached_property
+    def whole(self):
+        """The library's own way from text to ids; loaded when a word first asks for it."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        return whole
+
     def _forget(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)  # hashes of known words, ascending
         self.place = np.zeros((2, 0), dtype=np.int64)  # where their ids start, and how many there are
