@@ -233,19 +233,20 @@ def _search(docs: DataFrame, phrases: Phrases) -> DataFrame:
     return docs.mapInArrow(search, FOUND)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13, share: int = 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13, share: int = 20, text_key: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_hit, item_ids, spans (words and bytes of the text) and contaminated.
 
     A word inside any occurrence of a window of ``length`` words of a test item is hit; a document is contaminated
     if it has a hit and one word in ``share`` or more is hit. Null and empty texts have no words, an empty benchmark
     hits nothing, an item without id is named ``null``, and each repeated row gets its own result. The test texts are
     sent to the tasks in blocks of at most ``PHRASE_BLOCK_BYTES``; with several blocks the documents are read
-    once per block and the results are joined by id and text.
+    once per block and the results are joined by id and text. With ``text_key`` the hash of each row's text that this
+    is done by is a column as well.
     """
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / PHRASE_BLOCK_BYTES))
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key") if blocks > 1 else F.lit(0).cast("long").alias("text_key"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key") if blocks > 1 or text_key else F.lit(0).cast("long").alias("text_key"))
     found = None
     for k in range(blocks):
         part = named if blocks == 1 else named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
@@ -254,7 +255,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13,
     if blocks > 1:
         found = _joined_blocks(found, blocks)
     hit = F.col("n_hit")
-    return found.select("doc_id", "n_words", "n_hit", "item_ids", "spans", ((hit > 0) & (hit * share >= F.col("n_words"))).alias("contaminated"))
+    more = ["text_key"] if text_key else []
+    return found.select("doc_id", "n_words", "n_hit", "item_ids", "spans", ((hit > 0) & (hit * share >= F.col("n_words"))).alias("contaminated"), *more)
 
 
 def _joined_blocks(found: DataFrame, blocks: int) -> DataFrame:

@@ -30,8 +30,11 @@ SPARE = 0.04  # further partitions in proportion, so that sets with few empty pa
 FIRST_CENTERS, MORE_CENTERS = 1, 32
 FINE_SKETCH = 300  # sets of up to so many elements have a sketch cell for every element, larger ones for every two
 
-SIGNATURES = "signature long, doc_id long, size int"
-SIGNATURE_NAMES = ["signature", "doc_id", "size"]
+SIGNATURES = "signature long, set_a long"
+SIGNATURE_NAMES = ["signature", "set_a"]
+# What tells sets apart, and texts; ids do not, as they can be missing or repeated.
+SET_KEY = ["n_shingles", "set_a", "set_b"]
+TEXT_KEY = ["doc_id", "text_a", "text_b"]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,8 +156,13 @@ def may_link(one: np.ndarray, size: int, many: np.ndarray, sizes: np.ndarray, pe
     return (apart * (100 + percent) <= (sizes + size) * (100 - percent)) & (100 * small >= percent * large)
 
 
+def _text_key() -> list[Column]:
+    """A document's id and two 64-bit hashes of its text, as in ``TEXT_KEY``."""
+    return [F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(*[c.alias(name) for c, name in zip(_text_key(), TEXT_KEY, strict=True)], F.coalesce("text", F.lit("")).alias("text"))
 
 
 def set_digests(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,14 +180,15 @@ def _set_rows(texts: DataFrame, n: int) -> DataFrame:
                 value, bounds = shingle_sets(data, offsets, n)
                 digests = [pa.array(x.view(np.int64)) for x in set_digests(value, bounds)]
                 made = [sketch(value[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                columns = [batch.column("doc_id")[first:stop], pa.array(np.diff(bounds)), *digests, pa.array(made, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"])
+                own = [batch.column(name)[first:stop] for name in TEXT_KEY]
+                columns = [*own, pa.array(np.diff(bounds)), *digests, pa.array(made, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*TEXT_KEY, *SET_KEY, "sketch"])
 
-    return texts.mapInArrow(digest, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary")
+    return texts.mapInArrow(digest, ", ".join(f"{name} long" for name in [*TEXT_KEY, *SET_KEY]) + ", sketch binary")
 
 
 def _signature_rows(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Signatures of all sets; of equal sets in one slice only the first one's, as they are one class anyway."""
+    """Signatures of all sets, each with half the digest of its set; equal sets in one slice are taken once."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,14 +201,13 @@ def _signature_rows(texts: DataFrame, n: int, percent: int) -> DataFrame:
                 value = value[np.repeat(bounds[own] - (ends - count), count) + np.arange(count.sum())]
                 found, row = signatures(value, np.r_[0, ends], percent)
                 if len(found):
-                    doc = batch.column("doc_id")[first:stop].to_numpy()[own[row]]
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(doc), pa.array(count[row], pa.int32())], names=SIGNATURE_NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(one[own[row]].view(np.int64))], names=SIGNATURE_NAMES)
 
-    return texts.mapInArrow(sign, SIGNATURES)
+    return texts.select("text").mapInArrow(sign, SIGNATURES)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Distinct rows of signatures that more than one document has, told by their neighbours in sorted order."""
+    """Distinct rows of signatures that more than one set has, told by their neighbours in sorted order."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -208,8 +216,8 @@ def _shared(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = batch if held is None else pa.concat_batches([held, batch])
-            sig, doc = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-            fresh = np.r_[True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])]
+            sig, own = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            fresh = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])]
             rows, sig = rows.filter(pa.array(fresh)), sig[fresh]
             same = sig[1:] == sig[:-1]
             keep = same | np.r_[before is not None and sig[0] == before, same[:-1]] if len(same) else same
@@ -220,13 +228,13 @@ def _shared(rows: DataFrame) -> DataFrame:
         if held is not None and before is not None and held.column(0)[0].as_py() == before:
             yield held
 
-    return rows.repartition("signature").sortWithinPartitions("signature", "doc_id").mapInArrow(walk, SIGNATURES)
+    return rows.repartition("signature").sortWithinPartitions("signature", "set_a").mapInArrow(walk, SIGNATURES)
 
 
 def _likely_pairs(groups: DataFrame, done: int, centers: int, percent: int) -> DataFrame:
     """Pairs of members ``done`` to ``centers`` of every group with the later members of other components that sizes and sketches leave.
 
-    ``groups`` are (signature, doc_id, size, component, sketch). Members are taken in a fixed order and streamed, so a
+    ``groups`` are (signature, class_id, size, component, sketch). Members are taken in a fixed order and streamed, so a
     group is never held, only its centers are; pairs that are ruled out are not emitted.
     """
 
@@ -234,7 +242,7 @@ def _likely_pairs(groups: DataFrame, done: int, centers: int, percent: int) -> D
         last, rank = None, 0
         own: list[tuple[int, int, int, np.ndarray]] = []
         for batch in batches:
-            sig, doc, size, component = (batch.column(k).to_numpy() for k in range(4))
+            sig, own_class, size, component = (batch.column(k).to_numpy() for k in range(4))
             sketches = batch.column(4).to_pylist()
             seen: set[tuple[int, int]] = set()
             edges = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
@@ -243,7 +251,7 @@ def _likely_pairs(groups: DataFrame, done: int, centers: int, percent: int) -> D
                     last, rank, own = sig[begin], 0, []
                 cells = 2 * min(map(len, sketches[begin:end]))
                 many = np.concatenate([folded(cells_of(x)[None, :], cells) for x in sketches[begin:end]])
-                ids, sizes, parts = doc[begin:end], size[begin:end], component[begin:end]
+                ids, sizes, parts = own_class[begin:end], size[begin:end], component[begin:end]
                 fresh = range(max(done, rank), min(centers, rank + end - begin))
                 for center, other, of, drawn, after in [*((*c, 0) for c in own), *((ids[k - rank], sizes[k - rank], parts[k - rank], many[k - rank], k - rank + 1) for k in fresh)]:
                     open_ = after + np.flatnonzero(parts[after:] != of)
@@ -256,8 +264,8 @@ def _likely_pairs(groups: DataFrame, done: int, centers: int, percent: int) -> D
                 left, right = zip(*seen, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    columns = ("signature", "doc_id", "size", "component", "sketch")
-    return groups.select(*columns).repartition("signature").sortWithinPartitions("signature", "doc_id").mapInArrow(pair, "a long, b long").distinct()
+    columns = ("signature", "class_id", "size", "component", "sketch")
+    return groups.select(*columns).repartition("signature").sortWithinPartitions("signature", "class_id").mapInArrow(pair, "a long, b long").distinct()
 
 
 def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -279,12 +287,12 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
                     links[k] = 100 * both >= percent * (len(kept[1]) + len(other) - both)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(links)) for c in ("a", "b")], names=["a", "b"])
 
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("class_id").alias("b"), F.col("text").alias("text_b"))
+    one = texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a"))
     return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def components(nodes: DataFrame, links: DataFrame, node: str = "doc_id", component: str = "component") -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, node: str = "class_id", component: str = "component") -> DataFrame:
     """Least node reachable from every node of ``nodes`` over ``links`` (a, b), by hooking to least neighbours and pointer jumping.
 
     Each round takes the least label among a node's neighbours and then the label of that label, so a chain of n
@@ -312,22 +320,41 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 
     Rows link when their sets of ``n``-word shingles have a Jaccard similarity of ``percent`` or more; component_id is the
     least doc_id reachable by links, the row's own included. Null and blank texts have an empty set and link with
-    nothing; rows with equal sets are one class. An id names one text: rows may repeat it with the same text.
+    nothing; rows with equal sets are one class. A missing id counts as the smallest; rows without id or with a
+    repeated one are told apart by their texts.
     """
-    texts = _texts(docs)
-    sets = materialize(_set_rows(texts, n), "sets")
-    classes = materialize(
-        sets.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id")), "classes"
-    )
-    linked = class_components(texts, sets, classes, n, percent)
-    key = ["n_shingles", "set_a", "set_b"]
-    found = sets.join(classes, key, "left").join(linked, "class_id", "left")
-    own = F.coalesce("component", "class_id", "doc_id")
-    return found.select(_id("doc_id"), "n_shingles", _id_of(own).alias("component_id"))
+    sets, classes, linked = _linked(docs, n, percent)
+    least = classes.join(linked, "class_id").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = classes.join(linked.join(least, "component"), "class_id", "left")
+    named = named.select(*SET_KEY, F.coalesce("least", "doc_id").alias("least"))
+    found = sets.join(named, SET_KEY, "left")
+    return found.select(_id_of(F.col("doc_id")).alias("doc_id"), "n_shingles", _id_of(F.coalesce("least", "doc_id")).alias("component_id"))
+
+
+def one_of_each_component(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """Rows of ``docs``, of each component the one with the smallest id (no id is smallest) and, among those, least text hash.
 
+    Rows without words are components of their own; rows that repeat both id and text are one.
+    """
+    sets, classes, linked = _linked(docs, n, percent)
+    own = F.coalesce("component", "class_id").alias("component")
+    first = classes.join(linked, "class_id", "left").groupBy(own).agg(F.min(F.struct(*TEXT_KEY)).alias("first"))
+    kept = first.select("first.*").unionByName(sets.where("n_shingles = 0").select(*TEXT_KEY).distinct())
+    names = [f"_near_{name}" for name in TEXT_KEY]
+    told = docs.withColumns(dict(zip(names, _text_key(), strict=True)))
+    return told.join(kept.toDF(*names), names, "left_semi").dropDuplicates(names).drop(*names)
+
+
+def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets of all rows, the classes of equal ones with their first text, and the components of the classes that links can join.
 
-def _id(name: str) -> Column:
-    return _id_of(F.col(name)).alias(name)
+    The key of a class is its 128-bit digest and size; class_id is a number given out for each key.
+    """
+    texts = _texts(docs)
+    sets = materialize(_set_rows(texts, n), "sets")
+    first = sets.where("n_shingles > 0").groupBy(*SET_KEY).agg(F.min(F.struct(*TEXT_KEY)).alias("first"))
+    classes = materialize(first.select(*SET_KEY, "first.*", F.monotonically_increasing_id().alias("class_id")), "classes")
+    return sets, classes, class_components(texts, sets, classes, n, percent)
 
 
 def _id_of(value: Column) -> Column:
@@ -340,39 +367,40 @@ def class_components(texts: DataFrame, sets: DataFrame, classes: DataFrame, n: i
     Each round compares some members of every group of a signature with its later members, unless links that are
     known already join them; a group is done when all its members are joined or have been compared.
     """
-    key = ["n_shingles", "set_a", "set_b"]
-    member = sets.where("n_shingles > 0").join(classes, key).select("doc_id", "class_id")
-    drawn = sets.select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    shared = _shared(_signature_rows(texts, n, percent)).join(member, "doc_id").select("signature", F.col("class_id").alias("doc_id"), "size")
-    groups = materialize(_shared(shared), "groups")
-    labels = groups.select("doc_id").distinct().withColumn("component", F.col("doc_id"))
+    # classes that agree in half of the digest only both take its signatures
+    member = classes.select("set_a", "class_id", F.col("n_shingles").cast("int").alias("size"))
+    groups = materialize(_shared(_signature_rows(texts, n, percent)).join(member, "set_a").select("signature", "class_id", "size"), "groups")
+    labels = groups.select("class_id").distinct().withColumn("component", F.col("class_id"))
+    drawn = classes.join(labels, "class_id").select(*SET_KEY, "class_id")
+    drawn = materialize(sets.select(*SET_KEY, "sketch").join(drawn, SET_KEY).dropDuplicates(SET_KEY).select("class_id", "sketch"), "sketches")
     done, upto = 0, FIRST_CENTERS
     while True:
-        labelled = groups.join(labels, "doc_id")
+        labelled = groups.join(labels, "class_id")
         mixed_up = labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
         open_groups = mixed_up.where(f"low < high AND members > {done + 1}").select("signature")
         current = materialize(labelled.join(open_groups, "signature", "left_semi"), "open")
         if current.isEmpty():
-            return labels.select(F.col("doc_id").alias("class_id"), "component")
-        likely = materialize(_likely_pairs(current.join(drawn, "doc_id"), done, upto, percent), "likely")
-        links = materialize(_links(likely, _texts_of(likely, texts), n, percent), "links")
+            return labels
+        likely = materialize(_likely_pairs(current.join(drawn, "class_id"), done, upto, percent), "likely")
+        links = materialize(_links(likely, _texts_of(likely, classes, texts), n, percent), "links")
         if not links.isEmpty():
             labels = materialize(_relabelled(labels, links), "labels")
-        groups = current.select("signature", "doc_id", "size")
+        groups = current.select("signature", "class_id", "size")
         done, upto = upto, upto * MORE_CENTERS
 
 
-def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts of the documents in ``pairs``, written once for both sides."""
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
-    return materialize(texts.join(ids, "doc_id").dropDuplicates(["doc_id"]), "pair-texts")
+def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The first texts of the classes in ``pairs``, written once for both sides."""
+    ids = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
+    first = materialize(classes.join(ids, "class_id").select(*TEXT_KEY, "class_id"), "pair-ids")
+    return materialize(texts.join(first, TEXT_KEY).dropDuplicates(TEXT_KEY).select("class_id", "text"), "pair-texts")
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after more links: components of the labels that the links join."""
-    of = lambda x: labels.select(F.col("doc_id").alias(x), F.col("component").alias(f"of_{x}"))
+    of = lambda x: labels.select(F.col("class_id").alias(x), F.col("component").alias(f"of_{x}"))
     joined = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct()
     joined = materialize(joined, "joined")
-    nodes = joined.select(F.col("a").alias("doc_id")).union(joined.select("b")).distinct()
-    found = components(nodes, joined, component="least").withColumnRenamed("doc_id", "component")
-    return labels.join(found, "component", "left").select("doc_id", F.coalesce("least", "component").alias("component"))
+    nodes = joined.select(F.col("a").alias("class_id")).union(joined.select("b")).distinct()
+    found = components(nodes, joined, component="least").withColumnRenamed("class_id", "component")
+    return labels.join(found, "component", "left").select("class_id", F.coalesce("least", "component").alias("component"))

@@ -24,16 +24,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, the one with the smallest id; repeated rows go as well."""
     prepare(spark)
-    linked = partenum.jaccard_components(docs, n=4, percent=85)
-    first = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    return partenum.one_of_each_component(docs, n=4, percent=85)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark passages."""
-    found = fm_index.find_contamination(docs, prepare(spark).read.parquet(f"{sf_dir}/benchmark.parquet"), length=13, share=20)
-    gone = found.where("contaminated").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    found = fm_index.find_contamination(docs, prepare(spark).read.parquet(f"{sf_dir}/benchmark.parquet"), length=13, share=20, text_key=True)
+    gone = found.where("contaminated").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    # ids can be missing or repeated
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key"))
+    return docs.join(gone, same, "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,3 +135,38 @@ def test_empty_tables(spark):
     assert jaccard_components(frame(spark, [])).collect() == []
     empty = frame(spark, [])
     assert top_documents(empty, empty).collect() == []
+
+
+def told_apart():
+    """Rows without id and with repeated ids, among near copies and exact copies with an id."""
+    rnd, docs = random.Random(5), []
+    for g in range(6):
+        base = [str(rnd.randrange(10**6)) for _ in range(60)]
+        near = [*base[:59], "x"]
+        docs += [(None, " ".join(base)), (20_000 + g, " ".join(base)), (20_100 + g % 2, " ".join(near)), (20_200 + g, f"y {g} z " * 40)]
+    return docs + [(None, f"only {k} once " + " ".join(str(rnd.randrange(10**6)) for _ in range(40))) for k in range(6)]
+
+
+def test_rows_without_or_with_repeated_ids_are_told_apart(spark, odd):
+    docs = told_apart() + odd + near_copies()[:40]
+    got = jaccard_components(frame(spark, docs)).collect()
+    assert sorted(map(tuple, got), key=repr) == components_brute(docs)
+
+
+def test_rows_without_id_keep_two_components_apart(spark):
+    docs = [(None, "a b c d e f"), (None, "u v w x y z"), (7, "a b c d e f"), (9, "u v w x y z")]
+    kept = partenum.one_of_each_component(frame(spark, docs)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(None, "a b c d e f"), (None, "u v w x y z")]
+
+
+def test_one_row_of_each_component(spark):
+    docs = told_apart() + [(None, None), (None, ""), (None, ""), (30_000, ""), (30_000, " ")]
+    kept = partenum.one_of_each_component(frame(spark, docs)).collect()
+    of = {}  # distinct rows stand for themselves, so that a component is told by its members
+    named = list(dict.fromkeys(docs))
+    for k, _, c in components_brute([(k, t) for k, (_, t) in enumerate(named)]):
+        of[named[k]] = c
+    assert len({(r.doc_id, r.text) for r in kept}) == len(kept) == len(set(of.values()))
+    assert {of[r.doc_id, r.text] for r in kept} == set(of.values())
+    rank = lambda doc: -1 if doc is None else doc
+    assert all(rank(r.doc_id) == min(rank(d) for (d, t), c in of.items() if c == of[r.doc_id, r.text]) for r in kept)

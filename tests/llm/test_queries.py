@@ -50,3 +50,13 @@ def test_pipeline_stage_by_stage(spark):
         else:
             assert set(kept) == set(before) and not any(base_brute(t) for t in kept.values())
             assert all(kept[d] == t for d, t in before.items() if not base_brute(t) and "token" not in lower(t) and ALNUM.search(t))
+
+
+def test_stages_keep_clean_rows_without_id(spark):
+    """Rows without id are not dropped for another one's sake."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    docs = [(None, f"clean {k} " + " ".join(f"w{k}x{i}" for i in range(30))) for k in range(4)] + [(None, item), (8, item.upper()), (8, "short")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    near = corpus_pipeline.near_duplicates(spark, rows, SF)
+    clean = corpus_pipeline.decontamination(spark, near, SF).collect()
+    assert {r.text for r in clean} == {t for _, t in docs if t.lower() != item.lower()}
