@@ -26,6 +26,8 @@ SPREAD = 8
 SHARD_CHARS = 4_000_000
 # A core with more open segments is dealt out by single phrases.
 CORE_SEGMENTS = 20_000
+# Longer phrases are known by a 128-bit digest, so that what is kept of a core has a bound, however long its words are.
+KEY_CHARS = 100
 PASSAGES = "shard long, doc_id long, part int, first long, words string"
 FOUND = "doc_id long, part int, start long, end long"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -67,21 +69,31 @@ def _passages(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(read, PASSAGES)
 
 
-def recurring_phrases(segments: list[tuple[int, int, int, list[str]]], length: int, known: dict[str, int]) -> dict[str, int]:
-    """Phrases of ``length`` words that start in two documents or more, with the smallest document id.
+def phrase_key(phrase: str) -> str | bytes:
+    return phrase if len(phrase) <= KEY_CHARS else hashlib.blake2b(phrase.encode(), digest_size=16).digest()
 
-    ``known`` are phrases of earlier segments.
+
+def least_documents(segments: list[tuple[int, int, int, list[str]]], length: int, known: dict) -> tuple[dict, dict[str, int]]:
+    """Smallest document id by the key of every phrase of ``length`` words, and by phrase of those in two documents or more.
+
+    ``known`` are keys of phrases of earlier segments.
     """
     least = dict(known)
-    several: set[str] = set()
+    several: dict[str, str | bytes] = {}
     for doc, _, _, own in segments:
         for k in range(len(own) - length + 1):
             phrase = " " + " ".join(own[k : k + length]) + " "
-            seen = least.setdefault(phrase, doc)
+            key = phrase_key(phrase)
+            seen = least.setdefault(key, doc)
             if seen != doc:
-                several.add(phrase)
-                least[phrase] = min(seen, doc)
-    return {p: least[p] for p in several}
+                several[phrase] = key
+                least[key] = min(seen, doc)
+    return least, {p: least[key] for p, key in several.items()}
+
+
+def recurring_phrases(segments: list[tuple[int, int, int, list[str]]], length: int, known: dict) -> dict[str, int]:
+    """Phrases of ``length`` words that start in two documents or more, with the smallest document id."""
+    return least_documents(segments, length, known)[1]
 
 
 def find_phrases(segments: list[tuple[int, int, int, list[str]]], phrases: dict[str, int], length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -107,8 +119,8 @@ def _occurrences(passages: DataFrame, length: int) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, list[str]]] = []
-        known: dict[str, int] = {}
-        size, last = 0, None
+        known: dict[str | bytes, int] = {}
+        size, last, begin = 0, None, 0  # the segments of the last shard begin there
 
         def found() -> pa.RecordBatch | None:
             rows = list(find_phrases(held, recurring_phrases(held, length, known), length))
@@ -117,13 +129,14 @@ def _occurrences(passages: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             for shard, doc, part, first, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if size > SHARD_CHARS and (shard != last or size > 8 * SHARD_CHARS):
-                    # more of one shard than that are equal phrases in the order of their documents
+                if size > SHARD_CHARS:
                     if rows := found():
                         yield rows
-                    phrase = " " + " ".join(held[-1][3]) + " "
-                    known = {phrase: known.get(phrase, min(h[0] for h in held if h[3] == held[-1][3]))} if shard == last else {}
-                    held, size = [], 0
+                    # a shard that goes on does so in the order of its documents; it has one phrase, or at most those of CORE_SEGMENTS segments
+                    known = least_documents(held[begin:], length, {} if begin else known)[0] if shard == last else {}
+                    held, size, begin = [], 0, 0
+                elif shard != last:
+                    begin = len(held)
                 held.append((doc, part, first, text.split(" ")))
                 size += len(text)
                 last = shard

@@ -76,6 +76,19 @@ def test_equal_phrases_can_be_split_between_automata():
     assert list(phrase_dedup.find_phrases(held[1:2], later, 3)) == [(2, 0, 0, 3)]
 
 
+def test_large_cores_are_split_without_forgetting(spark, monkeypatch):
+    monkeypatch.setattr(phrase_dedup, "SHARD_CHARS", 3000)
+    rnd = np.random.default_rng(4)
+    word = lambda: str(rnd.integers(10**9)) * 20
+    passage = [word() for _ in range(18)]
+    docs = []
+    for k in range(60):
+        a, b = int(rnd.integers(0, 4)), int(rnd.integers(15, 19))
+        docs.append((k, " ".join([*(word() for _ in range(9)), *passage[a:b], *(word() for _ in range(9))])))
+    got = remove_repeated_phrases(frame(spark, docs), 13).drop("kept_text").collect()
+    assert sorted(map(tuple, got), key=repr) == words_brute(docs, 13)
+
+
 def test_empty_tables(spark):
     assert remove_repeated_bytes(frame(spark, [])).collect() == []
     assert remove_repeated_phrases(frame(spark, [])).collect() == []
