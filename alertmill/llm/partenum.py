@@ -331,7 +331,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     return found.select(_id_of(F.col("doc_id")).alias("doc_id"), "n_shingles", _id_of(F.coalesce("least", "doc_id")).alias("component_id"))
 
 
-def one_of_each_component(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+def one_of_each_component(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs``, of each component the one with the smallest id (no id is smallest) and, among those, least text hash.
 
     Rows without words are components of their own; rows that repeat both id and text are one.

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -8,7 +10,7 @@ from alertmill.llm.queries import ORACLE_SQL, QUERIES
 from ..test_catalog import TABLES, rows
 from .conftest import ALNUM, lower
 from .test_filters import base_brute, contamination_brute
-from .test_join_search import components_brute
+from .test_join_search import components_brute, near_copies
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,6 +54,18 @@ def test_pipeline_stage_by_stage(spark):
             assert all(kept[d] == t for d, t in before.items() if not base_brute(t) and "token" not in lower(t) and ALNUM.search(t))
 
 
+def test_near_duplicate_stage_links_from_four_fifths_of_five_words(spark):
+    rnd, docs = random.Random(6), near_copies()
+    for edits in (9, 10, 11):
+        base = [str(rnd.randrange(10**6)) for _ in range(454)]
+        own = [f"edit{k}" if k % 40 == 20 and k < 40 * edits else w for k, w in enumerate(base)]
+        docs += [(100 * edits, " ".join(base)), (100 * edits + 1, " ".join(own))]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()
+    want = {d for d, _, c in components_brute(docs, 5, 80) if d == c}
+    assert want & {901, 1001, 1101} == {1101}  # 10 edits leave 400 of 500
+    assert sorted(r.doc_id for r in kept) == sorted(want)
+
+
 def test_stages_keep_clean_rows_without_id(spark):
     """Rows without id are not dropped for another one's sake."""
     item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
