@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertmill.llm import bmw, chat, dac, fm_index, nbsvm, packing, partenum, phrase_dedup, pii, suffix_dedup
+from alertmill.llm import blob_ledger, bmw, chat, dac, fm_index, hard_negatives, merkle, nbsvm, packing, partenum, phrase_dedup, pii, suffix_dedup
+from alertmill.llm.sql import ORACLE_SQL as MORE_SQL
 from alertmill.llm.tokens import byte_bpe_path
 from alertmill.session import prepare
-from alertmill.storage import materialize
+from alertmill.storage import materialize, new_table_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +79,43 @@ def op10_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated")
 
 
+def op11_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = blob_ledger.Ledger(spark, new_table_path(spark, "ledger"))
+    blob_ledger.update(docs, ledger)
+    found = blob_ledger.findings(docs, ledger)
+    names = [r.kind for r in blob_ledger.BASE]
+    base = F.filter("secrets", lambda s: s["kind"].isin(names))
+    of_kind = lambda k: F.filter("secrets", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in names]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("secrets")).alias("spans"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    floored = lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.floor(256 * x).cast("double"))
+    scaled = F.transform("embedding", lambda x: floored(x.cast("double")))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", shifted.alias("label"), scaled.alias("embedding"))
+    return hard_negatives.mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    touched = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0) & (lower != F.col("text"))
+    tampered = F.when(touched, merkle.leaf(*fields, lower))
+    leaves = docs.select("doc_id", "lang", merkle.leaf(*fields, F.col("text")).alias("leaf"), F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), tampered).alias("carry"))
+    made = merkle.manifest(leaves)
+    start = F.coalesce(F.try_element_at(F.split("carry", ","), F.lit(2)), F.col("leaf"))
+    doc_id = F.element_at(F.split("carry", ","), 1)
+    read = made.select(
+        F.when(doc_id != "", doc_id).cast("long").alias("doc_id"), "leaf", "subroot", "root",
+        F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), merkle.folded(start, F.col("proof")).alias("folded_root"),
+    )
+    return read.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_phrase_automata": op2_phrase_automata,
@@ -89,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_reply_trees": op9_reply_trees,
     "op10_fm_index_decontamination": op10_fm_index_decontamination,
+    "op11_blob_ledger": op11_blob_ledger,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -130,4 +171,5 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
     chars::BIGINT AS formatted_chars
 FROM g
 """,
+    **MORE_SQL,
 }
