@@ -32,6 +32,10 @@ BAN = [(r'\\"k\\": 1[0-9]\}', None), ('"severity":"click"', "2024-02-01 00:00:00
 NOTIFY = ['"severity":"(error|purchase|signup|view)"', r'"host":"1[[:digit:]]*"']
 AS_OF = "2024-01-15 00:00:00"
 WORDS = [(1, r"(?i)\bthe\b"), (2, "[[:digit:]]{4}"), (3, r"(?:license|copyright)"), (4, r"\.$"), (5, r"^[A-Z][a-z]+ans\b")]
+LOOPING = [
+    (1, "(foo|bar)+"), (2, "(?:ab|c)*d"), (3, r"([0-9]+\.)+[0-9]+"), (4, r"(\w+\s)*error"), (5, "(?:[a-z]+-)*[a-z]+"), (6, r"^(\d+,)*\d+$"),
+    (7, r"^([A-Z]?[a-z]+[ ,.]+)+the"), (8, r"(?s)^([^\n]+\n)*license"), (9, r"(?:the|re|an)+\b"), (10, r"^(\w+\s?|[.,;]\s*)*$"),
+]
 GREP = [(1, r"\b[A-Z][a-z]+ing\b"), (2, "(?i)thth"), (3, r"[0-9]{3}-[0-9]{4}"), (4, "no such line at all"), (5, "broken("), (6, "^$"), (7, "e")]
 QUERIES_BY_ID = [
     (1, '{"brand":"Brand#2","type":"ECONOMY"}'),
@@ -110,6 +114,11 @@ def pattern_routes(spark, sf):
     return route_matches(docs, "text", _routes(spark)).select("doc_id", "route", "pattern")
 
 
+def pattern_loops(spark, sf):
+    looping = literal_patterns(spark, [(f"r{n}", p) for n, p in LOOPING])
+    return route_matches(tb.documents(spark, sf), "text", looping).select("doc_id", "route", "pattern")
+
+
 def near_dup_send(spark, sf):
     msgs = tb.short_texts(spark, sf)
     profile = tb.table(spark, sf, "events")
@@ -516,7 +525,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         syslog_parse, syslog_rejects, subject_publish, subject_filter, publish_folders, ban_filter, list_exists,
-        pattern_routes, near_dup_send, near_dup_by_user, min_distance, notify_alerts, notify_fanout, alert_render,
+        pattern_routes, pattern_loops, near_dup_send, near_dup_by_user, min_distance, notify_alerts, notify_fanout, alert_render,
         alert_html, batch_salt, list_add_first_wins, list_add_outcomes, list_upload, list_active, list_delete,
         list_remaining, list_state_fold, list_command_outcomes, list_snapshot_json, list_snapshot_decode, list_text,
         list_gc, list_gc_empty, list_patterns, duration_parse, chat_updates, chat_next_offset, chat_commands,
