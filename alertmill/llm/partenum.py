@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.llm.repeats import NO_ID
+from alertmill.llm.scratch import Scratch
 from alertmill.llm.textbytes import LOWER, WORD_BY_SPACE, Sums, mixed, slices, word_hashes, words
 from alertmill.storage import materialize
 
@@ -26,8 +27,10 @@ BAND_RATIO = 1.6  # greatest size of a band over that of the band before
 # For sets that can differ in up to SMALL elements: partitions of a first-level group, and the most differences in it.
 # Their signatures cover a large part of the set, so that one frequent passage does not make short texts candidates.
 SMALL, SMALL_GROUP, SMALL_LEFT_OUT = 15, 6, 3
-SPARE = 0.04  # further partitions in proportion, so that sets with few empty partitions need no signature for those
+SPARE = 0.25  # further partitions in proportion, so that sets need no signature for partitions with few elements
 FIRST_CENTERS, MORE_CENTERS = 1, 32
+FIRST_SHARE = 16  # of all signatures one in so many is looked at first: it joins most copies, so that the others stay out of pairs
+HELD_PAIRS = 200_000  # pairs a task remembers so that it names them once
 FINE_SKETCH = 300  # sets of up to so many elements have a sketch cell for every element, larger ones for every two
 
 SIGNATURES = "signature long, set_a long"
@@ -64,11 +67,12 @@ def greatest_difference(size: int, percent: int) -> int:
 
 
 def partitions(k: int) -> tuple[int, int, int, int]:
-    """First-level groups, partitions in each, how many of them a signature leaves out, and empty partitions to spare.
+    """First-level groups, partitions in each, how many of them a signature leaves out, and partitions to spare.
 
     Some group has at most ``k // groups`` of the differences, so leaving that many partitions out gives a common
-    signature. Large sets have groups of two: of all partitions more than ``spare`` agree, so of two sets with
-    at most ``spare`` empty ones an agreeing partition is not empty.
+    signature. Large sets have groups of two: of all partitions more than ``spare`` agree. A set has no signature for
+    partitions of up to m elements, m as great as it can be while at most ``spare`` of its partitions have so few. Of two
+    similar sets take the one with the greater m: an agreeing partition has more elements than that, in both.
     """
     if k <= SMALL:
         groups = -(-(k + 1) // (SMALL_LEFT_OUT + 1))
@@ -106,17 +110,23 @@ def signatures(value: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.
         cell = np.repeat(np.arange(len(own)) * n, count) + (mixed(element ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(n)).astype(np.int64)
         total = np.zeros(len(own) * n, dtype=np.uint64)
         np.add.at(total, cell, mixed(element))
-        empty = np.bincount(cell, minlength=len(own) * n).reshape(len(own), n) == 0
-        empty_needed = empty.sum(axis=1) > spare
-        total, empty = total.reshape(len(own), groups, width), empty.reshape(len(own), groups, width)
+        filled = np.bincount(cell, minlength=len(own) * n).reshape(len(own), n)
+        few = np.full(len(own), -1)
+        for m in range(max(0, spare) and int(filled.max(initial=0))):
+            enough = (filled <= m).sum(axis=1) <= spare
+            if not enough.any():
+                break
+            few[enough] = m
+        weak = (filled <= few[:, None]).reshape(len(own), groups, width)
+        total = total.reshape(len(own), groups, width)
         group = np.arange(groups, dtype=np.uint64)
         for subset in combinations(range(width), width - left_out):
             part, none = np.zeros(total.shape[:2], dtype=np.uint64), np.ones(total.shape[:2], dtype=bool)
             for member in subset:
                 part = part + total[:, :, member] * np.uint64(2 * member + 1)
-                none &= empty[:, :, member]
+                none &= weak[:, :, member]
             name = mixed(np.uint64(band) << np.uint64(40) | group << np.uint64(8) | np.uint64(sum(1 << m for m in subset)))
-            keep = ~none | empty_needed[:, None]
+            keep = ~none
             found.append(mixed(part ^ name[None, :])[keep])
             rows.append(np.broadcast_to(own[:, None], keep.shape)[keep])
     if not found:
@@ -241,6 +251,7 @@ def _likely_pairs(groups: DataFrame, done: int, centers: int, percent: int) -> D
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rank = None, 0
         own: list[tuple[int, int, int, np.ndarray]] = []
+        told: set[tuple[int, int]] = set()
         for batch in batches:
             sig, own_class, size, component = (batch.column(k).to_numpy() for k in range(4))
             sketches = batch.column(4).to_pylist()
@@ -260,7 +271,9 @@ def _likely_pairs(groups: DataFrame, done: int, centers: int, percent: int) -> D
                         seen.update((int(center), x) for x in ids[hit].tolist())
                 own += [(ids[k - rank], sizes[k - rank], parts[k - rank], many[k - rank]) for k in fresh]
                 rank += end - begin
+            seen -= told
             if seen:
+                told = told | seen if len(told) < HELD_PAIRS else seen
                 left, right = zip(*seen, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
@@ -351,49 +364,65 @@ def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     The key of a class is its 128-bit digest and size; class_id is a number given out for each key.
     """
     texts = _texts(docs)
-    sets = materialize(_set_rows(texts, n), "sets")
-    first = sets.where("n_shingles > 0").groupBy(*SET_KEY).agg(F.min(F.struct(*TEXT_KEY)).alias("first"))
-    classes = materialize(first.select(*SET_KEY, "first.*", F.monotonically_increasing_id().alias("class_id")), "classes")
-    return sets, classes, class_components(texts, sets, classes, n, percent)
+    written = Scratch(docs.sparkSession)
+    drawn = written.write(_set_rows(texts, n), "sets")
+    first = drawn.where("n_shingles > 0").groupBy(*SET_KEY).agg(F.min(F.struct(*TEXT_KEY)).alias("first"), F.first("sketch").alias("sketch"))
+    classes = written.write(first.select(*SET_KEY, "first.*", "sketch", F.monotonically_increasing_id().alias("class_id")), "classes")
+    sets = written.write(drawn.drop("sketch"), "set-keys")
+    written.drop(drawn)
+    return sets, classes.drop("sketch"), class_components(texts, classes, n, percent)
 
 
 def _id_of(value: Column) -> Column:
     return F.when(value != NO_ID, value)
 
 
-def class_components(texts: DataFrame, sets: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+def class_components(texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """(class_id, component) of all classes that share a signature with another.
 
-    Each round compares some members of every group of a signature with its later members, unless links that are
-    known already join them; a group is done when all its members are joined or have been compared.
+    A share of the signatures is looked at first. Each round compares some members of every group of a signature
+    with its later members, unless links that are known already join them; a group is done when all its members are joined or
+    have been compared.
     """
+    written = Scratch(texts.sparkSession)
     # classes that agree in half of the digest only both take its signatures
     member = classes.select("set_a", "class_id", F.col("n_shingles").cast("int").alias("size"))
-    groups = materialize(_shared(_signature_rows(texts, n, percent)).join(member, "set_a").select("signature", "class_id", "size"), "groups")
-    labels = groups.select("class_id").distinct().withColumn("component", F.col("class_id"))
-    drawn = classes.join(labels, "class_id").select(*SET_KEY, "class_id")
-    drawn = materialize(sets.select(*SET_KEY, "sketch").join(drawn, SET_KEY).dropDuplicates(SET_KEY).select("class_id", "sketch"), "sketches")
-    done, upto = 0, FIRST_CENTERS
-    while True:
-        labelled = groups.join(labels, "class_id")
-        mixed_up = labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
-        open_groups = mixed_up.where(f"low < high AND members > {done + 1}").select("signature")
-        current = materialize(labelled.join(open_groups, "signature", "left_semi"), "open")
-        if current.isEmpty():
-            return labels
-        likely = materialize(_likely_pairs(current.join(drawn, "class_id"), done, upto, percent), "likely")
-        links = materialize(_links(likely, _texts_of(likely, classes, texts), n, percent), "links")
-        if not links.isEmpty():
-            labels = materialize(_relabelled(labels, links), "labels")
-        groups = current.select("signature", "class_id", "size")
-        done, upto = upto, upto * MORE_CENTERS
-
-
-def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    groups = written.write(_shared(_signature_rows(texts, n, percent)).join(member, "set_a").select("signature", "class_id", "size"), "groups")
+    written.release()
+    labels = written.write(groups.select("class_id").distinct().withColumn("component", F.col("class_id")), "labels")
+    share = F.pmod("signature", F.lit(FIRST_SHARE)) == 0
+    for part in (groups.where(share), groups.where(~share)):
+        done, upto, current = 0, FIRST_CENTERS, part
+        while True:
+            labelled = current.select("signature", "class_id", "size").join(labels, "class_id")
+            mixed_up = labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+            open_groups = mixed_up.where(f"low < high AND members > {done + 1}").select("signature")
+            before, current = current, written.write(labelled.join(open_groups, "signature", "left_semi"), "open")
+            written.drop(before)
+            if current.isEmpty():
+                break
+            likely = written.write(_likely_pairs(current.join(classes.select("class_id", "sketch"), "class_id"), done, upto, percent), "likely")
+            written.release()
+            chosen = _texts_of(likely, classes, texts, written)
+            links = written.write(_links(likely, chosen, n, percent), "links")
+            written.drop(chosen, likely)
+            if not links.isEmpty():
+                old, labels = labels, written.write(_relabelled(labels, links), "labels")
+                written.drop(old)
+            written.drop(links)
+            done, upto = upto, upto * MORE_CENTERS
+        written.drop(current)
+    written.drop(groups)
+    return labels
+
+
+def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame, written: Scratch) -> DataFrame:
     """The first texts of the classes in ``pairs``, written once for both sides."""
     ids = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
-    first = materialize(classes.join(ids, "class_id").select(*TEXT_KEY, "class_id"), "pair-ids")
-    return materialize(texts.join(first, TEXT_KEY).dropDuplicates(TEXT_KEY).select("class_id", "text"), "pair-texts")
+    first = written.write(classes.join(ids, "class_id").select(*TEXT_KEY, "class_id"), "pair-ids")
+    found = written.write(texts.join(first, TEXT_KEY).dropDuplicates(TEXT_KEY).select("class_id", "text"), "pair-texts")
+    written.drop(first)
+    return found
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
