@@ -11,9 +11,10 @@ from alertmill.functions import text as fx
 from alertmill.functions.subjects import subject_matches
 from alertmill.operators import chat, delivery, documents, inventory, lists, outbox, similarity
 from alertmill.operators.grep import grep, grep_outcomes
+from alertmill.operators.history import item_history
 from alertmill.operators.patterns import drop_matching, flag_matches, literal_patterns, compile_patterns, route_matches
 from alertmill.plans import tables as tb
-from alertmill.plans.chatbot import change_replies, list_replies, list_state, whois_replies
+from alertmill.plans.chatbot import change_replies, list_replies, list_replies_then, list_state, whois_replies
 from alertmill.plans.notify import notify_pipeline, received
 from alertmill.sources import chat as chat_source
 from alertmill.sources.devices import read_devices
@@ -317,12 +318,25 @@ def chat_change_replies(spark, sf):
 
 
 def chat_list_replies(spark, sf):
+    routed = chat.route_commands(tb.event_commands(spark, sf), tb.LIST_NAMES)
+    said = list_replies_then(routed, tb.LIST_NAMES)
+    return said.select(F.col("from").alias("sender"), "text")
+
+
+def chat_list_replies_last(spark, sf):
     texts = tb.event_commands(spark, sf)
     routed = chat.route_commands(texts, tb.LIST_NAMES)
     said = list_replies(routed, list_state(texts, tb.LIST_NAMES), _as_of())
     return said.select(F.col("from").alias("sender"), "text")
 
 
+def list_history(spark, sf):
+    past = item_history(tb.command_log(spark, sf))
+    times = [tb.ntz(f"{n}_at").alias(f"{n}_at") for n in ("from", "to", "expired")]
+    past = past.withColumns({"from_at": F.timestamp_micros("from_us"), "to_at": F.timestamp_micros("to_us")})
+    return past.select("list_name", "id", "pattern", "from_seq", "to_seq", *times)
+
+
 def chat_whois_replies(spark, sf):
     routed = chat.route_commands(tb.event_commands(spark, sf), tb.LIST_NAMES)
     lines = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("line_no"), F.col("c_name").alias("value"))
@@ -529,7 +543,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         alert_html, batch_salt, list_add_first_wins, list_add_outcomes, list_upload, list_active, list_delete,
         list_remaining, list_state_fold, list_command_outcomes, list_snapshot_json, list_snapshot_decode, list_text,
         list_gc, list_gc_empty, list_patterns, duration_parse, chat_updates, chat_next_offset, chat_commands,
-        chat_adds, chat_list_state, chat_whois, chat_removes, chat_change_replies, chat_list_replies, chat_whois_replies, device_search, device_search_batch, device_search_status,
+        chat_adds, chat_list_state, chat_whois, chat_removes, chat_change_replies, chat_list_replies, chat_list_replies_last, list_history, chat_whois_replies, device_search, device_search_batch, device_search_status,
         device_search_json, device_by_brand, attribute_index, attribute_counts, device_file_load, line_file_load,
         whois_lines, whois_grep, heartbeat_check, first_arrival, first_arrival_hot, near_dup_stream, notify_stream,
         heartbeat_stream, chat_stream,

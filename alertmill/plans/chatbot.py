@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from alertmill.operators.chat import list_commands, parse_adds, parse_removes, parse_whois, route_commands
 from alertmill.operators.documents import list_line, reply_texts
 from alertmill.operators.grep import grep_outcomes
+from alertmill.operators.history import item_history, items_at, moment_of
 from alertmill.operators.lists import BAD_REQUEST, active_items, command_outcomes, fold_commands
 from alertmill.storage import materialize
 
@@ -51,6 +52,20 @@ def list_replies(commands: DataFrame, items: DataFrame, as_of) -> DataFrame:
     )
 
 
+def list_replies_then(commands: DataFrame, list_names: list[str]) -> DataFrame:
+    """``from, text`` answering every ``ls`` with the list as it was when it was asked.
+
+    ``commands`` are routed messages with ``ts`` and ``update_id``; of one instant those with smaller ids come first.
+    """
+    # Written once: the log and the questions are both read from it.
+    commands = materialize(commands, "routed")
+    asked = commands.where(F.col("command") == "ls").select("from", "list_name", *moment_of("ts", "update_id"))
+    live = items_at(asked, item_history(list_commands(commands, list_names)))
+    keys = ["list_name", "at_us", "at_seq"]
+    texts = reply_texts(live, keys, "id", F.rtrim(list_line(), F.lit("\n")))
+    return asked.join(texts, keys, "left").select("from", F.coalesce(F.concat("text", F.lit("\n")), F.lit("")).alias("text"))
+
+
 def whois_replies(commands: DataFrame, lines: DataFrame, position: str) -> DataFrame:
     """``from, text`` answering every ``whois``, a row per page of the reply."""
     asked = parse_whois(commands)

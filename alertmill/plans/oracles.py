@@ -263,6 +263,21 @@ SELECT a.user_id::VARCHAR AS sender, CASE WHEN s.status <> 'ok' THEN 'can''t cha
    WHEN a.list_name = 'view' THEN 'record removed' ELSE 'record added' END AS text
 FROM steps s JOIN adds a USING (seq)""",
     "chat_list_replies": f"""{_CHAT_STEPS},
+asked AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'),
+held AS (SELECT e.event_id, e.ts AS asked_at, s.id, arg_max(s.present, s.rn) AS present, arg_max(s.pattern, CASE WHEN s.present THEN s.rn END) AS pattern,
+           arg_max(s.expired_at, CASE WHEN s.present THEN s.rn END) AS expired_at
+         FROM steps s JOIN adds a USING (seq) JOIN asked e ON a.ts < e.ts OR a.ts = e.ts AND a.seq < e.event_id GROUP BY ALL),
+rows AS (SELECT event_id, id, id || ':' || pattern || ':' || replace(rtrim({_RFC}, 'Z'), 'T', ' ') || ' +0000 UTC' AS line
+         FROM held WHERE present AND expired_at >= asked_at)
+SELECT user_id::VARCHAR AS sender, coalesce(string_agg(line || chr(10), '' ORDER BY id), '') AS text
+FROM asked LEFT JOIN rows USING (event_id) GROUP BY event_id, user_id""",
+    "list_history": f"""{_STEPS},
+ok AS (SELECT s.list_name, s.id, s.pattern, s.expired_at, s.present, a.ts, s.seq FROM steps s JOIN adds a USING (seq) WHERE status = 'ok'
+       AND NOT coalesce(s.present AND s.expired_at < a.ts, false)),
+next AS (SELECT *, lead(NOT present) OVER w AS ends, lead(ts) OVER w AS to_ts, lead(seq) OVER w AS to_s FROM ok WINDOW w AS (PARTITION BY list_name, id ORDER BY ts, seq))
+SELECT list_name, id, pattern, seq AS from_seq, CASE WHEN ends THEN to_s END AS to_seq, ts AS from_at, CASE WHEN ends THEN to_ts END AS to_at, expired_at
+FROM next WHERE present""",
+    "chat_list_replies_last": f"""{_CHAT_STEPS},
 state AS (SELECT id, pattern, expired_at FROM (SELECT *, max(rn) OVER (PARTITION BY list_name, id) AS last FROM steps)
           WHERE rn = last AND present AND expired_at >= TIMESTAMP '{AS_OF}'),
 rows AS (SELECT id, id || ':' || pattern || ':' || replace(rtrim({_RFC}, 'Z'), 'T', ' ') || ' +0000 UTC' AS line FROM state)
