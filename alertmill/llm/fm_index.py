@@ -16,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from alertmill.llm.textbytes import LOWER, WORD_ALNUM, slices, word_hashes, words
+from alertmill.llm.textbytes import LOWER, WORD_ALNUM, Sums, mixed, slices, word_hashes, words
 
-PHRASE_BLOCK_BYTES = 16 << 20  # test texts searched for at once, and so sent to every task
+PHRASE_BLOCK_BYTES = 4 << 20  # test texts searched for at once, and so sent to every task
 SAMPLE_STEP = 8
 FOUND = "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<first:long,last:long,start:long,end:long>>, text_key long"
 _FOUND_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([(n, pa.int64()) for n in ("first", "last", "start", "end")])), pa.int64()]
@@ -99,7 +100,7 @@ class FMIndex:
             live = np.flatnonzero((lengths > step) & (low < high))
             if not len(live):
                 break
-            symbol = phrases[live, lengths[live] - 1 - step]
+            symbol = phrases[live, lengths[live] - 1 - step].astype(np.int64)
             low[live] = self.first[symbol] + self.matrix.rank(symbol, low[live])
             high[live] = self.first[symbol] + self.matrix.rank(symbol, high[live])
         return low, np.maximum(low, high)
@@ -139,18 +140,22 @@ def compile_phrases(items: list[tuple[str, str | None]], length: int) -> Phrases
         if len(start):
             hashes.append(word_hashes(data, start, end))
             names.append(name)
-    vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-    seen: dict[tuple[int, ...], set[int]] = {}
-    for k, own in enumerate(hashes):
-        numbers = (np.searchsorted(vocabulary, own) + 1).tolist()
-        for at in range(max(1, len(numbers) - length + 1)):
-            seen.setdefault(tuple(numbers[at : at + length]), set()).add(k)
-    rows = np.zeros((len(seen), length), dtype=np.int64)
-    for k, window in enumerate(seen):
-        rows[k, : len(window)] = window
-    counts = np.array([0, *map(len, seen.values())], dtype=np.int64)
-    members = [x for own in seen.values() for x in sorted(own)]
-    return Phrases(vocabulary, rows, np.array([len(w) for w in seen], dtype=np.int64), np.cumsum(counts), np.array(members, dtype=np.int64), names)
+    every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    vocabulary, number = np.unique(every, return_inverse=True)
+    size = np.array([len(own) for own in hashes], dtype=np.int64)
+    count = np.maximum(1, size - length + 1)
+    item = np.repeat(np.arange(len(size)), count)
+    begin = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.cumsum(size) - size, count)
+    long = np.minimum(size, length)[item]
+    key = Sums(every).hashes(begin, begin + long) ^ mixed(long.astype(np.uint64))
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    rows = np.zeros((len(first), length), dtype=np.int32)
+    for k in range(length):
+        filled = long[first] > k
+        rows[filled, k] = number[begin[first][filled] + k] + 1
+    pairs = np.unique(which * max(1, len(size)) + item) if len(item) else np.zeros(0, np.int64)
+    window, members = np.divmod(pairs, max(1, len(size)))
+    return Phrases(vocabulary, rows, long[first], np.searchsorted(window, np.arange(len(first) + 1)), members, names)
 
 
 def find_in_shard(phrases: Phrases, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -190,6 +195,14 @@ def find_in_shard(phrases: Phrases, data: np.ndarray, offsets: np.ndarray) -> tu
     return firsts, start, end, at, at + phrases.lengths[window], window
 
 
+def _covered(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of ``n`` words lie in one of the ranges."""
+    change = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(change, left, 1)
+    np.add.at(change, right, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
 def _search(docs: DataFrame, phrases: Phrases) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(phrases)
 
@@ -198,10 +211,7 @@ def _search(docs: DataFrame, phrases: Phrases) -> DataFrame:
         for batch in batches:
             for first, stop, data, offsets in slices(batch, "text"):
                 firsts, start, end, left, right, window = find_in_shard(known, data, offsets)
-                change = np.zeros(len(start) + 1, dtype=np.int64)
-                np.add.at(change, left, 1)
-                np.add.at(change, right, -1)
-                hit = np.cumsum(change)[:-1] > 0
+                hit = _covered(len(start), left, right)
                 total = np.r_[0, np.cumsum(hit)]
                 row = np.searchsorted(firsts, left, side="right") - 1
                 pairs = np.unique(np.stack([row, window], axis=1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
@@ -233,6 +243,39 @@ def _search(docs: DataFrame, phrases: Phrases) -> DataFrame:
     return docs.mapInArrow(search, FOUND)
 
 
+def _blocks(benchmark: DataFrame) -> int:
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, math.ceil(size / PHRASE_BLOCK_BYTES))
+
+
+def without_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13, share: int = 20) -> DataFrame:
+    """Rows of ``docs`` that :func:`find_contamination` does not call contaminated, with all their columns.
+
+    While the test texts are one block, rows are kept or left out in the pass that searches them, without a shuffle. With more
+    blocks the rows are joined with the ids and text hashes of contaminated ones.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    if _blocks(benchmark) > 1:
+        gone = find_contamination(docs, benchmark, length, share, text_key=True).where("contaminated")
+        gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+        # ids can be missing or repeated
+        same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_key"))
+        return rows.join(gone, same, "left_anti").select("_row.*")
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
+    sent = docs.sparkSession.sparkContext.broadcast(compile_phrases([(r["item_id"], r["text"]) for r in named.collect()], length))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, stop, data, offsets in slices(batch, "text"):
+                firsts, start, _, left, right, _ = find_in_shard(sent.value, data, offsets)
+                total = np.r_[0, np.cumsum(_covered(len(start), left, right))]
+                n_words, n_hit = np.diff(firsts), total[firsts[1:]] - total[firsts[:-1]]
+                kept = (n_hit == 0) | (n_hit * share < n_words)
+                yield pa.RecordBatch.from_arrays([batch.column("_row")[first:stop].filter(pa.array(kept))], names=["_row"])
+
+    return rows.mapInArrow(clean, StructType([rows.schema["_row"]])).select("_row.*")
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13, share: int = 20, text_key: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_hit, item_ids, spans (words and bytes of the text) and contaminated.
 
@@ -243,8 +286,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13,
     once per block and the results are joined by id and text. With ``text_key`` the hash of each row's text that this
     is done by is a column as well.
     """
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / PHRASE_BLOCK_BYTES))
+    blocks = _blocks(benchmark)
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key") if blocks > 1 or text_key else F.lit(0).cast("long").alias("text_key"))
     found = None

@@ -353,9 +353,8 @@ def one_of_each_component(docs: DataFrame, n: int = 5, percent: int = 80) -> Dat
     own = F.coalesce("component", "class_id").alias("component")
     first = classes.join(linked, "class_id", "left").groupBy(own).agg(F.min(F.struct(*TEXT_KEY)).alias("first"))
     kept = first.select("first.*").unionByName(sets.where("n_shingles = 0").select(*TEXT_KEY).distinct())
-    names = [f"_near_{name}" for name in TEXT_KEY]
-    told = docs.withColumns(dict(zip(names, _text_key(), strict=True)))
-    return told.join(kept.toDF(*names), names, "left_semi").dropDuplicates(names).drop(*names)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *[c.alias(name) for c, name in zip(_text_key(), TEXT_KEY, strict=True)])
+    return rows.join(kept, TEXT_KEY, "left_semi").dropDuplicates(TEXT_KEY).select("_row.*")
 
 
 def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:

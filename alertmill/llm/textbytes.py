@@ -117,7 +117,18 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-_PLACE = (1 << 26) - 1
+_PLACE = (1 << 22) - 1  # windows that are looked at together
+
+
+def _anchors(core_hash: np.ndarray, spread: int) -> np.ndarray:
+    """The anchor of every window: place of the least of its ``spread`` core hashes, the last of equal ones."""
+    out = []
+    for at in range(0, len(core_hash) - spread + 1, _PLACE + 2 - spread):
+        part = core_hash[at : at + _PLACE + 1]
+        place = np.uint64(_PLACE) - np.arange(len(part), dtype=np.uint64)
+        least = sliding_least((part & ~np.uint64(_PLACE)) | place, spread)
+        out.append(at + _PLACE - (least & np.uint64(_PLACE)).astype(np.int64))
+    return np.concatenate(out)
 
 
 def windows_by_anchor(sums: Sums, bounds: np.ndarray, length: int, spread: int):
@@ -129,21 +140,15 @@ def windows_by_anchor(sums: Sums, bounds: np.ndarray, length: int, spread: int):
     """
     core = length - spread + 1
     core_hash = sums.every(core)
-    n = len(core_hash)
-    if n < spread:
-        none = np.zeros(0, np.int64)
+    none = np.zeros(0, np.int64)
+    if len(core_hash) < spread:
         return none, none, none, none, np.zeros(0, np.uint64)
-    if n > _PLACE:
-        raise ValueError("a single text is too long for the place bits of an anchor key")
-    place = np.uint64(_PLACE) - np.arange(n, dtype=np.uint64)
-    least = sliding_least((core_hash & ~np.uint64(_PLACE)) | place, spread)
-    anchor = _PLACE - (least & np.uint64(_PLACE)).astype(np.int64)
+    anchor = _anchors(core_hash, spread)
     row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     start = np.arange(len(anchor))
     inside = start + length <= bounds[1:][row_of[: len(anchor)]]
     start = start[inside]
     if not len(start):
-        none = np.zeros(0, np.int64)
         return none, none, none, none, np.zeros(0, np.uint64)
     anchor, row = anchor[start], row_of[start]
     first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])

@@ -52,7 +52,8 @@ class Encoder:
     A byte-level vocabulary splits a text before any single space between two other characters, whatever stands
     around it, so a text cut there has the ids of its words one after another. Words are told apart by 64-bit
     hashes of their bytes. New words are cut into parts by the pattern and all new parts go to the library in one
-    call; words with characters past ``SETTLED`` go to it as they are.
+    call; words with characters past ``SETTLED``, and those that hold the string of an added token (an end mark in
+    the text, say), go to it as they are, so they have the ids that the library gives them in the whole text.
     """
 
     def __init__(self, path: str):
@@ -69,6 +70,10 @@ class Encoder:
             self.width[code] = len(token)
         self.letters = byte_letters()
         self.cut = regex.compile(PARTS).findall
+        # Tokens that the library looks for in a text before it splits it.
+        added = [t.content for t in self.parts.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(map(regex.escape, added))).search if added else None
+        self.spaced = any(c.isspace() or t.lstrip or t.rstrip for t in self.parts.get_added_tokens_decoder().values() for c in t.content)
         self.of_part: dict[str, bytes] = {}
         self._forget()
 
@@ -77,9 +82,7 @@ class Encoder:
         """The library's own way from text to ids; loaded when a word first asks for it."""
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(self.path)
-        whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        return whole
+        return Tokenizer.from_file(self.path)
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)  # hashes of known words, ascending
@@ -101,7 +104,7 @@ class Encoder:
     def _learn(self, words: list[str]) -> list[bytes]:
         if len(self.of_part) > KEPT_PARTS:
             self.of_part.clear()
-        cuts = [self.cut(w) if w.isascii() or max(w) < SETTLED else None for w in words]
+        cuts = [self.cut(w) if (w.isascii() or max(w) < SETTLED) and not (self.added and self.added(w)) else None for w in words]
         known = self.of_part
         if new := {p for parts in cuts if parts for p in parts if p not in known}:
             self._learn_parts(list(new))
@@ -109,6 +112,11 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and the offsets of the rows in them."""
+        if self.spaced and self.added(data.tobytes().decode(errors="replace")):
+            # an added token that takes in white space could be cut: rows go to the library whole
+            raw = data.tobytes()
+            rows = [np.frombuffer(self._direct(raw[a:b].decode()), dtype="<u4") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
         start = _cuts(data, offsets)
         if not len(start):
             return np.zeros(0, dtype="<u4"), np.zeros(len(offsets), dtype=np.int64)

@@ -18,7 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = nbsvm.train(docs, prepare(spark).read.parquet(f"{sf_dir}/labels.parquet"))
     if not model.weights.any():
         return docs
-    return nbsvm.score(docs, model, keep=tuple(docs.columns)).where(F.col("score") >= QUALITY_THRESHOLD).drop("score")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return nbsvm.score(rows, model, keep=("_row",)).where(F.col("score") >= QUALITY_THRESHOLD).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark passages."""
-    found = fm_index.find_contamination(docs, prepare(spark).read.parquet(f"{sf_dir}/benchmark.parquet"), length=13, share=20, text_key=True)
-    gone = found.where("contaminated").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    # ids can be missing or repeated
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key"))
-    return docs.join(gone, same, "left_anti")
+    return fm_index.without_contamination(docs, prepare(spark).read.parquet(f"{sf_dir}/benchmark.parquet"), length=13, share=20)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from alertmill.llm import phrase_dedup
+from alertmill.llm import phrase_dedup, textbytes
 from alertmill.llm.phrase_dedup import remove_repeated_phrases
 from alertmill.llm.suffix_dedup import remove_repeated_bytes
 
@@ -89,6 +89,31 @@ def test_large_cores_are_split_without_forgetting(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == words_brute(docs, 13)
 
 
+def test_anchors_do_not_depend_on_stretches(monkeypatch):
+    codes = np.random.default_rng(5).integers(1, 4, 3000, dtype=np.uint64)
+    core = textbytes.Sums(codes).every(6)
+    whole = textbytes._anchors(core, 9)
+    monkeypatch.setattr(textbytes, "_PLACE", (1 << 6) - 1)
+    mixed = core & ~np.uint64(63)
+    want = [a + 8 - int(np.argmin(mixed[a : a + 9][::-1])) for a in range(len(core) - 8)]
+    assert textbytes._anchors(core, 9).tolist() == want and len(whole) == len(want)
+
+
+def test_a_text_of_several_stretches(spark):
+    rng, n = np.random.default_rng(6), (1 << 22) + 300_000
+    letters = lambda k: bytes(rng.integers(97, 123, k, dtype=np.uint8)).decode()
+    passage, far = letters(1000), letters(700)
+    long = letters(n)
+    at = (1 << 22) - 500
+    long = long[:at] + passage + long[at + 1000 : -700] + far
+    got = remove_repeated_bytes(frame(spark, [(1, long), (2, "x" + passage + "y"), (3, far)])).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in got} == {1: (n, 1700, 2), 2: (1002, 1000, 1), 3: (700, 700, 1)}
+    words = [letters(6) for _ in range((1 << 22) + 1000)]
+    shared = words[(1 << 22) - 20 : (1 << 22) + 20]
+    kept = remove_repeated_phrases(frame(spark, [(1, " ".join(shared)), (2, " ".join(words))])).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in kept} == {1: (40, 0), 2: (len(words), 40)}
+
+
 def test_empty_tables(spark):
     assert remove_repeated_bytes(frame(spark, [])).collect() == []
     assert remove_repeated_phrases(frame(spark, [])).collect() == []

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from alertmill.llm import dac, packing
 from alertmill.llm.tokens import byte_bpe_path, encoder
@@ -12,7 +13,7 @@ from .conftest import frame
 
 @pytest.fixture(scope="module")
 def ids(sample, odd):
-    whole = encoder(byte_bpe_path()).whole
+    whole = Tokenizer.from_file(byte_bpe_path())
     return lambda docs: [list(x.ids) for x in whole.encode_batch_fast([t or "" for _, t in docs], add_special_tokens=False)]
 
 
