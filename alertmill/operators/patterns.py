@@ -2,7 +2,10 @@
 
 A list of ordinary size is compiled into the expression as literals, so the
 JVM compiles every pattern once per task and no join is planned. A larger list
-is cut into parts of a fixed size, each joined as a broadcast.
+is looked up by grams: each pattern gives grams one of which every match holds,
+texts are joined with the patterns of the grams they hold, and only those are
+tested. Patterns without such a gram are cut into parts of a fixed size, each
+joined as a broadcast.
 """
 
 from __future__ import annotations
@@ -12,10 +15,12 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertmill.functions.literals import BITMAP_BITS, gram_slots, grams_of, required_grams
 from alertmill.functions.regex import CATEGORIES, BadPattern, property_names, to_java
 from alertmill.storage import materialize
 
@@ -44,20 +49,27 @@ class PatternSet:
     spark: SparkSession
     literals: list[tuple[str | None, str, str]] = field(default_factory=list)  # route, pattern, java
     rejects: list[tuple[str | None, str | None, str]] = field(default_factory=list)
-    parts: DataFrame | None = None  # route, pattern, java, part
+    table: DataFrame | None = None  # route, pattern, java, reason, grams of a list that is no literal
+    parts: DataFrame | None = None  # route, pattern, java, part: those without a gram
     n_parts: int = 0
+    wanted: np.ndarray | None = None  # bitmap of the grams of the others
 
     def is_empty(self) -> bool:
-        return not self.literals and not self.n_parts
+        return not self.literals and not self.n_parts and self.wanted is None
 
     def rejects_frame(self) -> DataFrame:
-        if self.parts is not None:
-            return self.parts.where("java is null").select("route", "pattern", "reason")
+        if self.table is not None:
+            return self.table.where("java is null").select("route", "pattern", "reason")
         return self.spark.createDataFrame(self.rejects, "route string, pattern string, reason string")
 
     def part(self, i: int) -> DataFrame:
         # Bounded: PART_ROWS patterns of at most LONG_PATTERN characters, or one pattern.
-        return F.broadcast(self.parts.where((F.col("part") == i) & F.col("java").isNotNull()).select("route", "pattern", "java"))
+        return F.broadcast(self.parts.where(F.col("part") == i).select("route", "pattern", "java"))
+
+    def by_gram(self) -> DataFrame:
+        """The patterns that have grams, once for each of them."""
+        rows = self.table.where("java IS NOT NULL AND grams IS NOT NULL")
+        return rows.select("route", "pattern", F.col("java").alias("_java"), F.col("grams").alias("_needs"), F.explode("grams").alias("_gram"))
 
 
 def _jvm_refuses(spark: SparkSession, java: str) -> str | None:
@@ -117,10 +129,18 @@ def compile_patterns(
     def rewrite_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             done = [checked(p) for p in pdf["pattern"]]
-            yield pdf.assign(java=[d[0] for d in done], reason=[d[1] for d in done])
+            grams = [None if d[0] is None else required_grams(d[0]) for d in done]
+            yield pdf.assign(java=[d[0] for d in done], reason=[d[1] for d in done], grams=grams)
 
-    done = named.mapInPandas(rewrite_batches, "route string, pattern string, java string, reason string")
+    done = named.mapInPandas(rewrite_batches, "route string, pattern string, java string, reason string, grams array<int>")
     table = materialize(done.withColumn("position", F.monotonically_increasing_id()), "patterns")
+    result = PatternSet(spark, table=table.drop("position"))
+    # The bitmap bounds what comes back, whatever the length of the list.
+    slots = [r[0] for r in result.by_gram().select("_gram").distinct().mapInPandas(_slots, "slot int").distinct().collect()]
+    if slots:
+        result.wanted = np.zeros(1 << BITMAP_BITS, dtype=bool)
+        result.wanted[slots] = True
+    table = table.where("java IS NOT NULL AND grams IS NULL")
     # Rows of a written partition are consecutive: cut each into parts of part_rows,
     # a long pattern by itself.
     offset = F.col("position").bitwiseAND(F.lit((1 << 33) - 1))
@@ -129,8 +149,14 @@ def compile_patterns(
     pieces = table.select("p", "c").distinct()
     numbered = {(r.p, r.c): i for i, r in enumerate(pieces.orderBy("p", "c").collect())}
     index = spark.createDataFrame([(p, c, i) for (p, c), i in numbered.items()], "p bigint, c bigint, part int")
-    parts = table.join(index, ["p", "c"]).drop("p", "c", "position")
-    return PatternSet(spark, parts=materialize(parts, "pattern-parts"), n_parts=len(numbered))
+    parts = table.join(index, ["p", "c"]).drop("p", "c", "position", "grams")
+    result.parts, result.n_parts = materialize(parts, "pattern-parts"), len(numbered)
+    return result
+
+
+def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"slot": gram_slots(pdf["_gram"].to_numpy().astype(np.int64).astype(np.uint32)).astype(np.int32)})
 
 
 def _any(flags: list[Column]) -> Column:
@@ -149,23 +175,40 @@ def matches_any(text: Column | str, patterns: PatternSet) -> Column:
     return F.exists(F.array(col), lambda t: _any([t.rlike(java) for _, _, java in patterns.literals]))
 
 
+def _hit(text: Column) -> Column:
+    return F.coalesce(F.rlike(text, F.col("_java")), F.lit(False))
+
+
+def _flag_by_gram(df: DataFrame, text: str, patterns: PatternSet, out: str) -> DataFrame:
+    """``df`` with ``out``: does a pattern match that has grams. Rows are read once and put together again by a number."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.struct(*df.columns).alias("_row"), body.alias("_text"), F.monotonically_increasing_id().alias("_rid"))
+    rows = rows.withColumn("_grams", grams_of(patterns.spark, F.col("_text"), patterns.wanted))
+    opened = rows.select("_row", "_rid", "_text", F.explode_outer("_grams").alias("_gram"))
+    tried = opened.join(patterns.by_gram().select("_gram", "_java"), "_gram", "left")
+    flagged = tried.groupBy("_rid").agg(F.first("_row").alias("_row"), F.max(_hit(F.col("_text"))).alias("_hit"))
+    return flagged.select("_row.*", F.col("_hit").alias(out))
+
+
 def flag_matches(df: DataFrame, text: str, patterns: PatternSet, out: str = "matched") -> DataFrame:
     """Add ``out``: does any pattern match."""
-    if patterns.parts is None:
+    if patterns.table is None:
         return df.withColumn(out, matches_any(text, patterns))
-    body = F.coalesce(F.col(text), F.lit(""))
-    flagged = df.withColumn("_text", body).withColumn(out, F.lit(False))
-    hit = []
-    for i in range(patterns.n_parts):
-        part = patterns.part(i)
-        hit.append(part.where(F.rlike(F.col("_text").outer(), F.col("java"))).exists())
-    return flagged.withColumn(out, _any(hit)).drop("_text") if hit else flagged.drop("_text")
+    df = df.drop(out)
+    df = _flag_by_gram(df, text, patterns, out) if patterns.wanted is not None else df.withColumn(out, F.lit(False))
+    if not patterns.n_parts:
+        return df
+    flagged = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    tried = [patterns.part(i).where(F.rlike(F.col("_text").outer(), F.col("java"))).exists() for i in range(patterns.n_parts)]
+    return flagged.withColumn("_more", _any(tried)).withColumn(out, F.col(out) | F.col("_more")).drop("_text", "_more")
 
 
 def drop_matching(df: DataFrame, text: str, patterns: PatternSet) -> DataFrame:
     """Left anti: keep the rows no pattern matches."""
-    if patterns.parts is None:
+    if patterns.table is None:
         return df.where(~matches_any(text, patterns)) if patterns.literals else df
+    if patterns.wanted is not None:
+        df = _flag_by_gram(df, text, patterns, "_matched").where("NOT _matched").drop("_matched")
     for i in range(patterns.n_parts):
         df = df.join(patterns.part(i), F.rlike(F.coalesce(df[text], F.lit("")), F.col("java")), "left_anti")
     return df
@@ -173,19 +216,31 @@ def drop_matching(df: DataFrame, text: str, patterns: PatternSet) -> DataFrame:
 
 def keep_matching(df: DataFrame, text: str, patterns: PatternSet) -> DataFrame:
     """Left semi: keep the rows some pattern matches."""
-    if patterns.parts is None:
+    if patterns.table is None:
         return df.where(matches_any(text, patterns))
     return flag_matches(df, text, patterns, "_matched").where("_matched").drop("_matched")
 
 
+def _routes_by_gram(df: DataFrame, text: str, patterns: PatternSet) -> DataFrame:
+    rows = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    rows = rows.withColumn("_grams", grams_of(patterns.spark, F.col("_text"), patterns.wanted))
+    tried = rows.withColumn("_gram", F.explode("_grams")).join(patterns.by_gram(), "_gram")
+    # a pattern that shares several grams with a text is tested for the least of them
+    once = F.col("_gram") == F.array_min(F.array_intersect("_grams", "_needs"))
+    return tried.where(once & _hit(F.col("_text"))).select(*df.columns, "route", "pattern")
+
+
 def route_matches(df: DataFrame, text: str, patterns: PatternSet) -> DataFrame:
     """Inner fan-out: one row per matching pattern with ``route`` and ``pattern``."""
-    if patterns.parts is not None:
+    if patterns.table is not None:
         joined = [
             df.join(patterns.part(i), F.rlike(F.coalesce(df[text], F.lit("")), F.col("java"))).drop("java")
             for i in range(patterns.n_parts)
         ]
-        return reduce(DataFrame.unionByName, joined)
+        if patterns.wanted is not None:
+            joined.append(_routes_by_gram(df, text, patterns))
+        if joined:
+            return reduce(DataFrame.unionByName, joined)
     if not patterns.literals:
         empty = F.lit(None).cast("string")
         return df.withColumn("route", empty).withColumn("pattern", empty).where(F.lit(False))

@@ -115,6 +115,22 @@ def pattern_routes(spark, sf):
     return route_matches(docs, "text", _routes(spark)).select("doc_id", "route", "pattern")
 
 
+def _customer_patterns(spark, sf):
+    """A list of a pattern for each customer, far beyond what goes into a plan."""
+    key = F.col("c_custkey").cast("string")
+    pattern = F.concat(F.lit('"host":"'), key, F.lit('","severity":"(error|view|cl[a-z]+)"'))
+    return compile_patterns(tb.table(spark, sf, "customer").select(pattern.alias("pattern"), key.alias("route")), route="route", max_literals=100)
+
+
+def pattern_index(spark, sf):
+    routed = route_matches(tb.messages(spark, sf), "payload", _customer_patterns(spark, sf))
+    return routed.select("id", "route")
+
+
+def ban_index(spark, sf):
+    return drop_matching(tb.messages(spark, sf), "payload", _customer_patterns(spark, sf)).select("id", "payload")
+
+
 def pattern_loops(spark, sf):
     looping = literal_patterns(spark, [(f"r{n}", p) for n, p in LOOPING])
     return route_matches(tb.documents(spark, sf), "text", looping).select("doc_id", "route", "pattern")
@@ -539,7 +555,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         syslog_parse, syslog_rejects, subject_publish, subject_filter, publish_folders, ban_filter, list_exists,
-        pattern_routes, pattern_loops, near_dup_send, near_dup_by_user, min_distance, notify_alerts, notify_fanout, alert_render,
+        pattern_routes, pattern_index, ban_index, pattern_loops, near_dup_send, near_dup_by_user, min_distance, notify_alerts, notify_fanout, alert_render,
         alert_html, batch_salt, list_add_first_wins, list_add_outcomes, list_upload, list_active, list_delete,
         list_remaining, list_state_fold, list_command_outcomes, list_snapshot_json, list_snapshot_decode, list_text,
         list_gc, list_gc_empty, list_patterns, duration_parse, chat_updates, chat_next_offset, chat_commands,

@@ -190,6 +190,8 @@ WHERE regexp_matches(subject, re)""",
     "ban_filter": f"SELECT id, payload FROM ({_MESSAGES}) m WHERE NOT EXISTS (SELECT 1 FROM {_BAN_ACTIVE} b WHERE regexp_matches(m.payload, b.p))",
     "list_exists": f"SELECT doc_id, EXISTS (SELECT 1 FROM (VALUES {_values(WORDS)}) w(n, p) WHERE regexp_matches(d.text, w.p)) AS matched FROM documents d",
     "pattern_routes": f"SELECT doc_id, 'r' || n AS route, p AS pattern FROM documents d JOIN (VALUES {_values(WORDS)}) w(n, p) ON regexp_matches(d.text, w.p)",
+    "pattern_index": "SELECT event_id AS id, c_custkey::VARCHAR AS route FROM events JOIN customer ON c_custkey = user_id WHERE event_type IN ('error', 'view', 'click')",
+    "ban_index": f"SELECT id, payload FROM ({_MESSAGES}) m WHERE event_type NOT IN ('error', 'view', 'click') OR user_id NOT IN (SELECT c_custkey FROM customer)",
     "pattern_loops": f"SELECT doc_id, 'r' || n AS route, p AS pattern FROM documents d JOIN (VALUES {_values(LOOPING)}) w(n, p) ON regexp_matches(d.text, w.p)",
     "near_dup_send": f"""SELECT id, payload FROM ({_ring(f"SELECT event_id AS id, ts, {_TEXT} AS payload FROM events")})
 WHERE len(live) > 0 AND NOT {_MIN} < {SEND_THRESHOLD}""",

@@ -1,6 +1,11 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from alertmill.functions.literals import required_literals
+from alertmill.functions.regex import to_java
 from alertmill.operators.patterns import (
     PatternSet,
     compile_patterns,
@@ -42,7 +47,7 @@ def test_all_join_kinds(texts, patterns):
 
 
 def test_a_long_pattern_is_a_part_of_its_own(spark, texts):
-    long = "|".join(["zzzz"] * 2000 + ["flood"])
+    long = "|".join(["zz."] * 2000 + ["flood"])  # without a gram
     df = spark.createDataFrame([("t.st",), (long,), ("xx",)], "pattern string")
     compiled = compile_patterns(df, max_literals=1, part_rows=100)
     assert compiled.n_parts >= 2
@@ -105,3 +110,67 @@ def test_unknown_property_is_set_aside_in_long_lists(spark):
     assert [r.pattern for r in found.rejects_frame().collect()] == [r"\p{Nonsense}"]
     texts = spark.createDataFrame([("abc",), ("α",), ("x",)], "t string")
     assert [r.t for r in drop_matching(texts, "t", found).collect()] == ["x"]
+
+
+def many_patterns(n):
+    words = [f"word{k:05d}x" for k in range(n - 6)]
+    rest = [r"(?i)Kernel (panic|oops)", r"^\d{4}$", "é|ß", "(ab|c)+dd", "a.c.e", r"(?:warn|error) +code [0-9]{3}"]
+    return [f"{w}$" if k % 3 else f"(?i){w.upper()}|zz{w}" for k, w in enumerate(words)] + rest
+
+
+def many_texts():
+    texts = ["word00003x", "WORD00003X and zzword00006x", "a word00004x", "a word00004x!", "kernel PANIC", "2024", "x ß", "abcddd", "abcde", "an error  code 404", "", None, "wor", "日本 word00007x"]
+    return list(enumerate(texts + [f"row {k} WORD{k * 37 % 20000:05d}X" for k in range(200)]))
+
+
+@pytest.mark.parametrize("n", [1500, 20_000])
+def test_long_list_by_grams_equals_every_pattern(spark, n):
+    patterns, texts = many_patterns(n), many_texts()
+    found = compile_patterns(spark.createDataFrame([(p, f"r{k}") for k, p in enumerate(patterns)], "pattern string, route string"), route="route")
+    assert found.wanted is not None and found.n_parts >= 1 and found.rejects_frame().count() == 0
+    df = spark.createDataFrame(texts, "id int, t string").withColumn("part", F.lit(1)).repartition(3)
+    got = {(r.id, r.pattern) for r in route_matches(df, "t", found).collect()}
+    matchers = [(p, re.compile(p, re.ASCII)) for p in patterns]
+    want = {(i, p) for i, t in texts for p, m in matchers if m.search(t or "")}
+    assert got == want and len(route_matches(df, "t", found).columns) == 5
+    hit = {i for i, _ in want}
+    assert {r.id for r in keep_matching(df, "t", found).collect()} == hit
+    assert {r.id for r in drop_matching(df, "t", found).collect()} == {i for i, _ in texts} - hit
+    assert flag_matches(df, "t", found).columns == ["id", "t", "part", "matched"]
+
+
+def test_patterns_with_grams_need_no_nested_loop(spark):
+    rows = spark.createDataFrame([(f"literal{k}",) for k in range(1200)], "pattern string")
+    found = compile_patterns(rows)
+    df = spark.createDataFrame([("a literal7 b",)], "t string")
+    assert found.n_parts == 0
+    for out in (route_matches(df, "t", found), drop_matching(df, "t", found), flag_matches(df, "t", found)):
+        plan = out._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.count("ArrowEvalPython") >= 1
+    assert [r.pattern for r in route_matches(df, "t", found).collect()] == ["literal7"]
+
+
+@pytest.mark.parametrize(
+    "pattern, literals",
+    [
+        ("error: (disk|network) failed", {"error: disk failed", "error: network failed"}), ("(?i)User-Agent: curl", {"er-agent: curl"}), (r"\bthe\b", None),
+        ("foo|barbaz", None), ("(abcd|efgh)+x?", {"abcd", "efgh"}), ("été", {"été"}), ("(?i)été", None), ("ab?cdef", {"acdef", "abcdef"}), ("(longer)?word", {"word", "longerword"}),
+        ("(?:a|b)(?:longest|shorter)", {"alongest", "blongest", "ashorter", "bshorter"}), ("x*", None), ("", None), ("[^a]bcdef", {"bcdef"}),
+    ],
+)
+def test_required_literals(pattern, literals):
+    found = required_literals(to_java(pattern))
+    assert found == (None if literals is None else {x.encode() for x in literals})
+
+
+def test_every_match_holds_a_required_literal():
+    rnd = random.Random(3)
+    for _ in range(400):
+        pattern = "".join(rnd.choice(["abcd", "(ab|cd)", "(abc|dabc)+", "[ab]", "c?", "(?:bcd)*", "(?:dd|c){2}", ".", "d+"]) for _ in range(rnd.randrange(1, 6)))
+        literals = required_literals(to_java(pattern))
+        if literals is None:
+            continue
+        for _ in range(200):
+            text = "".join(rnd.choice("abcd") for _ in range(rnd.randrange(4, 24)))
+            if re.search(pattern, text):
+                assert any(x.decode() in text for x in literals), (pattern, text)
