@@ -10,7 +10,7 @@ decided on the whole sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,10 +28,10 @@ BAND_RATIO = 1.6  # greatest size of a band over that of the band before
 # Their signatures cover a large part of the set, so that one frequent passage does not make short texts candidates.
 SMALL, SMALL_GROUP, SMALL_LEFT_OUT = 15, 6, 3
 SPARE = 0.25  # further partitions in proportion, so that sets need no signature for partitions with few elements
-FIRST_CENTERS, MORE_CENTERS = 1, 32
+CENTERS = 64  # members of a group compared with the later ones in its first round; each round takes so many times more
 FIRST_SHARE = 16  # of all signatures one in so many is looked at first: it joins most copies, so that the others stay out of pairs
 HELD_PAIRS = 200_000  # pairs a task remembers so that it names them once
-FINE_SKETCH = 300  # sets of up to so many elements have a sketch cell for every element, larger ones for every two
+WANTED_BITS = 24  # of the bitmap that picks texts before they are shuffled, so it has one size
 
 SIGNATURES = "signature long, set_a long"
 SIGNATURE_NAMES = ["signature", "set_a"]
@@ -136,8 +136,7 @@ def signatures(value: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.
 
 def sketch(value: np.ndarray) -> bytes:
     """Four bits for each of 2^b cells of the domain: the sum of what the set has there."""
-    share = 1 if len(value) <= FINE_SKETCH else 2
-    cells = 1 << max(4, (max(0, len(value) - 1) // share).bit_length())
+    cells = 1 << max(4, (max(0, len(value) - 1) // 2).bit_length())
     out = np.zeros(cells, dtype=np.uint8)
     code = mixed(value ^ np.uint64(0x3C3C3C3C3C3C3C3C))
     np.add.at(out, (code & np.uint64(cells - 1)).astype(np.int64), (code >> np.uint64(56)).astype(np.uint8))
@@ -379,7 +378,7 @@ def _id_of(value: Column) -> Column:
 def class_components(texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """(class_id, component) of all classes that share a signature with another.
 
-    A share of the signatures is looked at first. Each round compares some members of every group of a signature
+    A share of the signatures is looked at first, with one member of every group. Each round compares some members of every group of a signature
     with its later members, unless links that are known already join them; a group is done when all its members are joined or
     have been compared.
     """
@@ -389,10 +388,10 @@ def class_components(texts: DataFrame, classes: DataFrame, n: int, percent: int)
     groups = written.write(_shared(_signature_rows(texts, n, percent)).join(member, "set_a").select("signature", "class_id", "size"), "groups")
     written.release()
     labels = written.write(groups.select("class_id").distinct().withColumn("component", F.col("class_id")), "labels")
-    share = F.pmod("signature", F.lit(FIRST_SHARE)) == 0
-    for part in (groups.where(share), groups.where(~share)):
-        done, upto, current = 0, FIRST_CENTERS, part
-        while True:
+    share, found = F.pmod("signature", F.lit(FIRST_SHARE)) == 0, []
+    for part, upto, last in ((groups.where(share), 1, 1), (groups, CENTERS, None)):
+        done, current = 0, part
+        while last is None or done < last:
             labelled = current.select("signature", "class_id", "size").join(labels, "class_id")
             mixed_up = labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
             open_groups = mixed_up.where(f"low < high AND members > {done + 1}").select("signature")
@@ -405,30 +404,67 @@ def class_components(texts: DataFrame, classes: DataFrame, n: int, percent: int)
             chosen = _texts_of(likely, classes, texts, written)
             links = written.write(_links(likely, chosen, n, percent), "links")
             written.drop(chosen, likely)
-            if not links.isEmpty():
-                old, labels = labels, written.write(_relabelled(labels, links), "labels")
-                written.drop(old)
-            written.drop(links)
-            done, upto = upto, upto * MORE_CENTERS
+            found.append(links)
+            old, labels = labels, written.write(_hooked(labels, links), "labels")
+            written.drop(old)
+            done, upto = upto, upto * CENTERS
         written.drop(current)
-    written.drop(groups)
+    old, labels = labels, written.write(_relabelled(labels, reduce(DataFrame.unionByName, found)), "labels") if found else labels
+    written.drop(groups, *found, old if found else None)
     return labels
 
 
+def _picked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose text hash has the low bits of a wanted one: few others, so that the corpus is not shuffled for a few texts."""
+    low = F.pmod(F.col("text_a"), F.lit(1 << WANTED_BITS)) + 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(low).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(low)).alias("bits")).collect()
+    bits = np.zeros(1 << WANTED_BITS, dtype=bool)
+    for row in maps:
+        own = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+        at = (row["bucket"] - 1) * len(own)
+        bits[at : at + len(own)] = own
+    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    @F.arrow_udf("boolean")
+    def asked(keys: pa.Array) -> pa.Array:
+        slot = keys.to_numpy(zero_copy_only=False) & ((1 << WANTED_BITS) - 1)
+        return pa.array((sent.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1)
+
+    return texts.where(asked("text_a"))
+
+
+def _component_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of different components that the links join."""
+    of = lambda x: labels.select(F.col("class_id").alias(x), F.col("component").alias(f"of_{x}"))
+    return links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct()
+
+
+def _hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after each component has taken the least one it is linked with, and that one's own least.
+
+    Components that stay apart here though links join them are only compared once more than needed; they are put together
+    at the end.
+    """
+    joined = _component_links(labels, links)
+    both = joined.unionByName(joined.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("to"))
+    far = least.select(F.col("a").alias("to"), F.col("to").alias("far"))
+    moved = least.join(far, "to", "left").select(F.col("a").alias("component"), F.least("to", F.coalesce("far", "to")).alias("least"))
+    return labels.join(moved, "component", "left").select("class_id", F.coalesce("least", "component").alias("component"))
+
+
 def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame, written: Scratch) -> DataFrame:
     """The first texts of the classes in ``pairs``, written once for both sides."""
     ids = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
     first = written.write(classes.join(ids, "class_id").select(*TEXT_KEY, "class_id"), "pair-ids")
-    found = written.write(texts.join(first, TEXT_KEY).dropDuplicates(TEXT_KEY).select("class_id", "text"), "pair-texts")
+    found = written.write(_picked(texts, first).join(first, TEXT_KEY).dropDuplicates(TEXT_KEY).select("class_id", "text"), "pair-texts")
     written.drop(first)
     return found
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after more links: components of the labels that the links join."""
-    of = lambda x: labels.select(F.col("class_id").alias(x), F.col("component").alias(f"of_{x}"))
-    joined = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct()
-    joined = materialize(joined, "joined")
+    """Labels after all links: components of the labels that they join."""
+    joined = materialize(_component_links(labels, links), "joined")
     nodes = joined.select(F.col("a").alias("class_id")).union(joined.select("b")).distinct()
     found = components(nodes, joined, component="least").withColumnRenamed("class_id", "component")
     return labels.join(found, "component", "left").select("class_id", F.coalesce("least", "component").alias("component"))
