@@ -22,6 +22,7 @@ from alertmill.sources.lines import read_lines
 from alertmill.sources.snapshots import decode_snapshot
 from alertmill.sources.syslog import accepted, parse_syslog, rejected
 from alertmill.storage import new_table_path
+from alertmill.streaming.arrivals import first_arrivals_stream
 from alertmill.streaming.delivery import undelivered_stream
 from alertmill.streaming.pipeline import start_notify
 from alertmill.streaming.refresh import RefreshedPatterns
@@ -543,6 +544,28 @@ def heartbeat_stream(spark, sf):
     return done.select("nonce", tb.ntz("sent_at").alias("sent_at"), "text")
 
 
+def first_arrival_stream(spark, sf):
+    """The events written as a stream, and a late one after them that lets the last timeouts pass."""
+    path = new_table_path(spark, "arrivals")
+    events = tb.table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "props")
+    events.write.parquet(f"{path}/in")
+    rows = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+    asks = rows.where("event_type = 'error'").select(
+        F.col("event_id").alias("request_id"), F.col("user_id").alias("subject"), F.col("ts").alias("asked_at"), F.lit(7200).alias("timeout_s")
+    )
+    sent = rows.where("event_type <> 'error'").select(F.col("user_id").alias("subject"), F.col("ts").alias("arrived_at"), F.col("props").alias("payload"))
+    found = first_arrivals_stream(asks, sent)
+    writer = found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    closing = events.agg(F.max("ts").alias("ts")).select(
+        F.lit(None).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("close").alias("event_type"),
+        (F.col("ts") + F.expr("interval 1 day")).alias("ts"), F.lit(None).cast("string").alias("props"),
+    )
+    closing.write.mode("append").parquet(f"{path}/in")
+    writer.start().awaitTermination()  # goes on from the state of the first run
+    return spark.read.schema(found.schema).parquet(f"{path}/out")
+
+
 def chat_stream(spark, sf):
     path = new_table_path(spark, "updates")
     tb.chat_envelopes(spark, sf).select("body").write.text(path)
@@ -562,6 +585,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chat_adds, chat_list_state, chat_whois, chat_removes, chat_change_replies, chat_list_replies, chat_list_replies_last, list_history, chat_whois_replies, device_search, device_search_batch, device_search_status,
         device_search_json, device_by_brand, attribute_index, attribute_counts, device_file_load, line_file_load,
         whois_lines, whois_grep, heartbeat_check, first_arrival, first_arrival_hot, near_dup_stream, notify_stream,
-        heartbeat_stream, chat_stream,
+        heartbeat_stream, first_arrival_stream, chat_stream,
     )
 }

@@ -321,5 +321,11 @@ SELECT a.event_id AS request_id, coalesce(p, '{}') AS response, CASE WHEN p IS N
 FROM (SELECT event_id FROM events WHERE event_type = 'error') a LEFT JOIN (
   SELECT e.event_id AS k, arg_min(m.props, (m.ts, m.props)) AS p
   FROM events e JOIN events m ON e.user_id % 3 = m.user_id % 3 AND m.ts >= e.ts AND m.ts <= e.ts + INTERVAL 120 SECOND
+  WHERE e.event_type = 'error' AND m.event_type <> 'error' GROUP BY 1) ON k = a.event_id""",
+    "first_arrival_stream": """
+SELECT a.event_id AS request_id, coalesce(p, '{}') AS response, CASE WHEN p IS NULL THEN 'timeout error' END AS error
+FROM (SELECT event_id FROM events WHERE event_type = 'error') a LEFT JOIN (
+  SELECT e.event_id AS k, arg_min(m.props, (m.ts, m.props)) AS p
+  FROM events e JOIN events m ON e.user_id = m.user_id AND m.ts >= e.ts AND m.ts <= e.ts + INTERVAL 7200 SECOND
   WHERE e.event_type = 'error' AND m.event_type <> 'error' GROUP BY 1) ON k = a.event_id""",
 }

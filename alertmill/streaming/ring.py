@@ -21,7 +21,8 @@ OUT_ROWS = 500
 class _RingProcessor(StatefulProcessor):
     """Keeps the last samples of a key and hands each row the live ones.
 
-    Bookkeeping only; distances are computed by the JVM afterwards.
+    Bookkeeping only; distances are computed by the JVM afterwards. A timer drops the ring of a key that fell silent: once
+    the watermark is past the lifetime of its newest sample, no row that still counts can be compared with it.
     """
 
     def __init__(self, samples: int, lifetime_s: int):
@@ -29,6 +30,7 @@ class _RingProcessor(StatefulProcessor):
         self.lifetime_us = lifetime_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.ring = handle.getListState("ring", RING_SCHEMA)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
@@ -43,6 +45,16 @@ class _RingProcessor(StatefulProcessor):
                 ring = [*ring, (int(us), text)][-self.samples :]
             yield pd.DataFrame({"key": key[0], "id": piece["id"], "us": piece["us"], "text": piece["text"], "ring": rings})
         self.ring.put(ring)
+        expiry = (max(us for us, _ in ring) + self.lifetime_us) // 1000 + 1
+        known = set(self.handle.listTimers())
+        for timer in known - {expiry}:
+            self.handle.deleteTimer(timer)
+        if expiry not in known:
+            self.handle.registerTimer(expiry)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.ring.clear()
+        return iter(())
 
     def close(self) -> None:
         pass

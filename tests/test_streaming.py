@@ -9,6 +9,8 @@ from alertmill.functions.text import PROBE_TEMPLATE
 from alertmill.operators.patterns import literal_patterns
 from alertmill.operators.similarity import suppress_near_duplicates, with_ring
 from alertmill.plans.notify import notify_pipeline
+from alertmill.operators.delivery import first_arrivals
+from alertmill.streaming.arrivals import first_arrivals_stream
 from alertmill.streaming.delivery import undelivered_stream
 from alertmill.streaming.pipeline import start_notify
 from alertmill.streaming.refresh import RefreshedPatterns, RefreshedTable
@@ -181,3 +183,52 @@ def test_notify_stream_equals_batch(spark, tmp_path):
     assert not (tmp_path / "out3").exists()
     fanned = notify_pipeline(df, literal_patterns(spark, ban), literal_patterns(spark, notify), threshold=3, fanout="pattern")
     assert fanned.select("id").distinct().count() == fanned.count()
+
+
+def state_rows(spark, log, name):
+    return spark.read.format("statestore").option("stateVarName", name).option("flattenCollectionTypes", True).load(str(log)).count()
+
+
+def test_silent_keys_leave_the_ring_store(spark, tmp_path):
+    data = [(1, T0, "a", "x"), (2, T0 + dt.timedelta(seconds=10), "b", "y"), (3, T0 + dt.timedelta(hours=3), "b", "z"), (4, T0 + dt.timedelta(hours=6), "c", "w")]
+    write_batches(spark, data, tmp_path / "in", 1)
+    done = finish(keyed_ring(stream(spark, tmp_path / "in"), "host", watermark="1 minute"), tmp_path, "silent")
+    assert {r.id: r.ring for r in done.collect()} == {1: [], 2: [], 3: [], 4: []}
+    assert state_rows(spark, tmp_path / "silent-log", "ring") == 1  # the key that spoke last
+
+
+EVENTS = "kind string, id bigint, subject string, ts timestamp, timeout_s int, payload string"
+
+
+def test_first_arrivals_on_a_stream_equal_batch(spark, tmp_path):
+    rnd, data, t = random.Random(4), [], T0
+    for k in range(300):
+        t += dt.timedelta(milliseconds=rnd.choice([0, 1, 500, 4000]))
+        if rnd.random() < 0.4:
+            data.append(("ask", k, rnd.choice("abc"), t, rnd.choice([0, 1, 5, 60]), None))
+        else:
+            data.append(("msg", k, rnd.choice("abcd"), t, None, rnd.choice(["p", "q", f"m{k}"])))
+    cut = next(k for k in range(150, 300) if data[k][3] != data[k - 1][3])
+    for part in (data[:cut], data[cut:], [("msg", 999, "z", t + dt.timedelta(days=1), None, "end")]):
+        write_batches(spark, part, tmp_path / "in", len(part), EVENTS)
+
+    def split(rows):
+        asks = rows.where("kind = 'ask'").selectExpr("id AS request_id", "subject", "ts AS asked_at", "timeout_s")
+        return asks, rows.where("kind = 'msg'").selectExpr("subject", "ts AS arrived_at", "payload")
+
+    found = finish(first_arrivals_stream(*split(stream(spark, tmp_path / "in", EVENTS))), tmp_path, "first")
+    want = first_arrivals(*split(spark.createDataFrame(data, EVENTS))).select("request_id", "response", "error")
+    assert found.schema == want.schema or found.columns == want.columns
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert state_rows(spark, tmp_path / "first-log", "open") == 0
+
+
+def test_an_answer_is_never_replaced(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    batches = [[("ask", 1, "a", at(0), 60, None)], [("msg", 2, "a", at(20), None, "first processed")], [("msg", 3, "a", at(5), None, "earlier but late")], [("msg", 4, "z", at(9999), None, "end")]]
+    for part in batches:
+        write_batches(spark, part, tmp_path / "in", 1, EVENTS)
+    rows = stream(spark, tmp_path / "in", EVENTS)
+    asks = rows.where("kind = 'ask'").selectExpr("id AS request_id", "subject", "ts AS asked_at", "timeout_s")
+    found = finish(first_arrivals_stream(asks, rows.where("kind = 'msg'").selectExpr("subject", "ts AS arrived_at", "payload")), tmp_path, "late")
+    assert list(map(tuple, found.collect())) == [(1, "first processed", None)]
