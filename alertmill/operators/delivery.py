@@ -15,6 +15,8 @@ DEFAULT_RESPONSE = "{}"
 TIMEOUT_ERROR = "timeout error"
 FAILURE_TEXT = "Dear engineers, syslog doesn't work correctly"
 
+DAY_S = 86_400
+
 
 def contains_text(payload: Column | str, text: Column | str) -> Column:
     payload = F.col(payload) if isinstance(payload, str) else payload
@@ -66,6 +68,13 @@ def undelivered(
     return keyed.join(hits, ["_nonce", "sent_at"], "left_anti").select(*probes.columns)
 
 
+def _with_next(rows: DataFrame, asked: DataFrame, backwards, out: str) -> DataFrame:
+    """``asked`` with ``out``: the ``m`` of the first of ``rows`` that comes strictly after, None without one."""
+    empty = F.lit(None).cast(rows.schema["m"].dataType).alias("m")
+    both = rows.withColumn("kind", F.lit(1)).unionByName(asked.select("*", empty, F.lit(0).alias("kind")))
+    return both.withColumn(out, F.last("m", ignorenulls=True).over(backwards)).where("kind = 0").drop("kind", "m")
+
+
 def first_arrivals(
     requests: DataFrame,
     arrivals: DataFrame,
@@ -83,10 +92,11 @@ def first_arrivals(
     No request meets all messages of its subject. Messages are reduced to one
     per instant and to the first of each second; a request looks through its
     own second and, failing that, takes the first of the next second that has
-    one. The windows hold one second of a subject, or one row per second.
+    one, in the same day or else on the next day with any. The windows hold one
+    second, the seconds of one day, or one row per day of a subject.
     """
     asked = F.unix_micros(F.col(asked_at).cast("timestamp"))
-    second = F.expr("us div 1000000")
+    second, day = F.expr("us div 1000000"), F.expr(f"sec div {DAY_S}")
     messages = (
         arrivals.select(F.col(subject).alias("s"), F.unix_micros(F.col(arrived_at).cast("timestamp")).alias("us"), F.col(payload).alias("p"))
         .groupBy("s", "us")
@@ -103,12 +113,13 @@ def first_arrivals(
     backwards = Window.partitionBy("s", "sec").orderBy(F.desc("us"), "kind")
     own = own.withColumn("own", F.last("m", ignorenulls=True).over(backwards)).where("kind = 1").select("s", "sec", "us", "own")
 
-    firsts = messages.groupBy("s", "sec").agg(F.min(message).alias("m"))
-    later = firsts.select("s", "sec", F.lit(1).alias("kind"), "m").unionByName(
-        asks.select("s", "sec").distinct().select("s", "sec", F.lit(0).alias("kind"), nothing.alias("m"))
-    )
-    backwards = Window.partitionBy("s").orderBy(F.desc("sec"), "kind")
-    later = later.withColumn("next", F.last("m", ignorenulls=True).over(backwards)).where("kind = 0").select("s", "sec", "next")
+    firsts = messages.groupBy("s", "sec").agg(F.min(message).alias("m")).withColumn("day", day)
+    wanted = asks.select("s", "sec").distinct().withColumn("day", day)
+    in_day = Window.partitionBy("s", "day").orderBy(F.desc("sec"), "kind")
+    later = _with_next(firsts.select("s", "day", "sec", "m"), wanted, in_day, "next")
+    days = firsts.groupBy("s", "day").agg(F.min("m").alias("m"))
+    over_days = _with_next(days, wanted.select("s", "day").distinct(), Window.partitionBy("s").orderBy(F.desc("day"), "kind"), "next_day")
+    later = later.join(over_days, ["s", "day"]).select("s", "sec", F.coalesce("next", "next_day").alias("next"))
 
     answers = own.join(later, ["s", "sec"]).select("s", "us", F.coalesce("own", "next").alias("m"))
     joined = requests.withColumn("_us", asked).join(

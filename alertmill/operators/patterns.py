@@ -62,6 +62,13 @@ class PatternSet:
             return self.table.where("java is null").select("route", "pattern", "reason")
         return self.spark.createDataFrame(self.rejects, "route string, pattern string, reason string")
 
+    def given(self) -> DataFrame:
+        """(route, pattern) of all patterns, refused ones included: what the set can be compiled from again."""
+        if self.table is not None:
+            return self.table.select("route", "pattern")
+        rows = [(route, pattern) for route, pattern, _ in (*self.literals, *self.rejects)]
+        return self.spark.createDataFrame(rows, "route string, pattern string")
+
     def part(self, i: int) -> DataFrame:
         # Bounded: PART_ROWS patterns of at most LONG_PATTERN characters, or one pattern.
         return F.broadcast(self.parts.where(F.col("part") == i).select("route", "pattern", "java"))

@@ -530,8 +530,7 @@ def notify_stream(spark, sf):
         threshold=NOTIFY_THRESHOLD,
     )
     query.awaitTermination()
-    sent = spark.read.schema("id bigint, chat_id bigint, parse_mode string, text string, batch_id bigint")
-    return sent.parquet(f"{path}/outbox").select("id", "chat_id", "parse_mode", "text")
+    return outbox.read_outbox(spark, f"{path}/outbox").select("id", "chat_id", "parse_mode", "text")
 
 
 def heartbeat_stream(spark, sf):

@@ -60,3 +60,34 @@ def list_dir(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(jpath):
         return []
     return sorted(status.getPath().getName() for status in fs.listStatus(jpath))
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file so that readers see the old or the new text, never a part."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    draft, target = hadoop.Path(f"{path}.{uuid.uuid4().hex}"), hadoop.Path(path)
+    out = target.getFileSystem(conf).create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = getattr(hadoop.Options.Rename, "OVERWRITE")
+    hadoop.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf).rename(draft, target, overwrite)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None when there is none."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        return None
+    size = fs.getFileStatus(jpath).getLen()
+    source = fs.open(jpath)
+    try:
+        return bytes(source.readNBytes(size)).decode()
+    finally:
+        source.close()
+
+
+def delete_dir(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

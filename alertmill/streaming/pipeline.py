@@ -10,7 +10,7 @@ from alertmill.functions.text import SUBJECT_PREFIX, message_text
 from alertmill.operators.outbox import alerts, write_outbox
 from alertmill.operators.similarity import THRESHOLD
 from alertmill.plans.notify import candidates
-from alertmill.streaming.refresh import RefreshedPatterns
+from alertmill.streaming.refresh import ListVersions, RefreshedPatterns
 from alertmill.streaming.ring import ring_by_batches
 
 
@@ -30,9 +30,10 @@ def notify_batches(
 ):
     """A ``foreachBatch`` function from payloads (id, ts, payload) to an outbox folder per batch.
 
-    A batch that finds the notify list empty fails, to be tried again on
-    restart; ``when_empty='skip'`` lets its messages go, like a listener that
-    has not subscribed yet.
+    The lists a batch was decided with are noted beside the ring, so a replay
+    decides the same. A batch that finds the notify list empty fails, to be
+    tried again on restart with the list of then; ``when_empty='skip'`` lets its
+    messages go, like a listener that has not subscribed yet.
     """
 
     def deliver(sent: DataFrame, batch: int) -> None:
@@ -40,13 +41,14 @@ def notify_batches(
         write_outbox(rows, outbox, batch)
 
     suppress = ring_by_batches(ring_path, deliver, keys, threshold, on_empty, mode)
+    versions = ListVersions(f"{ring_path}-lists")
 
     def run(raw: DataFrame, batch: int) -> None:
-        spark = raw.sparkSession
-        patterns = notify.current(spark)
-        if when_empty == "skip" and patterns.is_empty():
+        needed = () if when_empty == "skip" else ("notify",)
+        found = versions.for_batch(raw.sparkSession, batch, {"ban": ban, "notify": notify}, needed)
+        if when_empty == "skip" and found["notify"].is_empty():
             return
-        suppress(candidates(raw, ban.current(spark), patterns, subscription, prefix), batch)
+        suppress(candidates(raw, found["ban"], found["notify"], subscription, prefix), batch)
 
     return run
 

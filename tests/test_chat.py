@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertmill.operators import chat
-from alertmill.operators.outbox import alerts, publish, sendable, write_outbox
+from alertmill.operators.outbox import alerts, publish, read_outbox, sendable, write_outbox
 from alertmill.plans.chatbot import change_replies, list_replies, list_state, whois_replies
 from alertmill.sources.chat import decode_envelopes, read_envelopes, updates
 from alertmill.streaming.updates import stream_messages
@@ -117,8 +117,24 @@ def test_outbox_rejects_and_replays(spark, tmp_path):
     }
     assert [tuple(r) for r in sendable(rows).collect()] == [(5, "HTML", "<pre>a&lt;b</pre>")]
     for batch in (0, 1, 1):
-        write_outbox(rows, str(tmp_path / "o"), batch)
-    assert spark.read.parquet(str(tmp_path / "o")).count() == 2
+        write_outbox(rows.withColumn("id", F.lit(9).cast("bigint")), str(tmp_path / "o"), batch)
+    assert sorted((r.id, r.batch_id) for r in read_outbox(spark, str(tmp_path / "o")).collect()) == [(9, 0), (9, 1)]
+
+
+def test_readers_of_the_outbox_see_whole_attempts(spark, tmp_path):
+    rows = lambda n: spark.range(n).select("id", F.lit(1).cast("bigint").alias("chat_id"), F.lit("HTML").alias("parse_mode"), F.lit("x").alias("text"), F.lit(None).cast("string").alias("reject_reason"))
+    path = str(tmp_path / "o")
+    assert read_outbox(spark, path).count() == 0
+    write_outbox(rows(3), path, 0)
+    reader = read_outbox(spark, path)
+    # an attempt that was lost before its commit
+    rows(50).drop("reject_reason").write.parquet(f"{path}/batch_id=0/attempt=lost")
+    assert read_outbox(spark, path).count() == 3
+    write_outbox(rows(5), path, 0)
+    assert reader.count() == 3 and read_outbox(spark, path).count() == 5
+    write_outbox(rows(6), path, 0)
+    assert read_outbox(spark, path).count() == 6
+    assert len([p for p in (tmp_path / "o" / "batch_id=0").iterdir()]) == 2
 
 
 def test_publish_prunes_folders(spark, tmp_path):

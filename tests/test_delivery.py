@@ -55,6 +55,20 @@ def test_first_arrivals_equal_brute_force(spark):
     assert got == want
 
 
+def test_first_arrivals_over_days(spark):
+    """The next message can be days after the request, in a day of its own."""
+    rng, day = random.Random(12), 86_400 * 10**6
+    asks = [(i, rng.choice("ha"), rng.randrange(40) * day // 2 + rng.choice([0, 1, day // 2 - 1]), rng.choice([5, 86_400, 10 * 86_400])) for i in range(200)]
+    sent = [(rng.choice("ha"), rng.randrange(40) * day // 2 + rng.choice([0, 1, day // 2 - 1, 7]), f"m{k}") for k in range(25)]
+    requests = spark.createDataFrame([(i, s, at(t), n) for i, s, t, n in asks], "request_id int, subject string, asked_at timestamp, timeout_s int")
+    arrivals = spark.createDataFrame([(s, at(t), p) for s, t, p in sent], "subject string, arrived_at timestamp, payload string")
+    want = {}
+    for i, s, t, n in asks:
+        hits = sorted((a, p) for s2, a, p in sent if s2 == s and t <= a <= t + n * 10**6)
+        want[i] = (hits[0][1], None) if hits else ("{}", "timeout error")
+    assert {r.request_id: (r.response, r.error) for r in first_arrivals(requests, arrivals).collect()} == want
+
+
 def test_first_arrival_without_messages(spark):
     requests = spark.createDataFrame([(1, None, T0, 5), (2, "x", T0, 5)], "request_id int, subject string, asked_at timestamp, timeout_s int")
     arrivals = spark.createDataFrame([], "subject string, arrived_at timestamp, payload string")

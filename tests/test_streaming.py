@@ -10,10 +10,11 @@ from alertmill.operators.patterns import literal_patterns
 from alertmill.operators.similarity import suppress_near_duplicates, with_ring
 from alertmill.plans.notify import notify_pipeline
 from alertmill.operators.delivery import first_arrivals
+from alertmill.operators.outbox import read_outbox
 from alertmill.streaming.arrivals import first_arrivals_stream
 from alertmill.streaming.delivery import undelivered_stream
-from alertmill.streaming.pipeline import start_notify
-from alertmill.streaming.refresh import RefreshedPatterns, RefreshedTable
+from alertmill.streaming.pipeline import notify_batches, start_notify
+from alertmill.streaming.refresh import ListVersions, RefreshedPatterns, RefreshedTable
 from alertmill.streaming.ring import CarriedRing, keyed_ring, ring_by_batches
 
 T0 = dt.datetime(2024, 1, 1)
@@ -167,7 +168,7 @@ def test_notify_stream_equals_batch(spark, tmp_path):
     ).awaitTermination()
     df = spark.createDataFrame(data, schema)
     want = notify_pipeline(df, literal_patterns(spark, ban), literal_patterns(spark, notify), threshold=3)
-    got = spark.read.parquet(str(tmp_path / "out"))
+    got = read_outbox(spark, str(tmp_path / "out"))
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
     assert want.count() > 3
     assert {(r.chat_id, r.parse_mode) for r in got.collect()} == {(-5, "HTML")}
@@ -232,3 +233,44 @@ def test_an_answer_is_never_replaced(spark, tmp_path):
     asks = rows.where("kind = 'ask'").selectExpr("id AS request_id", "subject", "ts AS asked_at", "timeout_s")
     found = finish(first_arrivals_stream(asks, rows.where("kind = 'msg'").selectExpr("subject", "ts AS arrived_at", "payload")), tmp_path, "late")
     assert list(map(tuple, found.collect())) == [(1, "first processed", None)]
+
+
+def test_a_replay_decides_with_the_lists_of_its_batch(spark, tmp_path):
+    """Stopped between sink and commit, the list changes, restarted: the same outbox."""
+    schema = "id bigint, ts timestamp, payload string"
+    message = lambda k: (k, T0 + dt.timedelta(hours=k), payload("sw-1", "err", f"{'red' if k % 2 else 'blue'} {'x' * k}"))
+    raw = [spark.createDataFrame([message(k) for k in ids], schema) for ids in (range(1, 7), range(7, 13))]
+    lists = lambda *words: RefreshedPatterns(lambda s: s.createDataFrame([(w,) for w in words], "pattern string"))
+    options = {"to": "-5", "outbox": str(tmp_path / "out"), "ring_path": str(tmp_path / "ring"), "on_empty": "send"}
+
+    def ids(batch):
+        return sorted(r.id for r in read_outbox(spark, options["outbox"]).where(f"batch_id = {batch}").collect())
+
+    notify_batches(ban=lists("nothing"), notify=lists("red"), **options)(raw[0], 0)
+    assert ids(0) == [1, 3, 5]
+    later = notify_batches(ban=lists("x{4}"), notify=lists("blue"), **options)
+    later(raw[0], 0)
+    assert ids(0) == [1, 3, 5]
+    later(raw[1], 1)
+    assert ids(1) == []  # banned by the new list
+    notify_batches(ban=lists("nothing"), notify=lists("blue"), **options)(raw[1], 2)
+    assert ids(2) == [8, 10, 12]
+
+
+def test_versions_are_written_once_and_forgotten(spark, tmp_path):
+    versions, now = ListVersions(str(tmp_path / "v")), [0.0]
+    own = RefreshedPatterns(lambda s: s.createDataFrame([(f"p{now[0]}",), ("[",)], "pattern string"), period_s=10, clock=lambda: now[0])
+    spark.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
+    try:
+        for batch in range(8):
+            now[0] = 10.0 * (batch // 2)
+            found = versions.for_batch(spark, batch, {"l": own})["l"]
+            assert [x[1] for x in found.literals] == [f"p{now[0]}"]
+            again = ListVersions(str(tmp_path / "v")).for_batch(spark, batch, {"l": own})["l"]
+            assert [x[1] for x in again.literals] == [f"p{now[0]}"] and len(again.rejects) == 1
+        assert len(list((tmp_path / "v" / "versions").iterdir())) < 4
+    finally:
+        spark.conf.unset("spark.sql.streaming.minBatchesToRetain")
+    with pytest.raises(ValueError):
+        versions.for_batch(spark, 9, {"l": RefreshedPatterns(lambda s: s.createDataFrame([], "pattern string"))}, needed=("l",))
+    assert not (tmp_path / "v" / "batches" / "9").exists()
