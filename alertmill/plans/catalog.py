@@ -12,14 +12,14 @@ from alertmill.functions.subjects import subject_matches
 from alertmill.operators import chat, delivery, documents, inventory, lists, outbox, similarity
 from alertmill.operators.grep import grep, grep_outcomes
 from alertmill.operators.history import item_history
-from alertmill.operators.patterns import drop_matching, flag_matches, literal_patterns, compile_patterns, route_matches
+from alertmill.operators.patterns import drop_matching, flag_matches, literal_patterns, compile_patterns, route_matches, route_to_handlers
 from alertmill.plans import tables as tb
 from alertmill.plans.chatbot import change_replies, list_replies, list_replies_then, list_state, whois_replies
 from alertmill.plans.notify import notify_pipeline, received
 from alertmill.sources import chat as chat_source
 from alertmill.sources.devices import read_devices
 from alertmill.sources.lines import read_lines
-from alertmill.sources.snapshots import decode_snapshot
+from alertmill.sources.snapshots import decode_snapshot, read_snapshot
 from alertmill.sources.syslog import accepted, parse_syslog, rejected
 from alertmill.storage import new_table_path
 from alertmill.streaming.arrivals import first_arrivals_stream
@@ -415,6 +415,31 @@ def device_file_load(spark, sf):
     return back.select("name", "ip", F.col("attributes")["brand"].alias("brand"), F.col("attributes")["size"].alias("size"))
 
 
+def device_array_load(spark, sf):
+    """Array files of 500 devices each, and the ids their order gives."""
+    path = new_table_path(spark, "device-arrays")
+    one = F.struct("id", F.to_json(F.struct("name", "ip", "attributes")).alias("json"))
+    arrays = tb.devices(spark, sf).groupBy(F.expr("id div 500").alias("g")).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    body = F.concat(F.lit("["), F.array_join("all.json", ", "), F.lit("]"))
+    arrays.select("g", body.alias("value")).write.partitionBy("g").text(path)
+    return read_devices(spark, path, number=True).select("id", "name", "ip", F.col("attributes")["type"].alias("type"))
+
+
+def list_snapshot_read(spark, sf):
+    path = new_table_path(spark, "snapshot")
+    items = lists.first_adds(tb.list_adds(spark, sf).where("list_name = 'error'"), ["ts", "seq"])
+    documents.list_json(items).select("body").write.text(path)
+    return read_snapshot(spark, path, "error").select("list_name", "id", "pattern", tb.ntz("expired_at").alias("expired_at"))
+
+
+def route_handlers(spark, sf):
+    handlers = {
+        "r2": lambda found: found.select("doc_id", F.length("text").cast("bigint").alias("value")),
+        "r3": lambda found: found.groupBy(F.lit(-1).cast("bigint").alias("doc_id")).agg(F.count(F.lit(1)).alias("value")),
+    }
+    return route_to_handlers(tb.documents(spark, sf), "text", _routes(spark), handlers)
+
+
 def line_file_load(spark, sf):
     path = new_table_path(spark, "lines")
     tb.document_lines(spark, sf).orderBy("line_no").select("value").write.text(path)
@@ -582,7 +607,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         list_remaining, list_state_fold, list_command_outcomes, list_snapshot_json, list_snapshot_decode, list_text,
         list_gc, list_gc_empty, list_patterns, duration_parse, chat_updates, chat_next_offset, chat_commands,
         chat_adds, chat_list_state, chat_whois, chat_removes, chat_change_replies, chat_list_replies, chat_list_replies_last, list_history, chat_whois_replies, device_search, device_search_batch, device_search_status,
-        device_search_json, device_by_brand, attribute_index, attribute_counts, device_file_load, line_file_load,
+        device_search_json, device_by_brand, attribute_index, attribute_counts, device_file_load, device_array_load, list_snapshot_read, route_handlers, line_file_load,
         whois_lines, whois_grep, heartbeat_check, first_arrival, first_arrival_hot, near_dup_stream, notify_stream,
         heartbeat_stream, first_arrival_stream, chat_stream,
     )

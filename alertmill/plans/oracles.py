@@ -301,6 +301,10 @@ FROM statuses s LEFT JOIN found f USING (query_id) GROUP BY s.query_id, s.status
     "attribute_index": f"WITH {_DEVICES} SELECT attr, value, id >> 10 AS span, count(*) AS count, string_agg(id, ',' ORDER BY id) AS ids FROM attrs GROUP BY 1, 2, 3",
     "attribute_counts": f"WITH {_DEVICES} SELECT attr, value, count(*) AS count FROM attrs GROUP BY ALL",
     "device_file_load": f"WITH {_DEVICES} SELECT name, ip, brand, size FROM dev",
+    "device_array_load": f"WITH {_DEVICES} SELECT row_number() OVER (ORDER BY encode((id // 500) || '/'), id) - 1 AS id, name, ip, type FROM dev",
+    "list_snapshot_read": f"WITH {_ADDS} SELECT list_name, id, pattern, expired_at FROM ({_FIRSTS.format('adds')}) WHERE list_name = 'error'",
+    "route_handlers": f"""SELECT doc_id, length(text) AS value FROM documents WHERE regexp_matches(text, {_q(WORDS[1][1])})
+UNION ALL SELECT -1, count(*) FROM documents WHERE regexp_matches(text, {_q(WORDS[2][1])}) HAVING count(*) > 0""",
     "line_file_load": f"WITH {_LINES} SELECT row_number() OVER (ORDER BY line_no) AS line_no, value FROM lines",
     "whois_lines": f"WITH {_LINES}, {_HITS} SELECT pattern, line_no, value FROM hits",
     "whois_grep": f"""WITH {_LINES}, {_HITS},
