@@ -28,7 +28,7 @@ BAND_RATIO = 1.6  # greatest size of a band over that of the band before
 # Their signatures cover a large part of the set, so that one frequent passage does not make short texts candidates.
 SMALL, SMALL_GROUP, SMALL_LEFT_OUT = 15, 6, 3
 SPARE = 0.25  # further partitions in proportion, so that sets need no signature for partitions with few elements
-CENTERS = 64  # members of a group compared with the later ones in its first round; each round takes so many times more
+CENTERS = 64  # members of a group compared with its later ones in the second round; each round takes so many times more
 FIRST_SHARE = 16  # of all signatures one in so many is looked at first: it joins most copies, so that the others stay out of pairs
 HELD_PAIRS = 200_000  # pairs a task remembers so that it names them once
 WANTED_BITS = 24  # of the bitmap that picks texts before they are shuffled, so it has one size
@@ -378,7 +378,7 @@ def _id_of(value: Column) -> Column:
 def class_components(texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """(class_id, component) of all classes that share a signature with another.
 
-    A share of the signatures is looked at first, with one member of every group. Each round compares some members of every group of a signature
+    A share of the signatures is looked at first, with one member of every group. Then each round compares some members of every group of a signature
     with its later members, unless links that are known already join them; a group is done when all its members are joined or
     have been compared.
     """
@@ -389,8 +389,8 @@ def class_components(texts: DataFrame, classes: DataFrame, n: int, percent: int)
     written.release()
     labels = written.write(groups.select("class_id").distinct().withColumn("component", F.col("class_id")), "labels")
     share, found = F.pmod("signature", F.lit(FIRST_SHARE)) == 0, []
-    for part, upto, last in ((groups.where(share), 1, 1), (groups, CENTERS, None)):
-        done, current = 0, part
+    for part, last in ((groups.where(share), 1), (groups, None)):
+        done, upto, current = 0, 1, part
         while last is None or done < last:
             labelled = current.select("signature", "class_id", "size").join(labels, "class_id")
             mixed_up = labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
@@ -405,7 +405,8 @@ def class_components(texts: DataFrame, classes: DataFrame, n: int, percent: int)
             links = written.write(_links(likely, chosen, n, percent), "links")
             written.drop(chosen, likely)
             found.append(links)
-            old, labels = labels, written.write(_hooked(labels, links), "labels")
+            # copies are joined wholly after the first rounds, so that later ones do not name their pairs
+            old, labels = labels, written.write(_hooked(labels, links) if done else _relabelled(labels, links), "labels")
             written.drop(old)
             done, upto = upto, upto * CENTERS
         written.drop(current)
