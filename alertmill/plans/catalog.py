@@ -13,6 +13,7 @@ from alertmill.operators import chat, delivery, documents, inventory, lists, out
 from alertmill.operators.grep import grep, grep_outcomes
 from alertmill.operators.history import item_history
 from alertmill.operators.patterns import drop_matching, flag_matches, literal_patterns, compile_patterns, route_matches, route_to_handlers
+from alertmill.operators.postings import PostingTable
 from alertmill.plans import tables as tb
 from alertmill.plans.chatbot import change_replies, list_replies, list_replies_then, list_state, whois_replies
 from alertmill.plans.notify import notify_pipeline, received
@@ -404,6 +405,16 @@ def attribute_index(spark, sf):
     )
 
 
+def device_index_search(spark, sf):
+    """Search on a posting table after every tenth device has become an ECONOMY one."""
+    devices = tb.devices(spark, sf)
+    index = PostingTable(spark, new_table_path(spark, "postings"), span_bits=10)
+    index.build(devices)
+    old = devices.where("id % 10 = 0")
+    index.change(old, old.withColumn("attributes", F.map_concat(F.map_filter("attributes", lambda k, _: k != "type"), F.create_map(F.lit("type"), F.lit("ECONOMY")))))
+    return index.search({"brand": "Brand#2", "type": "ECONOMY"})
+
+
 def attribute_counts(spark, sf):
     return inventory.attribute_counts(tb.devices(spark, sf)).select("attr", "value", "count")
 
@@ -607,7 +618,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         list_remaining, list_state_fold, list_command_outcomes, list_snapshot_json, list_snapshot_decode, list_text,
         list_gc, list_gc_empty, list_patterns, duration_parse, chat_updates, chat_next_offset, chat_commands,
         chat_adds, chat_list_state, chat_whois, chat_removes, chat_change_replies, chat_list_replies, chat_list_replies_last, list_history, chat_whois_replies, device_search, device_search_batch, device_search_status,
-        device_search_json, device_by_brand, attribute_index, attribute_counts, device_file_load, device_array_load, list_snapshot_read, route_handlers, line_file_load,
+        device_search_json, device_by_brand, attribute_index, device_index_search, attribute_counts, device_file_load, device_array_load, list_snapshot_read, route_handlers, line_file_load,
         whois_lines, whois_grep, heartbeat_check, first_arrival, first_arrival_hot, near_dup_stream, notify_stream,
         heartbeat_stream, first_arrival_stream, chat_stream,
     )

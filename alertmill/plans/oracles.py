@@ -299,6 +299,7 @@ SELECT s.query_id::BIGINT AS query_id, s.status, CASE WHEN status = 'ok' THEN '0
 FROM statuses s LEFT JOIN found f USING (query_id) GROUP BY s.query_id, s.status""",
     "device_by_brand": f"WITH {_DEVICES} SELECT id AS query_id, 'ok' AS status, count(*) OVER (PARTITION BY brand, type) AS n_found FROM dev",
     "attribute_index": f"WITH {_DEVICES} SELECT attr, value, id >> 10 AS span, count(*) AS count, string_agg(id, ',' ORDER BY id) AS ids FROM attrs GROUP BY 1, 2, 3",
+    "device_index_search": f"WITH {_DEVICES} SELECT id FROM dev WHERE brand = 'Brand#2' AND (type = 'ECONOMY' OR id % 10 = 0)",
     "attribute_counts": f"WITH {_DEVICES} SELECT attr, value, count(*) AS count FROM attrs GROUP BY ALL",
     "device_file_load": f"WITH {_DEVICES} SELECT name, ip, brand, size FROM dev",
     "device_array_load": f"WITH {_DEVICES} SELECT row_number() OVER (ORDER BY encode((id // 500) || '/'), id) - 1 AS id, name, ip, type FROM dev",
