@@ -10,7 +10,7 @@ decided on the whole sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +28,7 @@ BAND_RATIO = 1.6  # greatest size of a band over that of the band before
 # Their signatures cover a large part of the set, so that one frequent passage does not make short texts candidates.
 SMALL, SMALL_GROUP, SMALL_LEFT_OUT = 15, 6, 3
 SPARE = 0.25  # further partitions in proportion, so that sets need no signature for partitions with few elements
-CENTERS = 64  # members of a group compared with its later ones in the second round; each round takes so many times more
+CENTERS = 32  # members of a group compared with its later ones in the second round; each round takes so many times more
 FIRST_SHARE = 16  # of all signatures one in so many is looked at first: it joins most copies, so that the others stay out of pairs
 HELD_PAIRS = 200_000  # pairs a task remembers so that it names them once
 WANTED_BITS = 24  # of the bitmap that picks texts before they are shuffled, so it has one size
@@ -378,7 +378,7 @@ def _id_of(value: Column) -> Column:
 def class_components(texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """(class_id, component) of all classes that share a signature with another.
 
-    A share of the signatures is looked at first, with one member of every group. Then each round compares some members of every group of a signature
+    A share of the signatures is looked at first. Each round compares some members of every group of a signature
     with its later members, unless links that are known already join them; a group is done when all its members are joined or
     have been compared.
     """
@@ -388,10 +388,10 @@ def class_components(texts: DataFrame, classes: DataFrame, n: int, percent: int)
     groups = written.write(_shared(_signature_rows(texts, n, percent)).join(member, "set_a").select("signature", "class_id", "size"), "groups")
     written.release()
     labels = written.write(groups.select("class_id").distinct().withColumn("component", F.col("class_id")), "labels")
-    share, found = F.pmod("signature", F.lit(FIRST_SHARE)) == 0, []
-    for part, last in ((groups.where(share), 1), (groups, None)):
+    share = F.pmod("signature", F.lit(FIRST_SHARE)) == 0
+    for part in (groups.where(share), groups.where(~share)):
         done, upto, current = 0, 1, part
-        while last is None or done < last:
+        while True:
             labelled = current.select("signature", "class_id", "size").join(labels, "class_id")
             mixed_up = labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
             open_groups = mixed_up.where(f"low < high AND members > {done + 1}").select("signature")
@@ -404,14 +404,13 @@ def class_components(texts: DataFrame, classes: DataFrame, n: int, percent: int)
             chosen = _texts_of(likely, classes, texts, written)
             links = written.write(_links(likely, chosen, n, percent), "links")
             written.drop(chosen, likely)
-            found.append(links)
-            # copies are joined wholly after the first rounds, so that later ones do not name their pairs
-            old, labels = labels, written.write(_hooked(labels, links) if done else _relabelled(labels, links), "labels")
-            written.drop(old)
+            if not links.isEmpty():
+                old, labels = labels, written.write(_relabelled(labels, links), "labels")
+                written.drop(old)
+            written.drop(links)
             done, upto = upto, upto * CENTERS
         written.drop(current)
-    old, labels = labels, written.write(_relabelled(labels, reduce(DataFrame.unionByName, found)), "labels") if found else labels
-    written.drop(groups, *found, old if found else None)
+    written.drop(groups)
     return labels
 
 
@@ -440,20 +439,6 @@ def _component_links(labels: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct()
 
 
-def _hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after each component has taken the least one it is linked with, and that one's own least.
-
-    Components that stay apart here though links join them are only compared once more than needed; they are put together
-    at the end.
-    """
-    joined = _component_links(labels, links)
-    both = joined.unionByName(joined.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("to"))
-    far = least.select(F.col("a").alias("to"), F.col("to").alias("far"))
-    moved = least.join(far, "to", "left").select(F.col("a").alias("component"), F.least("to", F.coalesce("far", "to")).alias("least"))
-    return labels.join(moved, "component", "left").select("class_id", F.coalesce("least", "component").alias("component"))
-
-
 def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame, written: Scratch) -> DataFrame:
     """The first texts of the classes in ``pairs``, written once for both sides."""
     ids = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
