@@ -2,9 +2,9 @@
 
 A list of ordinary size is compiled into the expression as literals, so the
 JVM compiles every pattern once per task and no join is planned. A larger list
-is looked up by grams: each pattern gives grams one of which every match holds,
-texts are joined with the patterns of the grams they hold, and only those are
-tested. Patterns without such a gram are cut into parts of a fixed size, each
+is looked up by grams: each pattern gives grams one of which every match holds
+and that few other patterns have, texts are joined with the patterns of the
+grams they hold, and only those are tested. Patterns without such a gram are cut into parts of a fixed size, each
 joined as a broadcast.
 """
 
@@ -20,7 +20,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertmill.functions.literals import BITMAP_BITS, gram_slots, grams_of, required_grams
+from alertmill.functions.literals import (
+    BLOCK_BITS,
+    SKETCH_BITS,
+    SKETCH_BLOCK,
+    WIDTHS,
+    Wanted,
+    bitmap_size,
+    chosen_grams,
+    gram_slots,
+    grams_of,
+    required_literals,
+    sketch_blocks,
+)
 from alertmill.functions.regex import CATEGORIES, BadPattern, property_names, to_java
 from alertmill.storage import materialize
 
@@ -52,7 +64,7 @@ class PatternSet:
     table: DataFrame | None = None  # route, pattern, java, reason, grams of a list that is no literal
     parts: DataFrame | None = None  # route, pattern, java, part: those without a gram
     n_parts: int = 0
-    wanted: np.ndarray | None = None  # bitmap of the grams of the others
+    wanted: Wanted | None = None  # the grams of the others
 
     def is_empty(self) -> bool:
         return not self.literals and not self.n_parts and self.wanted is None
@@ -136,17 +148,16 @@ def compile_patterns(
     def rewrite_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             done = [checked(p) for p in pdf["pattern"]]
-            grams = [None if d[0] is None else required_grams(d[0]) for d in done]
-            yield pdf.assign(java=[d[0] for d in done], reason=[d[1] for d in done], grams=grams)
-
-    done = named.mapInPandas(rewrite_batches, "route string, pattern string, java string, reason string, grams array<int>")
-    table = materialize(done.withColumn("position", F.monotonically_increasing_id()), "patterns")
+            held = [None if d[0] is None else required_literals(d[0]) for d in done]
+            yield pdf.assign(java=[d[0] for d in done], reason=[d[1] for d in done], literals=[None if x is None else sorted(x) for x in held])
+
+    # Reading patterns is the slow part: all cores share it, however few bytes they have.
+    named = named.repartition(spark.sparkContext.defaultParallelism, "pattern")
+    done = named.mapInPandas(rewrite_batches, "route string, pattern string, java string, reason string, literals array<binary>")
+    table = _with_grams(materialize(done, "literals"))
+    table = materialize(table.withColumn("position", F.monotonically_increasing_id()), "patterns")
     result = PatternSet(spark, table=table.drop("position"))
-    # The bitmap bounds what comes back, whatever the length of the list.
-    slots = [r[0] for r in result.by_gram().select("_gram").distinct().mapInPandas(_slots, "slot int").distinct().collect()]
-    if slots:
-        result.wanted = np.zeros(1 << BITMAP_BITS, dtype=bool)
-        result.wanted[slots] = True
+    result.wanted = _wanted(result.by_gram().select("_gram"))
     table = table.where("java IS NOT NULL AND grams IS NULL")
     # Rows of a written partition are consecutive: cut each into parts of part_rows,
     # a long pattern by itself.
@@ -161,9 +172,47 @@ def compile_patterns(
     return result
 
 
-def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"slot": gram_slots(pdf["_gram"].to_numpy().astype(np.int64).astype(np.uint32)).astype(np.int32)})
+def _with_grams(table: DataFrame) -> DataFrame:
+    """The patterns with ``grams`` for their ``literals``; how often the list has a gram is counted in a sketch of fixed size."""
+    spark = table.sparkSession
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block, counts in sketch_blocks(pdf["literals"].tolist() for pdf in batches):
+            yield pd.DataFrame({"block": [block], "counts": [counts.tobytes()]})
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, dtype=np.int64) for c in parts["counts"])
+        return pd.DataFrame({"block": parts["block"].iloc[:1], "counts": [total.tobytes()]})
+
+    schema = "block int, counts binary"
+    held = table.where("literals IS NOT NULL").select("literals")
+    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    for row in held.mapInPandas(count, schema).groupBy("block").applyInPandas(add, schema).collect():
+        counts[row["block"] * SKETCH_BLOCK :][:SKETCH_BLOCK] = np.frombuffer(row["counts"], dtype=np.int64)
+    sent = spark.sparkContext.broadcast(counts)
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            none = pdf["literals"].isna().tolist()
+            grams = chosen_grams([[] if no else list(x) for no, x in zip(none, pdf["literals"], strict=True)], sent.value)
+            yield pdf.drop(columns="literals").assign(grams=[None if no else g for no, g in zip(none, grams, strict=True)])
+
+    return table.mapInPandas(choose, "route string, pattern string, java string, reason string, grams array<bigint>")
+
+
+def _wanted(grams: DataFrame) -> Wanted | None:
+    """The grams as a bitmap, put together in blocks. Its greatest size bounds what comes back, whatever the length of the list."""
+    found = grams.groupBy(F.col("_gram").bitwiseAND(F.lit(3)).alias("width")).count().collect()
+    if not found:
+        return None
+    size = bitmap_size(sum(r["count"] for r in found))
+    slots = grams.select(F.explode(gram_slots(F.col("_gram"), size)).alias("slot")).select((F.col("slot") + 1).alias("slot"))  # counted from 1
+    blocks = slots.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    bits = np.zeros(1 << (size - 3), dtype=np.uint8)
+    for row in blocks.collect():
+        begin = (row["block"] - 1) << (BLOCK_BITS - 3)
+        bits[begin : begin + len(row["bits"])] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return Wanted(bits, tuple(WIDTHS[r["width"]] for r in sorted(found)))
 
 
 def _any(flags: list[Column]) -> Column:
@@ -188,12 +237,14 @@ def _hit(text: Column) -> Column:
 
 def _flag_by_gram(df: DataFrame, text: str, patterns: PatternSet, out: str) -> DataFrame:
     """``df`` with ``out``: does a pattern match that has grams. Rows are read once and put together again by a number."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.struct(*df.columns).alias("_row"), body.alias("_text"), F.monotonically_increasing_id().alias("_rid"))
-    rows = rows.withColumn("_grams", grams_of(patterns.spark, F.col("_text"), patterns.wanted))
-    opened = rows.select("_row", "_rid", "_text", F.explode_outer("_grams").alias("_gram"))
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.monotonically_increasing_id().alias("_rid"))
+    body = F.coalesce(F.col("_row").getField(text), F.lit(""))
+    rows = rows.withColumn("_grams", grams_of(patterns.spark, body, patterns.wanted))
+    opened = rows.select("_row", "_rid", F.explode_outer("_grams").alias("_gram"))
+    # rows without a gram are dealt out by their number; what they may meet by chance is tested like the rest
+    opened = opened.withColumn("_gram", F.coalesce("_gram", F.xxhash64("_rid")))
     tried = opened.join(patterns.by_gram().select("_gram", "_java"), "_gram", "left")
-    flagged = tried.groupBy("_rid").agg(F.first("_row").alias("_row"), F.max(_hit(F.col("_text"))).alias("_hit"))
+    flagged = tried.groupBy("_rid").agg(F.first("_row").alias("_row"), F.max(_hit(body)).alias("_hit"))
     return flagged.select("_row.*", F.col("_hit").alias(out))
 
 
@@ -229,12 +280,12 @@ def keep_matching(df: DataFrame, text: str, patterns: PatternSet) -> DataFrame:
 
 
 def _routes_by_gram(df: DataFrame, text: str, patterns: PatternSet) -> DataFrame:
-    rows = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    rows = rows.withColumn("_grams", grams_of(patterns.spark, F.col("_text"), patterns.wanted))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = df.withColumn("_grams", grams_of(patterns.spark, body, patterns.wanted))
     tried = rows.withColumn("_gram", F.explode("_grams")).join(patterns.by_gram(), "_gram")
     # a pattern that shares several grams with a text is tested for the least of them
     once = F.col("_gram") == F.array_min(F.array_intersect("_grams", "_needs"))
-    return tried.where(once & _hit(F.col("_text"))).select(*df.columns, "route", "pattern")
+    return tried.where(once & _hit(body)).select(*df.columns, "route", "pattern")
 
 
 def route_matches(df: DataFrame, text: str, patterns: PatternSet) -> DataFrame:

@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from alertmill.functions.literals import required_literals
+from alertmill.functions.literals import SKETCH_BITS, WIDTHS, Wanted, chosen_grams, required_literals, sketch_blocks, text_grams
 from alertmill.functions.regex import to_java
 from alertmill.operators.patterns import (
     PatternSet,
@@ -174,3 +176,31 @@ def test_every_match_holds_a_required_literal():
             text = "".join(rnd.choice("abcd") for _ in range(rnd.randrange(4, 24)))
             if re.search(pattern, text):
                 assert any(x.decode() in text for x in literals), (pattern, text)
+
+
+def test_grams_tell_the_patterns_of_a_list_apart(spark):
+    n = 3000
+    rows = spark.createDataFrame([(f'"host":"{k}","severity":"(error|view)"',) for k in range(n)], "pattern string")
+    found = compile_patterns(rows, max_literals=100)
+    # what all patterns share ('"host":"', '","severity":"') must not stand for any of them
+    assert found.by_gram().groupBy("_gram").count().agg(F.max("count")).first()[0] <= 3
+    df = spark.createDataFrame([(k, f'{{"host":"{k}","severity":"{s}"}}') for k in range(0, n, 7) for s in ("error", "click")], "id int, t string")
+    assert sorted(r.id for r in route_matches(df, "t", found).collect()) == list(range(0, n, 7))
+    assert drop_matching(df, "t", found).count() == len(range(0, n, 7))
+
+
+def test_grams_of_every_width_are_found_again():
+    literals = [b"abcd", b"abcde", b"abcdefgh", b"q" * 15, b"abcdefghijklmnopqr", b"0123456789" * 4, "größe".encode()]
+    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    for block, part in sketch_blocks([[[x] for x in literals]]):
+        counts[block * len(part) :][: len(part)] = part
+    grams = chosen_grams([[x] for x in literals], counts)
+    codes = np.array([g for own in grams for g in own], dtype=np.int64)
+    bits = np.zeros(1 << 16, dtype=bool)
+    for slots in (codes.view(np.uint64) >> np.uint64(48), (codes.view(np.uint64) >> np.uint64(2)) & np.uint64(0xFFFF)):
+        bits[slots] = True
+    wanted = Wanted(np.packbits(bits, bitorder="little"), WIDTHS)
+    texts = pa.array(["", None, "ab", *[f"x {x.decode().upper() if x.isascii() else x.decode()} y" for x in literals], "abc", "d"])
+    got = text_grams(texts, wanted).to_pylist()
+    assert all(set(own) <= set(have) for own, have in zip(grams, got[3:], strict=False))
+    assert got[0] == got[1] == got[2] == got[-1] == got[-2] == []
