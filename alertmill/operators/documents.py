@@ -25,17 +25,23 @@ def pages(
     opening: str = "",
     closing: str = "",
     page_bytes: int = PAGE_BYTES,
+    most_bytes: int | None = None,
 ) -> DataFrame:
-    """``keys, page, body``: entries of a key in ``position`` order, joined page by page."""
+    """``keys, page, body``: entries of a key in ``position`` order, joined page by page.
+
+    ``most_bytes`` is what no document can exceed, separators included, if that is known: documents that fit one page
+    need no running sizes.
+    """
     entries = df.select(*keys, F.col(position).cast("bigint").alias("_at"), entry.alias("_entry"))
-    size = F.octet_length("_entry") + len(separator.encode())
-    placed = running_start(entries, keys, "_at", size, "_start")
-    placed = placed.withColumn("page", F.expr(f"_start div {page_bytes}"))
-    joined = placed.groupBy(*keys, "page").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_at", "_entry"))), lambda e: e.getField("_entry")), separator
-        ).alias("_body")
-    )
+    body = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_entry"))), lambda e: e.getField("_entry")), separator
+    ).alias("_body")
+    if most_bytes is not None and most_bytes < page_bytes:
+        joined = entries.groupBy(*keys).agg(body).withColumn("page", F.lit(0).cast("bigint"))
+    else:
+        size = F.octet_length("_entry") + len(separator.encode())
+        placed = running_start(entries, keys, "_at", size, "_start")
+        joined = placed.withColumn("page", F.expr(f"_start div {page_bytes}")).groupBy(*keys, "page").agg(body)
     return joined.select(*keys, "page", F.concat(F.lit(opening), "_body", F.lit(closing)).alias("body"))
 
 

@@ -9,8 +9,15 @@ from alertmill.operators.lists import ADD, KEY, OK, REMOVE, command_outcomes
 from alertmill.operators.ordered import previous_rows
 from alertmill.storage import materialize
 
-BINS = 1 << 12  # bins of the time from the first to the last moment, on the finest level
-STEP_BITS, LEVELS = 3, 5  # a bin of a level holds eight of the level below
+LEAST_BIN_BITS = 12  # bins of the time from the first to the last moment, on the finest level, as a power of two
+SPANS_PER_BIN = 16  # intervals for which there is a bin at least
+STEP_BITS = 3  # a bin of a level holds eight of the level below
+
+
+def bin_bits(n_spans: int) -> int:
+    """Bins as a power of two, in whole steps: a moment meets the intervals of its bin, so these must not grow with the log."""
+    wanted = max(0, n_spans // SPANS_PER_BIN).bit_length()
+    return max(LEAST_BIN_BITS, -(-wanted // STEP_BITS) * STEP_BITS)
 
 
 def item_history(commands: DataFrame, max_group_rows: int | None = None) -> DataFrame:
@@ -39,23 +46,25 @@ def items_at(moments: DataFrame, history: DataFrame) -> DataFrame:
 
     The time of the moments is cut into bins on several levels. An interval goes to the finest level on which it covers
     a few bins, a moment to its bin on every level, so rows meet by equality and none is copied more than
-    a fixed number of times, however long it is valid.
+    a few times, however long it is valid. The more intervals there are, the finer the bins.
     """
     span = moments.agg(F.min("at_us").alias("low"), F.max("at_us").alias("high")).first()
     low, high = span["low"] or 0, span["high"] or 0
-    width = (high - low) // BINS + 1
+    bits = bin_bits(history.count())
+    levels_of = bits // STEP_BITS + 1
+    width = (high - low) // (1 << bits) + 1
     bin_of = lambda us: F.expr(f"({us} - {low}L) div {width}L")
     end = F.least(F.coalesce("to_us", F.lit(high)), F.coalesce(F.unix_micros("expired_at"), F.lit(high)), F.lit(high))
     spans = history.withColumns({"_begin": F.greatest("from_us", F.lit(low)), "_end": end}).where("_begin <= _end")
     spans = spans.withColumns({"_first": bin_of("_begin"), "_last": bin_of("_end")})
     at_level = lambda c, k: F.shiftright(c, STEP_BITS * k)
     fits = lambda k: at_level("_last", k) - at_level("_first", k) <= 1 << STEP_BITS
-    level = F.coalesce(*[F.when(fits(k), F.lit(k)) for k in range(LEVELS)], F.lit(LEVELS - 1))
+    level = F.coalesce(*[F.when(fits(k), F.lit(k)) for k in range(levels_of)], F.lit(levels_of - 1))
     spans = spans.withColumn("_level", level)
     covered = F.expr(f"sequence(shiftright(_first, {STEP_BITS} * _level), shiftright(_last, {STEP_BITS} * _level))")
     spans = spans.withColumn("_bin", F.explode(covered)).drop("_begin", "_end", "_first", "_last")
 
-    levels = F.array(*[F.struct(F.lit(k).alias("_level"), at_level(bin_of("at_us"), k).alias("_bin")) for k in range(LEVELS)])
+    levels = F.array(*[F.struct(F.lit(k).alias("_level"), at_level(bin_of("at_us"), k).alias("_bin")) for k in range(levels_of)])
     asked = moments.select("list_name", "at_us", "at_seq").distinct().select("*", F.inline(levels))
     met = asked.join(spans, ["list_name", "_level", "_bin"])
     moment = F.struct(F.col("at_us").alias("us"), F.col("at_seq").alias("seq"))

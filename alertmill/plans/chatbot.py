@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.operators.chat import list_commands, parse_adds, parse_removes, parse_whois, route_commands
-from alertmill.operators.documents import list_line, reply_texts
+from alertmill.operators.documents import list_line, pages, reply_texts
 from alertmill.operators.grep import grep_outcomes
 from alertmill.operators.history import item_history, items_at, moment_of
-from alertmill.operators.lists import BAD_REQUEST, active_items, command_outcomes, fold_commands
+from alertmill.operators.lists import BAD_REQUEST, KEY, active_items, command_outcomes, fold_commands
 from alertmill.storage import materialize
 
 # Reply texts.
@@ -60,10 +60,14 @@ def list_replies_then(commands: DataFrame, list_names: list[str]) -> DataFrame:
     # Written once: the log and the questions are both read from it.
     commands = materialize(commands, "routed")
     asked = commands.where(F.col("command") == "ls").select("from", "list_name", *moment_of("ts", "update_id"))
-    live = items_at(asked, item_history(list_commands(commands, list_names)))
+    history = item_history(list_commands(commands, list_names))
+    line = F.rtrim(list_line(), F.lit("\n"))
+    # An item is in a list once at a time, so no reply is longer than the longest lines of all items of its list.
+    longest = history.groupBy(*KEY).agg((F.max(F.octet_length(line)) + 1).alias("n"))
+    most = longest.groupBy("list_name").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
     keys = ["list_name", "at_us", "at_seq"]
-    texts = reply_texts(live, keys, "id", F.rtrim(list_line(), F.lit("\n")))
-    return asked.join(texts, keys, "left").select("from", F.coalesce(F.concat("text", F.lit("\n")), F.lit("")).alias("text"))
+    texts = pages(items_at(asked, history), keys, "id", line, most_bytes=most)
+    return asked.join(texts, keys, "left").select("from", F.coalesce(F.concat("body", F.lit("\n")), F.lit("")).alias("text"))
 
 
 def whois_replies(commands: DataFrame, lines: DataFrame, position: str) -> DataFrame:

@@ -2,8 +2,10 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from alertmill.operators.history import item_history, items_at
+from alertmill.operators.documents import pages
+from alertmill.operators.history import bin_bits, item_history, items_at, moment_of
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 LOG = "list_name string, id bigint, op string, pattern string, expired_at timestamp, ts timestamp, seq bigint"
@@ -58,3 +60,23 @@ def test_nothing_asked_and_no_commands(spark):
     history = item_history(spark.createDataFrame([], LOG))
     assert items_at(moments, history).collect() == []
     assert items_at(spark.createDataFrame([("a", 5, 5)], moments.schema), history).collect() == []
+
+
+def test_bins_follow_the_intervals(spark, monkeypatch):
+    assert bin_bits(0) == bin_bits(60_000) == 12 and bin_bits(800_000) == 18 and bin_bits(30_000_000) == 21
+    commands = [("l", k % 7, "add" if k % 3 else "rm", f"p{k % 7}" if k % 3 else None, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=37 * k), k) for k in range(400)]
+    log = spark.createDataFrame(commands, "list_name string, id bigint, op string, pattern string, ts timestamp, seq bigint").withColumn("expired_at", F.lit(None).cast("timestamp"))
+    asked = log.where("seq % 5 = 0").select("list_name", *moment_of("ts", "seq"))
+    past = item_history(log)
+    want = sorted(items_at(asked, past).collect())
+    monkeypatch.setattr("alertmill.operators.history.bin_bits", lambda n: 15)
+    assert sorted(items_at(asked, past).collect()) == want and len(want) > 100
+
+
+def test_documents_known_to_be_short_need_no_running_sizes(spark):
+    rows = spark.createDataFrame([(k % 3, k, f"line {k}") for k in range(50)], "key int, at bigint, line string")
+    whole = pages(rows, ["key"], "at", F.col("line"))
+    short = pages(rows, ["key"], "at", F.col("line"), most_bytes=1000)
+    assert sorted(short.collect()) == sorted(whole.collect()) and short.columns == whole.columns
+    assert "Window" in whole._jdf.queryExecution().toString() and "Window" not in short._jdf.queryExecution().toString()
+    assert pages(rows, ["key"], "at", F.col("line"), page_bytes=64, most_bytes=1000).count() > 3
