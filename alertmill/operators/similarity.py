@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertmill.functions.distance import similar_to_any
 from alertmill.operators.ordered import MAX_GROUP_ROWS, largest_group, previous_rows
 
 # Fixed values.
@@ -111,9 +112,7 @@ def is_new(ring: Column | str, text: Column | str, threshold: int = THRESHOLD, o
     """
     ring = F.col(ring) if isinstance(ring, str) else ring
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    # The bounded distance is -1 beyond the bound and stops early. The newest
-    # sample is the likeliest to be similar and comes first.
-    similar = F.exists(F.reverse(ring), lambda r: F.levenshtein(r, text, threshold - 1) >= 0)
+    similar = similar_to_any(text, ring, threshold - 1)
     if on_empty == "suppress":
         return (F.size(ring) > 0) & ~similar
     if on_empty == "send":

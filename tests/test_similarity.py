@@ -1,11 +1,13 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from alertmill.functions.distance import near_any, similar_to_any
 from alertmill.operators.similarity import is_new, min_distance, suppress_near_duplicates, with_ring
 
 T0 = dt.datetime(2024, 1, 1)
@@ -135,3 +137,29 @@ def test_rows_without_time_are_alike_in_every_mode(spark):
     df = spark.createDataFrame(rows, "id bigint, ts timestamp, payload string")
     got = [sorted(r.id for r in suppress_near_duplicates(df, on_empty="send", mode=m).collect()) for m in ("global", "tiled", "blocks")]
     assert got[0] == got[1] == got[2] == [1, 2, 3]
+
+
+def test_similar_to_any_is_exact(spark):
+    rnd = random.Random(4)
+    rows = []
+    for k in range(300):
+        text = "".join(rnd.choice("abc{}") for _ in range(rnd.choice([0, 1, 5, 63, 64, 65, 127, 129, 200, 300])))
+        ring = []
+        for _ in range(rnd.randrange(6)):
+            other = list(text)
+            for _ in range(rnd.randrange(24)):
+                at = rnd.randrange(len(other) + 1)
+                other[at : at + rnd.randrange(2)] = rnd.choice(["", "a", "b", "c", "é" if k % 9 == 0 else "d"])
+            ring.append("".join(other))
+        rows.append((k, None if k == 7 else text, None if k == 8 else ring))
+    df = spark.createDataFrame(rows, "id int, t string, ring array<string>").repartition(3)
+    for limit in (0, 3, 13):
+        want = F.exists("ring", lambda r: F.levenshtein(r, F.coalesce("t", F.lit("")), limit) >= 0)
+        found = df.select("id", want.alias("w"), similar_to_any(F.coalesce("t", F.lit("")), F.col("ring"), limit).alias("g")).collect()
+        assert [r.id for r in found if r.w != r.g] == [] and 20 < sum(bool(r.w) for r in found) < 280
+
+
+def test_short_ascii_texts_are_compared_in_batches():
+    texts = pa.array(["kernel panic", "kernel panic", "", "x" * 100, "é", None])
+    rings = pa.array([["kernel pAnic!"], ["disk full", "network"], ["a"], ["x" * 98 + "yy", "z"], ["e"], ["a"]])
+    assert near_any(texts, rings, 2).to_pylist() == [True, False, True, True, None, None]
