@@ -1,9 +1,10 @@
 """Exact top-k search by BM25 over inverted index shards with block-max pruning.
 
 Every shard is an inverted index of some thousand documents. Statistics are those of all documents, so scores
-of different shards compare, and the best of all shards are the best of all. In a shard the greatest possible
-score of a block of documents is the sum of its terms' greatest impacts there; blocks are scored from the most
-promising one on until no other can reach the k-th best score.
+of different shards compare, and the best of all shards are the best of all. In a shard the postings of a query's
+rarer terms are added up; for its frequent terms every small block of documents of like length has the sum of their
+greatest impacts there. Only documents whose sum and block together can reach the k-th best score are scored. That
+score is looked for in some of the shards first, so the others start from it.
 """
 
 from __future__ import annotations
@@ -21,8 +22,13 @@ from alertmill.storage import materialize
 
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_WORDS = 8192, 4_000_000  # a shard is closed when it has so many documents or words
-BLOCK_DOCS = 64
-QUERY_TERMS = 500_000  # terms of the queries that are sent to the shards at once
+BLOCK_DOCS = 4
+FREQUENT_SHARE, FREQUENT_TERMS = 0.06, 1024  # a term in more of a shard's documents is met by blocks; so many at most
+QUERY_TERMS = 2_000_000  # terms of the queries that are sent to the shards at once
+QUERY_BATCH = 64  # queries whose block bounds are taken at once
+FIRST_SHARDS = 8  # one shard in so many is searched first
+_SLACK = 1e-9  # sums in another order differ by less
+_NEAR_SLACK = 1e-4  # and so do those of single precision
 SHARD = "terms binary, ends binary, docs binary, counts binary, doc_ids binary, lengths binary"
 _SHARD_NAMES = ["terms", "ends", "docs", "counts", "doc_ids", "lengths"]
 
@@ -49,10 +55,15 @@ def index_shards(docs: DataFrame) -> DataFrame:
 
         def closed() -> pa.RecordBatch:
             doc, term, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            own, length = np.concatenate(ids), np.concatenate(lengths)
+            by_length = np.argsort(length, kind="stable")
+            place = np.empty(len(own), dtype=np.int64)
+            place[by_length] = np.arange(len(own))
+            doc = place[doc]
             order = np.lexsort((doc, term))
             doc, term, count = doc[order], term[order], count[order]
             first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-            parts = [term[first].astype("<u8"), np.r_[first[1:], len(term)].astype("<i4")[: len(first)], doc.astype("<i4"), count.astype("<i4"), np.concatenate(ids).astype("<i8"), np.concatenate(lengths).astype("<i4")]
+            parts = [term[first].astype("<u8"), np.r_[first[1:], len(term)].astype("<i4")[: len(first)], doc.astype("<i4"), count.astype("<i4"), own[by_length].astype("<i8"), length[by_length].astype("<i4")]
             return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=_SHARD_NAMES)
 
         for batch in batches:
@@ -99,55 +110,93 @@ class Shard:
     def __init__(self, row: dict, average: float):
         self.terms = np.frombuffer(row["terms"], "<u8")
         ends = np.frombuffer(row["ends"], "<i4").astype(np.int64)
+        self.size = np.diff(np.r_[0, ends])
+        self.start = ends - self.size
         self.docs = np.frombuffer(row["docs"], "<i4").astype(np.int64)
-        counts = np.frombuffer(row["counts"], "<i4").astype(np.float64)
+        counts = np.frombuffer(row["counts"], "<i4")
         self.doc_ids = np.frombuffer(row["doc_ids"], "<i8")
+        self.n_docs, self.n_blocks = len(self.doc_ids), -(-len(self.doc_ids) // BLOCK_DOCS)
         length = np.frombuffer(row["lengths"], "<i4") / max(average, 1e-9)
-        self.impacts = counts * (K1 + 1) / (counts + K1 * (1 - B + B * length[self.docs]))
-        # postings of one term and block lie together: an entry
-        block = self.docs // BLOCK_DOCS
-        edge = np.ones(len(block), dtype=bool)
-        edge[1:] = block[1:] != block[:-1]
-        edge[ends[:-1]] = True
-        self.entry_from = np.flatnonzero(edge)
-        self.entry_size = np.diff(np.r_[self.entry_from, len(block)])
-        self.entry_block = block[self.entry_from]
-        self.entry_most = np.maximum.reduceat(self.impacts, self.entry_from) if len(block) else np.zeros(0)
-        self.term_from = np.searchsorted(self.entry_from, np.r_[0, ends])
-        self.n_blocks = -(-len(self.doc_ids) // BLOCK_DOCS)
-
-    def best(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best documents with any of the terms, by score and then id."""
+        self.impacts = counts * (K1 + 1) / (counts + (K1 * (1 - B + B * length))[self.docs])
+        # the same postings by document: places, and the term of each
+        self.by_doc = np.argsort(self.docs.astype(np.uint16) if self.n_docs < 1 << 16 else self.docs, kind="stable").astype(np.int32)
+        self.term_by_doc = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.size)[self.by_doc]
+        self.doc_size = np.bincount(self.docs, minlength=self.n_docs)
+        self.doc_start = np.cumsum(self.doc_size) - self.doc_size
+
+    def weigh(self, terms: np.ndarray, weights: np.ndarray) -> None:
+        """Take the weights of all terms that queries ask for."""
         at = np.searchsorted(self.terms, terms)
         known = at < len(self.terms)
         known[known] = self.terms[at[known]] == terms[known]
-        at, weights = at[known], weights[known]
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not len(at):
-            return none
-        entry, own = _ranges(self.term_from[at], self.term_from[at + 1] - self.term_from[at])
-        weight = weights[own]
-        bound = np.bincount(self.entry_block[entry], weights=weight * self.entry_most[entry], minlength=self.n_blocks) * (1 + 1e-9)
-        order = np.argsort(-bound, kind="stable")
-        ids, scores, least = *none, 0.0
-        done, step = 0, 8
-        while done < len(order) and bound[order[done]] > 0 and bound[order[done]] >= least:
-            chosen = np.zeros(self.n_blocks, dtype=bool)
-            now = order[done : done + step]
-            chosen[now[bound[now] >= least]] = True
-            pick = chosen[self.entry_block[entry]]
-            posting, of = _ranges(self.entry_from[entry[pick]], self.entry_size[entry[pick]])
-            total = np.bincount(self.docs[posting], weights=weight[pick][of] * self.impacts[posting], minlength=len(self.doc_ids))
-            found = np.flatnonzero(total > 0)
-            if len(ids) == k:
-                found = found[total[found] >= least]
-            ids, scores = np.r_[ids, self.doc_ids[found]], np.r_[scores, total[found]]
-            top = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[top], scores[top]
-            if len(ids) == k:
-                least = scores[-1]
-            done, step = done + len(now), step * 2
-        return ids, scores
+        self.place = np.where(known, at, -1)
+        weight = np.zeros(len(self.terms))
+        weight[at[known]] = weights[known]
+        self.gains = self.impacts * np.repeat(weight, self.size)
+        often = np.flatnonzero((weight > 0) & (self.size > FREQUENT_SHARE * self.n_docs))
+        often = np.sort(often[np.argsort(-self.size[often], kind="stable")[:FREQUENT_TERMS]])
+        self.frequent = np.full(len(self.terms), -1)
+        self.frequent[often] = np.arange(len(often))
+        # of frequent terms: gains in every document, and the greatest of every block
+        posting, of = _ranges(self.start[often], self.size[often])
+        self.near = np.zeros((self.n_docs, len(often)), dtype=np.float32)
+        self.near[self.docs[posting], of] = self.gains[posting]
+        self.most = np.zeros(len(often) * self.n_blocks)
+        key = of * self.n_blocks + self.docs[posting] // BLOCK_DOCS
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        if len(first):
+            self.most[key[first]] = np.maximum.reduceat(self.gains[posting], first)
+        self.most = self.most.reshape(len(often), self.n_blocks)
+
+    def best(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best documents with any of the terms, by score and then id."""
+        self.weigh(terms, weights)
+        return next(self.search([np.arange(len(terms))], np.zeros(1), k))
+
+    def search(self, queries: list[np.ndarray], least: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of the k best documents of each query that reach its ``least`` score, by score and then id.
+
+        A query is the places of its terms among those that were weighed.
+        """
+        wanted = np.zeros(len(self.terms), dtype=bool)
+        for begin in range(0, len(queries), QUERY_BATCH):
+            asked = [self.place[q] for q in queries[begin : begin + QUERY_BATCH]]
+            asked = [at[at >= 0] for at in asked]
+            often = np.zeros((len(asked), len(self.most)))
+            for row, at in enumerate(asked):
+                frequent = self.frequent[at]
+                often[row, frequent[frequent >= 0]] = 1
+            bounds = often @ self.most
+            for row, at in enumerate(asked):
+                wanted[at] = True
+                yield self._best(at, often[row], bounds[row], wanted, float(least[begin + row]), k)
+                wanted[at] = False
+
+    def _best(self, at: np.ndarray, often: np.ndarray, blocks: np.ndarray, wanted: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        rare = at[self.frequent[at] < 0]
+        posting, _ = _ranges(self.start[rare], self.size[rare])
+        sums = np.bincount(self.docs[posting], weights=self.gains[posting], minlength=self.n_docs)
+        bound = (sums + np.repeat(blocks, BLOCK_DOCS)[: self.n_docs]) * (1 + _SLACK)
+        unknown = least <= 0 and len(bound) > k
+        if unknown:
+            least = self._scores(np.argpartition(sums, -k)[-k:], wanted).min()
+        found = np.flatnonzero((bound >= least) & (bound > 0))
+        frequent = often.astype(np.float32)
+        rest = (self.near @ frequent)[found] if len(found) * 4 > self.n_docs else self.near[found] @ frequent
+        if unknown and len(found) > k:
+            least = max(least, self._scores(found[np.argpartition(sums[found] + rest, -k)[-k:]], wanted).min())
+        found = found[sums[found] * (1 + _SLACK) + rest * (1 + _NEAR_SLACK) >= least]
+        scores = self._scores(found, wanted)
+        reached = (scores >= least) & (scores > 0)
+        ids, scores = self.doc_ids[found[reached]], scores[reached]
+        top = np.lexsort((ids, -scores))[:k]
+        return ids[top], scores[top]
+
+    def _scores(self, found: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Scores of some documents; those of equal texts are equal to the last bit, as terms are added in one order."""
+        posting, of = _ranges(self.doc_start[found], self.doc_size[found])
+        kept = wanted[self.term_by_doc[posting]]
+        return np.bincount(of[kept], weights=self.gains[self.by_doc[posting[kept]]], minlength=len(found))
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,13 +220,18 @@ def top_documents(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     asked = materialize(asked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("terms")), "queries")
     n_terms = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = max(1, math.ceil(n_terms / QUERY_TERMS))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     found = None
     for block in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        one = _search(shards, part, n_words / max(1, n_docs), k)
+        one, sent = _search(shards, part, n_words / max(1, n_docs), k)
+        one = one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        if blocks > 1:  # the next block's queries take the place of these
+            one = materialize(one, "found")
+            for held in sent:
+                held.destroy()
         found = one if found is None else found.unionByName(one)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return found
 
 
 def _total_words(shards: DataFrame) -> int:
@@ -188,21 +242,38 @@ def _total_words(shards: DataFrame) -> int:
     return int(shards.select("lengths").mapInArrow(add, "n long").agg(F.sum("n")).first()[0] or 0)
 
 
-def _search(shards: DataFrame, queries: DataFrame, average: float, k: int) -> DataFrame:
-    rows = queries.collect()  # one block of bounded size
-    sent = shards.sparkSession.sparkContext.broadcast(
-        [(r["query_id"], np.array([t["term"] for t in r["terms"]], dtype=np.int64).view(np.uint64), np.array([t["weight"] for t in r["terms"]])) for r in rows]
-    )
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row, average)
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for query, terms, weights in sent.value:
-                    ids, scores = shard.best(terms, weights, k)
-                    out.append((np.full(len(ids), query, dtype=np.int64), ids, scores))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "doc_id", "score"])
-
-    return shards.mapInArrow(look, "query_id long, doc_id long, score double")
+def _search(shards: DataFrame, queries: DataFrame, average: float, k: int) -> tuple[DataFrame, list]:
+    """Best documents of a block of queries of bounded size, with the broadcasts that they are found by."""
+    rows = queries.select("query_id", F.col("terms.term").alias("term"), F.col("terms.weight").alias("weight")).toArrow()
+    ids, terms, weights = (rows.column(c).combine_chunks() for c in ("query_id", "term", "weight"))
+    ids, ends = ids.to_numpy(zero_copy_only=False), np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    names, first, place = np.unique(terms.flatten().to_numpy(zero_copy_only=False).view(np.uint64), return_index=True, return_inverse=True)
+    weight = weights.flatten().to_numpy(zero_copy_only=False)[first]
+    sent = shards.sparkSession.sparkContext.broadcast((ids, ends, place.astype(np.int32), names, weight))
+
+    held = [sent]
+
+    def searched(some: DataFrame, least: np.ndarray) -> DataFrame:
+        reach = shards.sparkSession.sparkContext.broadcast(least)
+        held.append(reach)
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, ends, place, names, weight = sent.value
+            asked = np.split(place, ends[:-1]) if len(ids) else []
+            for batch in batches:
+                for row in batch.to_pylist():
+                    shard = Shard(row, average)
+                    shard.weigh(names, weight)
+                    out = [(np.full(len(found), query, dtype=np.int64), found, scores) for query, (found, scores) in zip(ids, shard.search(asked, reach.value, k), strict=True)]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "doc_id", "score"])
+
+        return some.mapInArrow(look, "query_id long, doc_id long, score double")
+
+    is_first = F.pmod(F.xxhash64("doc_ids"), F.lit(FIRST_SHARDS)) == 0
+    begun = materialize(searched(shards.where(is_first), np.zeros(len(ids))), "begun")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    known = begun.withColumn("place", place).where(F.col("place") == k).select("query_id", "score").toArrow()
+    # what as many documents as are asked for reach already
+    reached = dict(zip(known.column("query_id").to_pylist(), known.column("score").to_pylist(), strict=True))
+    return begun.unionByName(searched(shards.where(~is_first), np.array([reached.get(q, 0.0) for q in ids.tolist()]))), held

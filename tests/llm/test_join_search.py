@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from alertmill.llm import bmw, partenum
 from alertmill.llm.bmw import top_documents
@@ -131,6 +132,41 @@ def test_pruning_skips_blocks_and_keeps_the_best(monkeypatch):
     assert ids.tolist() == np.lexsort((np.arange(200), -total))[:5].tolist() and np.allclose(scores, total[ids])
 
 
+def test_search_with_a_known_score_looks_at_few_documents(monkeypatch):
+    rnd = np.random.default_rng(4)
+    held = rnd.random((4000, 300)) < np.r_[np.full(40, 0.6), np.full(260, 0.02)]
+    terms, docs = np.nonzero(held.T)
+    counts = rnd.integers(1, 4, len(docs))
+    names, first = np.unique(terms, return_index=True)
+    lengths = np.bincount(docs, weights=counts, minlength=4000).astype("<i4")
+    row = {
+        "terms": names.astype("<u8").tobytes(), "ends": np.r_[first[1:], len(terms)].astype("<i4").tobytes(), "docs": docs.astype("<i4").tobytes(),
+        "counts": counts.astype("<i4").tobytes(), "doc_ids": np.arange(4000, dtype="<i8").tobytes(), "lengths": lengths.tobytes(),
+    }
+    shard, weights, scored = bmw.Shard(row, float(lengths.mean())), np.r_[np.full(40, 0.3), np.full(260, 4.0)], []
+    plain = bmw.Shard._scores
+    monkeypatch.setattr(bmw.Shard, "_scores", lambda self, found, wanted: scored.append(len(found)) or plain(self, found, wanted))
+    shard.weigh(names.astype(np.uint64), weights)
+    queries = [np.flatnonzero(held[k]) for k in range(0, 4000, 400)]
+    totals = [np.bincount(docs, weights=(weights * held[k])[terms] * shard.impacts, minlength=4000) for k in range(0, 4000, 400)]
+    least = np.array([np.sort(t)[-10] for t in totals]) * (1 - 1e-12)
+    for found, total in zip((list(shard.search(queries, x, 10)) for x in (np.zeros(10), least)), (totals, totals), strict=True):
+        for (ids, scores), t in zip(found, total, strict=True):
+            assert ids.tolist() == np.lexsort((np.arange(4000), -t.round(9)))[:10].tolist() and np.allclose(scores, t[ids])
+    assert sum(scored[-10:]) < 300  # of 40000
+
+
+@pytest.mark.parametrize("first_shards", [1, 2, 1 << 40])
+def test_shards_searched_first_do_not_change_the_best(spark, sample, monkeypatch, first_shards):
+    monkeypatch.setattr(bmw, "SHARD_DOCS", 10)
+    monkeypatch.setattr(bmw, "FIRST_SHARDS", first_shards)
+    docs = sample[:90] + [(7000 + k, sample[k % 3][1]) for k in range(30)]  # copies reach equal scores
+    rows = frame(spark, docs)
+    got = top_documents(rows, rows.where("doc_id % 50 = 0"), 10).collect()
+    queries = [d for d in docs if d[0] % 50 == 0]
+    assert sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in got) == search_brute(docs, queries, 10)
+
+
 def test_empty_tables(spark):
     assert jaccard_components(frame(spark, [])).collect() == []
     empty = frame(spark, [])
