@@ -10,19 +10,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.llm.textbytes import mixed, slices
+from alertmill.llm.tokens import forget_encoders
 
 SAMPLE_ROWS = 8_000  # labelled rows the model is fitted on at most
+WORK_BYTES = 1 << 18  # bytes of text whose n-grams are sorted at once; a longer text is taken alone
+HELD_ROWS = 64  # rows whose margins are taken at once while the curve is set
 FEATURE_BITS = 17  # n-grams share 2^17 places, so a model never has more weights
 GRAMS = (1, 2, 3)  # lengths of the byte n-grams
 MIX = 0.9  # how far the weights go from their mean size to the fitted ones (the rest is plain Naive Bayes)
 COST, ROUNDS, SMOOTHING = 30.0, 12, 1.0
 DAMPING = 1.0  # added to a row's squared length, so that a short text does not weigh like a long one
+PACKED_NAMES = ["doc_ids", "labels", "sizes", "places"]  # of all rows of a slice
 
 
 @dataclass
@@ -72,18 +75,18 @@ def dual_descent(places: list[np.ndarray], labels: np.ndarray, ratios: np.ndarra
     share = np.array([(labels == 0).mean(), (labels == 1).mean()])
     cost = COST * 0.5 / share[labels]
     scale = np.array([1.0 / np.sqrt(np.square(ratios[p]).sum() + DAMPING) for p in places])
-    values = [ratios[p] * s for p, s in zip(places, scale, strict=True)]
-    square = np.array([np.square(v).sum() + 1.0 for v in values])
+    square = np.array([np.square(ratios[p] * s).sum() + 1.0 for p, s in zip(places, scale, strict=True)])
     alpha, weights, bias = np.zeros(len(places)), np.zeros(len(ratios)), 0.0
     order = np.random.default_rng(seed)
     for _ in range(ROUNDS):
         moved = 0.0
         for k in order.permutation(len(places)):
-            slope = sign[k] * (weights[places[k]] @ values[k] + bias) - 1.0
+            own, value = places[k], ratios[places[k]] * scale[k]  # made again each time: all of them are twice the places
+            slope = sign[k] * (weights[own] @ value + bias) - 1.0
             new = min(max(alpha[k] - slope / square[k], 0.0), cost[k])
             step = (new - alpha[k]) * sign[k]
             if step:
-                weights[places[k]] += step * values[k]
+                weights[own] += step * value
                 bias += step
                 moved = max(moved, abs(step))
                 alpha[k] = new
@@ -132,10 +135,11 @@ def fit(places: list[np.ndarray], labels: np.ndarray) -> Model:
     weights, bias = dual_descent([places[k] for k in inside], labels[inside], ratios)
     mean = np.abs(weights).sum() / max(1, np.count_nonzero(weights))
     model = Model((1 - MIX) * mean + MIX * weights, ratios, MIX * bias, 1.0, 0.0)
-    held = [places[k] for k in np.flatnonzero(apart)]
-    rows = np.repeat(np.arange(len(held)), [len(p) for p in held])
-    margin = margins(rows, np.concatenate(held) if held else np.zeros(0, np.int64), len(held), model)
-    model.slope, model.shift = calibrate(margin, labels[apart])
+    held, margin = [places[k] for k in np.flatnonzero(apart)], [np.zeros(0)]
+    for first in range(0, len(held), HELD_ROWS):
+        some = held[first : first + HELD_ROWS]
+        margin.append(margins(np.repeat(np.arange(len(some)), [len(p) for p in some]), np.concatenate(some), len(some), model))
+    model.slope, model.shift = calibrate(np.concatenate(margin), labels[apart])
     return model
 
 
@@ -148,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     """Fit the model on at most ``sample_rows`` labelled documents that are not held out, chosen by a hash of their id.
 
     Null labels and ids are left out; several labels of one document count by their mean. The sample is bounded, so its
-    ids are broadcast and its indicators meet in one task.
+    ids are broadcast and its indicators meet in one task, packed by slices of texts.
     """
     wanted = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = wanted.groupBy("doc_id").agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
@@ -156,36 +160,50 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
-            for first, stop, data, offsets in slices(batch, "text"):
+            for first, stop, data, offsets in slices(batch, "text", WORK_BYTES):
                 rows, places = indicators(data, offsets)
-                edges = np.searchsorted(rows, np.arange(stop - first + 1))
-                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(places, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(stop - first), pa.int32()), batch.column("doc_id")[first:stop], batch.column("label")[first:stop], lists], names=["one", "doc_id", "label", "places"])
+                ids, of = (batch.column(c)[first:stop].to_numpy() for c in ("doc_id", "label"))
+                packed = [ids.astype("<i8"), of.astype("<i4"), np.bincount(rows, minlength=stop - first).astype("<i4"), places.astype("<i4")]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], names=PACKED_NAMES)
 
-    def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id")
-        model = fit([np.asarray(p, dtype=np.int32) for p in rows["places"]], rows["label"].to_numpy().astype(np.int64))
-        return pd.DataFrame({"weights": [model.weights.astype("<f8").tobytes()], "ratios": [model.ratios.astype("<f8").tobytes()], "rest": [[model.bias, model.slope, model.shift]]})
-
-    found = texts.mapInArrow(features, "one int, doc_id long, label int, places array<int>")
-    row = found.groupBy("one").applyInPandas(learn, "weights binary, ratios binary, rest array<double>").first()
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
+        ids, of, sizes, places = [], [], [], []
+        for batch in batches:
+            for held, column, kind in zip((ids, of, sizes, places), batch.columns, ("<i8", "<i4", "<i4", "<i4"), strict=True):
+                held.extend(np.frombuffer(x.as_buffer(), kind) for x in column)
+        if not ids:
+            return
+        rows = [p for size, all_of in zip(sizes, places, strict=True) for p in np.split(all_of, np.cumsum(size)[:-1])]
+        order = np.argsort(np.concatenate(ids), kind="stable")
+        model = fit([rows[k] for k in order], np.concatenate(of)[order].astype(np.int64))
+        yield pa.RecordBatch.from_pylist([{"weights": model.weights.astype("<f8").tobytes(), "ratios": model.ratios.astype("<f8").tobytes(), "rest": [float(x) for x in (model.bias, model.slope, model.shift)]}])
+
+    found = texts.mapInArrow(features, ", ".join(f"{name} binary" for name in PACKED_NAMES))
+    row = found.repartition(1).mapInArrow(learn, "weights binary, ratios binary, rest array<double>").first()
     if row is None:  # nothing is labelled
         flat = np.zeros(1 << FEATURE_BITS)
         return Model(flat, flat, 0.0, 0.0, 0.0)
     return Model(np.frombuffer(row["weights"]), np.frombuffer(row["ratios"]), *row["rest"])
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of every row and the score of its whole text (null: empty) from 0 to 1."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), inside: str | None = None) -> DataFrame:
+    """The ``keep`` columns of every row and the score of its whole text (null: empty) from 0 to 1.
+
+    The text may be a field of the struct ``inside``, one of ``keep``; then it is sent to the workers once.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    rows = docs.select(*keep, *(["text"] if "text" not in keep and not inside else []))
     fields = [rows.schema[k] for k in keep]
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         known = sent.value
         for batch in batches:
-            for first, stop, data, offsets in slices(batch, "text"):
+            text = batch.column(inside).field("text") if inside else batch.column("text")
+            for first, stop, data, offsets in slices(pa.RecordBatch.from_arrays([text], names=["text"]), "text", WORK_BYTES):
                 margin = margins(*indicators(data, offsets), stop - first, known)
                 points = _sigmoid(known.slope * margin + known.shift)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k)[first:stop] for k in keep), pa.array(points)], names=[*keep, "score"])

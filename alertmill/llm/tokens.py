@@ -154,3 +154,8 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file."""
     return Encoder(path)
+
+
+def forget_encoders() -> None:
+    """Give up the encoders of this worker process, when it goes on with work of another kind."""
+    encoder.cache_clear()

@@ -15,6 +15,8 @@ _REQUIRED = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Texts go to the Python workers in batches of some megabytes, which executor and worker both hold.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = nbsvm.train(docs, prepare(spark).read.parquet(f"{sf_dir}/labels.parquet"))
     if not model.weights.any():
         return docs
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return nbsvm.score(rows, model, keep=("_row",)).where(F.col("score") >= QUALITY_THRESHOLD).select("_row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    return nbsvm.score(rows, model, keep=("_row",), inside="_row").where(F.col("score") >= QUALITY_THRESHOLD).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 import hashlib
+import os
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from alertmill.llm import fm_index, nbsvm, pii
+from alertmill.llm import fm_index, nbsvm, packing, pii, tokens
 from alertmill.llm.fm_index import find_contamination
 
 from .conftest import ALNUM, frame, lower
@@ -90,6 +93,46 @@ def test_classifier_on_odd_tables(spark, odd):
     assert nbsvm.classify(frame(spark, []), none).collect() == []
 
 
+def test_classifier_keeps_little_beside_the_places():
+    rnd = np.random.default_rng(3)
+    places = [np.sort(rnd.choice(1 << nbsvm.FEATURE_BITS, 4000, replace=False)).astype(np.int32) for _ in range(2500)]
+    tracemalloc.start()
+    model = nbsvm.fit(places, np.arange(2500) % 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.weights.any() and most < 0.5 * sum(p.nbytes for p in places)
+
+
+def test_scores_do_not_depend_on_slices_or_on_where_the_text_lies(spark, sample, odd, monkeypatch):
+    docs = frame(spark, sample[:60] + odd)
+    model = nbsvm.train(docs, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int"))
+    want = sorted((str(r.doc_id), r.score) for r in nbsvm.score(docs.select("doc_id", "text"), model).collect())
+    monkeypatch.setattr(nbsvm, "WORK_BYTES", 1 << 10)
+    rows = nbsvm.score(docs.select(F.struct("doc_id", "text").alias("_row")), model, keep=("_row",), inside="_row").collect()
+    assert model.weights.any() and sorted((str(r["_row"].doc_id), r.score) for r in rows) == want
+
+
+def test_classifier_gives_encoders_up(spark):
+    flat = np.zeros(1 << nbsvm.FEATURE_BITS)
+    model, path = nbsvm.Model(flat, flat, 0.0, 1.0, 0.0), tokens.byte_bpe_path()
+
+    def load(batches):
+        for batch in batches:
+            tokens.encoder(path)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("id"), "text": ["x"] * len(batch)})
+
+    def kept(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "n": [tokens.encoder.cache_info().currsize]})
+
+    loaded = spark.range(4, numPartitions=1).mapInArrow(load, "doc_id long, text string").collect()
+    docs = spark.createDataFrame(loaded).coalesce(1)
+    for _ in range(8):  # idle workers take turns
+        nbsvm.score(docs, model).collect()
+    rows = [r for _ in range(8) for r in spark.range(1, numPartitions=1).mapInArrow(kept, "pid long, n long").collect()]
+    assert len(loaded) == 4 and all(r.n == 0 for r in rows)
+
+
 FORMATS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
