@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from alertmill.llm.textbytes import LOWER, WORD_ALNUM, Sums, mixed, slices, word_hashes, words
+from alertmill.llm.textbytes import LOWER, WORD_ALNUM, Sums, lean, mixed, slices, word_hashes, words
 
 PHRASE_BLOCK_BYTES = 4 << 20  # test texts searched for at once, and so sent to every task
 SAMPLE_STEP = 8
@@ -240,7 +240,7 @@ def _search(docs: DataFrame, phrases: Phrases) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, _FOUND_TYPES, strict=True)], names=_FOUND_NAMES)
 
-    return docs.mapInArrow(search, FOUND)
+    return docs.mapInArrow(lean(search), FOUND)
 
 
 def _blocks(benchmark: DataFrame) -> int:
@@ -273,7 +273,7 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 1
                 kept = (n_hit == 0) | (n_hit * share < n_words)
                 yield pa.RecordBatch.from_arrays([batch.column("_row")[first:stop].filter(pa.array(kept))], names=["_row"])
 
-    return rows.mapInArrow(clean, StructType([rows.schema["_row"]])).select("_row.*")
+    return rows.mapInArrow(lean(clean), StructType([rows.schema["_row"]])).select("_row.*")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13, share: int = 20, text_key: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.llm.textbytes import mixed, slices
+from alertmill.llm.textbytes import lean, mixed, slices
 from alertmill.llm.tokens import forget_encoders
 
 SAMPLE_ROWS = 8_000  # labelled rows the model is fitted on at most
@@ -181,8 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
         model = fit([rows[k] for k in order], np.concatenate(of)[order].astype(np.int64))
         yield pa.RecordBatch.from_pylist([{"weights": model.weights.astype("<f8").tobytes(), "ratios": model.ratios.astype("<f8").tobytes(), "rest": [float(x) for x in (model.bias, model.slope, model.shift)]}])
 
-    found = texts.mapInArrow(features, ", ".join(f"{name} binary" for name in PACKED_NAMES))
-    row = found.repartition(1).mapInArrow(learn, "weights binary, ratios binary, rest array<double>").first()
+    found = texts.mapInArrow(lean(features), ", ".join(f"{name} binary" for name in PACKED_NAMES))
+    row = found.repartition(1).mapInArrow(lean(learn), "weights binary, ratios binary, rest array<double>").first()
     if row is None:  # nothing is labelled
         flat = np.zeros(1 << FEATURE_BITS)
         return Model(flat, flat, 0.0, 0.0, 0.0)
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), in
                 points = _sigmoid(known.slope * margin + known.shift)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k)[first:stop] for k in keep), pa.array(points)], names=[*keep, "score"])
 
-    return rows.mapInArrow(give, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"]))
+    return rows.mapInArrow(lean(give), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

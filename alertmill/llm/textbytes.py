@@ -6,7 +6,8 @@ words, hashes of any byte or word range from running sums, and anchors that depe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -42,6 +43,31 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
         row = stop
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return getattr(ctypes.CDLL(None), "malloc_trim", None)
+    except (OSError, TypeError):
+        return None
+
+
+def give_back() -> None:
+    """Return the memory that this process has freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, after which the worker gives back what it has freed: workers outlive tasks and stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 _known_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # the longest asked for so far, of each base
 
 

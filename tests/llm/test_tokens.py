@@ -1,10 +1,14 @@
+import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from alertmill.llm import dac, packing
+from alertmill.llm.textbytes import lean
 from alertmill.llm.tokens import byte_bpe_path, encoder
 from alertmill.storage import new_table_path
 
@@ -96,3 +100,44 @@ def test_token_files_come_back_in_order(spark, sample, odd, ids, monkeypatch):
 def test_empty_tables(spark):
     assert packing.pack_documents(frame(spark, []), byte_bpe_path()).collect() == []
     assert dac.token_table(frame(spark, []), byte_bpe_path()).collect() == []
+
+
+def test_packing_encodes_little_text_at_once(monkeypatch):
+    """A worker holds several times what it encodes at once."""
+    class Caught:
+        select = lambda self, *a: self
+        mapInArrow = lambda self, work, schema: work
+
+    class Counting:
+        seen = []
+
+        def encode(self, data, offsets):
+            self.seen.append((len(data), len(offsets) - 1))
+            return np.zeros(len(offsets) - 1, "<u4"), np.arange(len(offsets))
+
+    monkeypatch.setattr(packing, "encoder", lambda path: Counting())
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(packing.F, "col", lambda name: SimpleNamespace(alias=lambda other: None))
+    texts = ["x" * 10_000] * 100 + ["y" * 700_000, None]
+    work = packing.token_pieces(Caught(), "", 1024, 2)
+    rows = [r for b in work(iter([pa.RecordBatch.from_arrays([pa.array(range(102)), pa.array(texts)], names=["doc_id", "text"])])) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(102)) and sum(n for n, _ in Counting.seen) == 1_700_000
+    assert all(n <= 1 << 18 or texts == 1 for n, texts in Counting.seen)
+
+
+def test_a_worker_gives_back_what_it_has_freed():
+    def resident():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    def work(batches):
+        kept = []
+        for batch in batches:
+            held = [bytes(1000) for _ in range(100_000)]
+            kept.append(held[-1])  # at the end of what was taken, so that the C library does not give back the rest by itself
+            del held
+            yield batch
+
+    before = resident()
+    assert list(lean(work)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 40
