@@ -15,12 +15,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertmill.llm.repeats import NO_ID
 from alertmill.llm.scratch import Scratch
-from alertmill.llm.textbytes import LOWER, WORD_BY_SPACE, Sums, mixed, slices, word_hashes, words
+from alertmill.llm.textbytes import LOWER, WORD_BY_SPACE, Sums, lean, mixed, slices, word_hashes, words
 from alertmill.storage import materialize
 
 BAND_RATIO = 1.6  # greatest size of a band over that of the band before
@@ -28,11 +28,14 @@ BAND_RATIO = 1.6  # greatest size of a band over that of the band before
 # Their signatures cover a large part of the set, so that one frequent passage does not make short texts candidates.
 SMALL, SMALL_GROUP, SMALL_LEFT_OUT = 15, 6, 3
 SPARE = 0.25  # further partitions in proportion, so that sets need no signature for partitions with few elements
-CENTERS = 32  # members of a group compared with its later ones in the second round; each round takes so many times more
+CENTERS = 32  # members of a group compared with its later ones in the second round; the third takes this to the power of three
+FIRST_ROUNDS = 1  # rounds over the share; what they leave open is among all signatures
 FIRST_SHARE = 16  # of all signatures one in so many is looked at first: it joins most copies, so that the others stay out of pairs
 HELD_PAIRS = 200_000  # pairs a task remembers so that it names them once
 FINE_SKETCH = 300  # sets of up to so many elements have a sketch cell for every element, larger ones for every two
 WANTED_BITS = 24  # of the bitmap that picks texts before they are shuffled, so it has one size
+TASK_ROWS = 4096  # rows of the corpus for each task that writes a table, so that small ones are not dealt into hundreds of files
+HELD_LINKS = 100_000  # links that one task resolves; more are resolved by rounds over the whole table
 
 SIGNATURES = "signature long, set_a long"
 SIGNATURE_NAMES = ["signature", "set_a"]
@@ -195,7 +198,7 @@ def _set_rows(texts: DataFrame, n: int) -> DataFrame:
                 columns = [*own, pa.array(np.diff(bounds)), *digests, pa.array(made, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*TEXT_KEY, *SET_KEY, "sketch"])
 
-    return texts.mapInArrow(digest, ", ".join(f"{name} long" for name in [*TEXT_KEY, *SET_KEY]) + ", sketch binary")
+    return texts.mapInArrow(lean(digest), ", ".join(f"{name} long" for name in [*TEXT_KEY, *SET_KEY]) + ", sketch binary")
 
 
 def _signature_rows(texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -214,10 +217,16 @@ def _signature_rows(texts: DataFrame, n: int, percent: int) -> DataFrame:
                 if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(one[own[row]].view(np.int64))], names=SIGNATURE_NAMES)
 
-    return texts.select("text").mapInArrow(sign, SIGNATURES)
+    return texts.select("text").mapInArrow(lean(sign), SIGNATURES)
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _by_signature(rows: DataFrame, then: str, tasks: int | None) -> DataFrame:
+    """Rows with all those of a signature one after another in one task, ordered by ``then``; no more than ``tasks``."""
+    dealt = rows.repartition("signature").sortWithinPartitions("signature", then)
+    return dealt.coalesce(tasks) if tasks else dealt
+
+
+def _shared(rows: DataFrame, tasks: int | None) -> DataFrame:
     """Distinct rows of signatures that more than one set has, told by their neighbours in sorted order."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,11 +248,12 @@ def _shared(rows: DataFrame) -> DataFrame:
         if held is not None and before is not None and held.column(0)[0].as_py() == before:
             yield held
 
-    return rows.repartition("signature").sortWithinPartitions("signature", "set_a").mapInArrow(walk, SIGNATURES)
+    return _by_signature(rows, "set_a", tasks).mapInArrow(lean(walk), SIGNATURES)
 
 
-def _likely_pairs(groups: DataFrame, done: int, centers: int, percent: int) -> DataFrame:
-    """Pairs of members ``done`` to ``centers`` of every group with the later members of other components that sizes and sketches leave.
+def _likely_pairs(groups: DataFrame, done: int, centers: int, percent: int, tasks: int | None = None) -> DataFrame:
+    """Pairs (a, b) of members ``done`` to ``centers`` of every group with the later members of other components that sizes and
+    sketches leave, and the components of both (of_a, of_b).
 
     ``groups`` are (signature, class_id, size, component, sketch). Members are taken in a fixed order and streamed, so a
     group is never held, only its centers are; pairs that are ruled out are not emitted.
@@ -256,7 +266,7 @@ def _likely_pairs(groups: DataFrame, done: int, centers: int, percent: int) -> D
         for batch in batches:
             sig, own_class, size, component = (batch.column(k).to_numpy() for k in range(4))
             sketches = batch.column(4).to_pylist()
-            seen: set[tuple[int, int]] = set()
+            seen: dict[tuple[int, int], tuple[int, int]] = {}
             edges = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
             for begin, end in zip(edges.tolist(), [*edges[1:].tolist(), len(sig)], strict=True):
                 if sig[begin] != last:
@@ -269,21 +279,21 @@ def _likely_pairs(groups: DataFrame, done: int, centers: int, percent: int) -> D
                     open_ = after + np.flatnonzero(parts[after:] != of)
                     if len(open_):
                         hit = open_[may_link(drawn, other, many[open_], sizes[open_], percent)]
-                        seen.update((int(center), x) for x in ids[hit].tolist())
+                        seen.update(((int(center), x), (int(of), part)) for x, part in zip(ids[hit].tolist(), parts[hit].tolist(), strict=True))
                 own += [(ids[k - rank], sizes[k - rank], parts[k - rank], many[k - rank]) for k in fresh]
                 rank += end - begin
-            seen -= told
+            seen = {pair: of for pair, of in seen.items() if pair not in told}
             if seen:
-                told = told | seen if len(told) < HELD_PAIRS else seen
-                left, right = zip(*seen, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                told = told | seen.keys() if len(told) < HELD_PAIRS else set(seen)
+                both = zip(*(pair + of for pair, of in seen.items()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in both], names=["a", "b", "of_a", "of_b"])
 
     columns = ("signature", "class_id", "size", "component", "sketch")
-    return groups.select(*columns).repartition("signature").sortWithinPartitions("signature", "class_id").mapInArrow(pair, "a long, b long").distinct()
+    return _by_signature(groups.select(*columns), "class_id", tasks).mapInArrow(lean(pair), "a long, b long, of_a long, of_b long").distinct()
 
 
 def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets are similar enough."""
+    """Components (a, b) of the pairs whose whole sets are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[str, np.ndarray] = ("", np.zeros(0, np.uint64))
@@ -299,11 +309,11 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
                     other = value[bounds[k - first] : bounds[k - first + 1]]
                     both = len(np.intersect1d(kept[1], other, assume_unique=True))
                     links[k] = 100 * both >= percent * (len(kept[1]) + len(other) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(links)) for c in ("a", "b")], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(links)) for c in ("of_a", "of_b")], names=["a", "b"])
 
     two = texts.select(F.col("class_id").alias("b"), F.col("text").alias("text_b"))
     one = texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("of_a", "of_b", "text_a", "text_b").mapInArrow(lean(check), "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame, node: str = "class_id", component: str = "component") -> DataFrame:
@@ -337,12 +347,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     nothing; rows with equal sets are one class. A missing id counts as the smallest; rows without id or with a
     repeated one are told apart by their texts.
     """
-    sets, classes, linked = _linked(docs, n, percent)
+    sets, classes, linked, tasks = _linked(docs, n, percent)
     least = classes.join(linked, "class_id").groupBy("component").agg(F.min("doc_id").alias("least"))
     named = classes.join(linked.join(least, "component"), "class_id", "left")
     named = named.select(*SET_KEY, F.coalesce("least", "doc_id").alias("least"))
     found = sets.join(named, SET_KEY, "left")
-    return found.select(_id_of(F.col("doc_id")).alias("doc_id"), "n_shingles", _id_of(F.coalesce("least", "doc_id")).alias("component_id"))
+    found = found.select(_id_of(F.col("doc_id")).alias("doc_id"), "n_shingles", _id_of(F.coalesce("least", "doc_id")).alias("component_id"))
+    return found.coalesce(tasks)
 
 
 def one_of_each_component(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -350,70 +361,85 @@ def one_of_each_component(docs: DataFrame, n: int = 5, percent: int = 80) -> Dat
 
     Rows without words are components of their own; rows that repeat both id and text are one.
     """
-    sets, classes, linked = _linked(docs, n, percent)
+    sets, classes, linked, tasks = _linked(docs, n, percent)
     own = F.coalesce("component", "class_id").alias("component")
     first = classes.join(linked, "class_id", "left").groupBy(own).agg(F.min(F.struct(*TEXT_KEY)).alias("first"))
     kept = first.select("first.*").unionByName(sets.where("n_shingles = 0").select(*TEXT_KEY).distinct())
     rows = docs.select(F.struct(*docs.columns).alias("_row"), *[c.alias(name) for c, name in zip(_text_key(), TEXT_KEY, strict=True)])
-    return rows.join(kept, TEXT_KEY, "left_semi").dropDuplicates(TEXT_KEY).select("_row.*")
+    return rows.join(kept, TEXT_KEY, "left_semi").dropDuplicates(TEXT_KEY).select("_row.*").coalesce(tasks)
 
 
-def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sets of all rows, the classes of equal ones with their first text, and the components of the classes that links can join.
+def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Sets of all rows, the classes of equal ones with their first text, the components of the classes that links join, and how
+    many tasks write a table of that many rows.
 
     The key of a class is its 128-bit digest and size; class_id is a number given out for each key.
     """
     texts = _texts(docs)
     written = Scratch(docs.sparkSession)
     drawn = written.write(_set_rows(texts, n), "sets")
+    written.tasks = max(docs.sparkSession.sparkContext.defaultParallelism, drawn.count() // TASK_ROWS)
     first = drawn.where("n_shingles > 0").groupBy(*SET_KEY).agg(F.min(F.struct(*TEXT_KEY)).alias("first"), F.first("sketch").alias("sketch"))
     classes = written.write(first.select(*SET_KEY, "first.*", "sketch", F.monotonically_increasing_id().alias("class_id")), "classes")
     sets = written.write(drawn.drop("sketch"), "set-keys")
     written.drop(drawn)
-    return sets, classes.drop("sketch"), class_components(texts, classes, n, percent)
+    return sets, classes.drop("sketch"), class_components(texts, classes, n, percent, written.tasks), written.tasks
 
 
 def _id_of(value: Column) -> Column:
     return F.when(value != NO_ID, value)
 
 
-def class_components(texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """(class_id, component) of all classes that share a signature with another.
+def class_components(texts: DataFrame, classes: DataFrame, n: int, percent: int, tasks: int | None = None) -> DataFrame:
+    """(class_id, component) of all classes that links join with another; ``tasks`` at most write each table.
 
-    A share of the signatures is looked at first. Each round compares some members of every group of a signature
-    with its later members, unless links that are known already join them; a group is done when all its members are joined or
-    have been compared.
+    A share of the signatures is looked at first, for ``FIRST_ROUNDS``, and then all of them. Each round compares some members of
+    every group of a signature with its later members, unless links that are known already join them; a group is done when
+    all its members are joined or have been compared.
     """
-    written = Scratch(texts.sparkSession)
+    written = Scratch(texts.sparkSession, tasks)
     # classes that agree in half of the digest only both take its signatures
     member = classes.select("set_a", "class_id", F.col("n_shingles").cast("int").alias("size"))
-    groups = written.write(_shared(_signature_rows(texts, n, percent)).join(member, "set_a").select("signature", "class_id", "size"), "groups")
+    groups = written.write(_shared(_signature_rows(texts, n, percent), tasks).join(member, "set_a").select("signature", "class_id", "size"), "groups")
     written.release()
-    labels = written.write(groups.select("class_id").distinct().withColumn("component", F.col("class_id")), "labels")
+    labels: DataFrame | None = None
     share = F.pmod("signature", F.lit(FIRST_SHARE)) == 0
-    for part in (groups.where(share), groups.where(~share)):
-        done, upto, current = 0, 1, part
-        while True:
-            labelled = current.select("signature", "class_id", "size").join(labels, "class_id")
-            mixed_up = labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
-            open_groups = mixed_up.where(f"low < high AND members > {done + 1}").select("signature")
-            before, current = current, written.write(labelled.join(open_groups, "signature", "left_semi"), "open")
-            written.drop(before)
+    for part, rounds in ((groups.where(share), FIRST_ROUNDS), (groups, None)):
+        done, upto, current, turn = 0, 1, part, 0
+        while turn != rounds:
+            turn += 1
+            if labels is None and not done:  # each class is a component of its own, and every group has two
+                current = part.withColumn("component", F.col("class_id"))
+            else:
+                before, current = current, written.write(_open_groups(current, labels, done + 1), "open")
+                written.drop(before)
             if current.isEmpty():
                 break
-            likely = written.write(_likely_pairs(current.join(classes.select("class_id", "sketch"), "class_id"), done, upto, percent), "likely")
+            likely = written.write(_likely_pairs(current.join(classes.select("class_id", "sketch"), "class_id"), done, upto, percent, tasks), "likely")
             written.release()
-            chosen = _texts_of(likely, classes, texts, written)
-            links = written.write(_links(likely, chosen, n, percent), "links")
-            written.drop(chosen, likely)
-            if not links.isEmpty():
-                old, labels = labels, written.write(_relabelled(labels, links), "labels")
-                written.drop(old)
-            written.drop(links)
-            done, upto = upto, upto * CENTERS
+            if not likely.isEmpty():
+                chosen = _texts_of(likely, classes, texts, written)
+                links = written.write(_links(likely, chosen, n, percent), "links")
+                written.drop(chosen)
+                if not links.isEmpty():
+                    old, labels = labels, written.write(_relabelled(labels, links, written), "labels")
+                    written.drop(old)
+                written.drop(links)
+            written.drop(likely)
+            done, upto = upto, upto * CENTERS**turn
         written.drop(current)
     written.drop(groups)
-    return labels
+    return labels if labels is not None else texts.sparkSession.createDataFrame([], "class_id long, component long")
+
+
+def _open_groups(groups: DataFrame, labels: DataFrame | None, compared: int) -> DataFrame:
+    """Members, with their components, of the groups of more than ``compared`` members that are not all in one component."""
+    own = Window.partitionBy("signature")
+    named = groups.select("signature", "class_id", "size")
+    named = named.join(labels, "class_id", "left") if labels is not None else named.withColumn("component", F.lit(None).cast("long"))
+    named = named.withColumn("component", F.coalesce("component", "class_id"))
+    found = {"low": F.min("component").over(own), "high": F.max("component").over(own), "members": F.count(F.lit(1)).over(own)}
+    return named.withColumns(found).where(f"low < high AND members > {compared}").drop(*found)
 
 
 def _picked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -435,12 +461,6 @@ def _picked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.where(asked("text_a"))
 
 
-def _component_links(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of different components that the links join."""
-    of = lambda x: labels.select(F.col("class_id").alias(x), F.col("component").alias(f"of_{x}"))
-    return links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct()
-
-
 def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame, written: Scratch) -> DataFrame:
     """The first texts of the classes in ``pairs``, written once for both sides."""
     ids = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
@@ -450,9 +470,41 @@ def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame, written: S
     return found
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after all links: components of the labels that they join."""
-    joined = materialize(_component_links(labels, links), "joined")
-    nodes = joined.select(F.col("a").alias("class_id")).union(joined.select("b")).distinct()
-    found = components(nodes, joined, component="least").withColumnRenamed("class_id", "component")
-    return labels.join(found, "component", "left").select("class_id", F.coalesce("least", "component").alias("component"))
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links and the least node reachable from each."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    ends, label = at.reshape(2, len(a)), np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        for one in label[ends]:
+            np.minimum.at(new, one, label[ends].min(axis=0))
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _least_of(links: DataFrame, written: Scratch) -> DataFrame:
+    """(component, least) of all components that the links join.
+
+    Each task first reduces its own links to one for each node; while few are left, one task resolves them.
+    """
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches if batch.num_rows]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in least_reachable(*np.concatenate(held, axis=1))], names=["component", "least"])
+
+    if links.count() <= HELD_LINKS:
+        return written.write(links.coalesce(1).mapInArrow(lean(resolve), "component long, least long"), "joined")
+    joined = written.write(links.mapInArrow(lean(resolve), "component long, least long").select(F.col("component").alias("a"), F.col("least").alias("b")), "forests")
+    nodes = joined.select(F.col("a").alias("class_id")).distinct()
+    return components(nodes, joined, component="least").withColumnRenamed("class_id", "component")
+
+
+def _relabelled(labels: DataFrame | None, links: DataFrame, written: Scratch) -> DataFrame:
+    """Labels after all links between components; a class without a label is a component of its own."""
+    found = _least_of(links, written)
+    known = found.select(F.col("component").alias("class_id"), "component")
+    known = known if labels is None else known.unionByName(labels).distinct()
+    return known.join(found, "component", "left").select("class_id", F.coalesce("least", "component").alias("component"))

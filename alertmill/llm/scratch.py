@@ -13,16 +13,17 @@ class Scratch:
     """Writes intermediate tables and deletes those that are no longer read, so that disk follows the step at hand.
 
     A table may only be dropped when everything that was made from it is written itself: then a lost
-    executor needs the later tables only.
+    executor needs the later tables only. ``tasks`` is how many write a table at most.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, tasks: int | None = None):
         self.spark = spark
+        self.tasks = tasks
         self._paths: dict[int, tuple[DataFrame, str]] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = new_table_path(self.spark, name)
-        df.write.parquet(path)
+        (df.coalesce(self.tasks) if self.tasks else df).write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(table)] = (table, path)
         return table

@@ -8,6 +8,7 @@ import pytest
 from alertmill.llm import bmw, partenum
 from alertmill.llm.bmw import top_documents
 from alertmill.llm.partenum import jaccard_components
+from alertmill.llm.scratch import Scratch
 
 from .conftest import ALNUM, WORDS, frame, lower
 
@@ -206,3 +207,41 @@ def test_one_row_of_each_component(spark):
     assert {of[r.doc_id, r.text] for r in kept} == set(of.values())
     rank = lambda doc: -1 if doc is None else doc
     assert all(rank(r.doc_id) == min(rank(d) for (d, t), c in of.items() if c == of[r.doc_id, r.text]) for r in kept)
+
+
+def test_tables_of_a_small_corpus_are_written_by_few_tasks(spark, monkeypatch):
+    files, write = {}, Scratch.write
+
+    def counted(self, df, name):
+        table = write(self, df, name)
+        files[name] = max(files.get(name, 0), len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    settings = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    docs = near_copies()
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = jaccard_components(frame(spark, docs)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got), key=repr) == components_brute(docs)
+    assert len(files) > 5 and max(files.values()) <= spark.sparkContext.defaultParallelism, files
+
+
+def test_many_links_are_resolved_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "HELD_LINKS", 0)
+    docs = near_copies()
+    got = jaccard_components(frame(spark, docs)).collect()
+    assert sorted(map(tuple, got), key=repr) == components_brute(docs)
+
+
+def test_least_reachable_of_chains_and_rings():
+    rnd = np.random.default_rng(6)
+    chains = [rnd.permutation(400) + 1000 * k for k in range(5)]
+    a, b = np.concatenate([c[:-1] for c in chains] + [[9000, 9001, 9002]]), np.concatenate([c[1:] for c in chains] + [[9001, 9002, 9000]])
+    nodes, least = partenum.least_reachable(a, b)
+    assert nodes.tolist() == sorted({*a.tolist(), *b.tolist()}) and least.tolist() == [n // 1000 * 1000 for n in nodes.tolist()]
