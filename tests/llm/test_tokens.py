@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 import zlib
 from types import SimpleNamespace
 
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from alertmill.llm import dac, packing
+from alertmill.llm import dac, packing, tokens
 from alertmill.llm.textbytes import lean
 from alertmill.llm.tokens import byte_bpe_path, encoder
 from alertmill.storage import new_table_path
@@ -29,6 +30,33 @@ def test_encoder_equals_the_library(ids):
     assert [encoder(byte_bpe_path()).ids(t).tolist() for t in texts] == ids([(0, t) for t in texts])
 
 
+def test_encoder_equals_the_library_on_mixed_characters(monkeypatch):
+    """Plain words are split without the pattern; the words kept are merged and emptied in between."""
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 2000)
+    monkeypatch.setattr(tokens, "RECENT_WORDS", 30)
+    pieces = [*"abXY01 ,.-'<|>_\n\t\r", "  ", "é", "×", "÷", "ß", "ɏ", "ɐ", "¿", "日", "🙂", "'s", "<|endoftext|>", "\u0301", "\xa0", "\x7f"]
+    rng = np.random.default_rng(9)
+    own, whole = tokens.Encoder(byte_bpe_path()), Tokenizer.from_file(byte_bpe_path())
+    for _ in range(300):
+        texts = ["".join(rng.choice(pieces, n)) for n in rng.choice([0, 1, 2, 9, 40], 5)]
+        raw = [t.encode() for t in texts]
+        ids, at = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x.ids for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_learning_a_few_words_passes_over_a_few():
+    """What one slice of text takes does not grow with the words that the worker keeps."""
+    own = tokens.Encoder(byte_bpe_path())
+    own.ids(" ".join(f"w{''.join(chr(97 + int(d)) for d in str(k))}" for k in range(200_000)))
+    peaks = []
+    for k in range(9):
+        tracemalloc.start()
+        assert len(own.ids(f"new{'abcdefghi'[k]}qx words{'abcdefghi'[k]}qx"))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert sorted(peaks)[4] < 500_000
+
+
 def test_packing_loses_nothing_and_is_tight(spark, sample, odd, ids):
     docs = [d for d in sample + odd if d != (None, None)]
     rows = packing.pack_documents(frame(spark, docs), byte_bpe_path(), 1024, 2).collect()
