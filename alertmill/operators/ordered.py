@@ -130,19 +130,25 @@ def previous_rows(
 
 
 def running_start(
-    df: DataFrame, keys: list[str], position: str, size: Column, out: str, shift: int = 16
+    df: DataFrame, keys: list[str], position: str, size: Column, out: str, shift: int = 16, levels: int = 1
 ) -> DataFrame:
     """Add ``out``: the sum of ``size`` over the rows of the key at lower ``position``.
 
     ``position`` is a bigint, unique within the key. Sums run inside ranges of
     ``2**shift`` positions and then over the ranges, so no window holds a whole
-    key.
+    key. With more ``levels`` the sums over the ranges are made in the same way,
+    for a key with very many ranges.
     """
     sized = df.withColumn("_size", size).withColumn("_range", F.shiftright(position, shift))
     inner = Window.partitionBy(*keys, "_range").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = sized.groupBy(*keys, "_range").agg(F.sum("_size").alias("_total"))
-    totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(outer), F.lit(0))).drop("_total")
+    if levels > 1:
+        wider = totals.select(*keys, F.col("_range").alias("_position"), "_total")
+        wider = running_start(wider, keys, "_position", F.col("_total"), "_sum", shift, levels - 1)
+        totals = wider.select(*keys, F.col("_position").alias("_range"), F.col("_sum").alias("_before"))
+    else:
+        totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(outer), F.lit(0))).drop("_total")
     local = sized.withColumn("_inside", F.coalesce(F.sum("_size").over(inner), F.lit(0)))
     return (
         local.join(totals, [*keys, "_range"])

@@ -148,3 +148,27 @@ def test_long_reply_holds_all_lines(spark):
     r = grep_outcomes(lines, spark.createDataFrame([(1, "line")], "query_id int, pattern string"), "line_no").collect()
     assert [(x.n_lines, x.page) for x in r] == [(n, 0)]
     assert r[0].text == "\n".join(f"line {i}" for i in range(n))
+
+
+def test_grep_deals_out_the_pages_of_one_pattern(spark):
+    """No task holds the whole reply; pages, their order and what each asker gets stay as they were."""
+    rng = random.Random(5)
+    rows = [(i << 24 | k, rng.choice(["", "é" * rng.randrange(30), "x" * rng.randrange(200)])) for i in range(40) for k in range(rng.randrange(40))]
+    lines = spark.createDataFrame([*rows, (None, "xx")], "line_no bigint, value string").repartition(5)
+    asks = [(1, ""), (2, "x"), (3, ""), (4, "nothing"), (5, "("), (6, None), (7, "^$")]
+    queries = spark.createDataFrame(asks, "query_id int, pattern string")
+    out = grep_outcomes(lines, queries, "line_no", page_bytes=1000).withColumn("task", F.spark_partition_id())
+    got = [r.asDict() for r in out.collect()]
+    assert len({r["task"] for r in got if r["query_id"] == 1}) > 4
+    # of the lines one by one; a line without number is counted, but has no place in a text
+    rows.sort()
+    tests = {1: lambda v: True, 2: lambda v: "x" in v, 3: lambda v: True, 7: lambda v: v == ""}
+    want = [(4, "no_content", 0, 0, None), (5, "bad_request", 0, 0, None), (6, "bad_request", 0, 0, None)]
+    for query, match in tests.items():
+        found, texts, start = [v for _, v in rows if match(v)], {}, 0
+        for v in found:
+            texts.setdefault(start // 1000, []).append(v)
+            start += len(v.encode()) + 1
+        assert len(texts) > 1 or query == 7
+        want += [(query, "ok", len(found) + (query != 7), page, "\n".join(t)) for page, t in texts.items()]
+    assert sorted((r["query_id"], r["status"], r["n_lines"], r["page"], r["text"] or "") for r in got) == sorted((*w[:4], w[4] or "") for w in want)
