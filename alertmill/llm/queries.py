@@ -44,7 +44,7 @@ def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return bmw.top_documents(docs, docs.where(F.col("doc_id") % 50 == 0), k=10)
+    return bmw.top_documents(docs, docs.where(F.col("doc_id") % 50 == 0), k=10, alike="lang")
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

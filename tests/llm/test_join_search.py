@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from alertmill.llm import bmw, partenum
 from alertmill.llm.bmw import top_documents
@@ -157,6 +158,49 @@ def test_search_with_a_known_score_looks_at_few_documents(monkeypatch):
     assert sum(scored[-10:]) < 300  # of 40000
 
 
+def test_search_from_a_low_score_looks_at_few_documents(monkeypatch):
+    """A score that half the shard reaches says little; the k best of the shard are told apart before any is scored."""
+    rnd = np.random.default_rng(8)
+    held = rnd.random((3000, 400)) < np.r_[np.full(60, 0.5), np.full(340, 0.03)]
+    held[:, 399] = np.arange(3000) % 7 == 0
+    terms, docs = np.nonzero(held.T)
+    names, first = np.unique(terms, return_index=True)
+    lengths = np.maximum(held.sum(axis=1), 1).astype("<i4")
+    row = {
+        "terms": names.astype("<u8").tobytes(), "ends": np.r_[first[1:], len(terms)].astype("<i4").tobytes(), "docs": docs.astype("<i4").tobytes(),
+        "counts": np.ones(len(docs), dtype="<i4").tobytes(), "doc_ids": np.arange(3000, dtype="<i8").tobytes(), "lengths": lengths.tobytes(),
+    }
+    shard, weights, scored = bmw.Shard(row, float(lengths.mean())), np.r_[np.full(60, 0.5), np.full(340, 5.0)], []
+    shard.weigh(names.astype(np.uint64), weights)
+    plain = bmw.Shard._scores
+    monkeypatch.setattr(bmw.Shard, "_scores", lambda self, found, wanted: scored.append(len(found)) or plain(self, found, wanted))
+    queries = [*(np.flatnonzero(held[k]) for k in range(0, 3000, 300)), np.array([399]), np.zeros(0, dtype=np.int64)]
+    asked = [np.isin(np.arange(400), q) for q in queries]
+    totals = [np.bincount(docs, weights=(weights * a)[terms] * shard.impacts, minlength=3000) for a in asked]
+    least = np.array([*(np.median(t) for t in totals[:10]), 1.0, 1.0])
+    for (ids, scores), t in zip(shard.search(queries, least, 10), totals, strict=True):
+        best = np.lexsort((np.arange(3000), -t.round(9)))[:10]
+        assert ids.tolist() == best[t[best] >= 1.0].tolist() and np.allclose(scores, t[ids])
+    assert sum(scored) < 1000  # of 16000 that reach the score; only the query of one term has many equal ones
+    out_of_reach = np.array([t.max() * 1.01 for t in totals])
+    assert [len(ids) for ids, _ in shard.search(queries, out_of_reach, 10)] == [0] * 12
+
+
+def test_documents_that_are_alike_share_shards(spark, sample, monkeypatch):
+    """Shards by a column, of whatever size the rest of them has, hold every document once and give the same best."""
+    monkeypatch.setattr(bmw, "SHARD_DOCS", 20)
+    monkeypatch.setattr(bmw, "FIRST_SHARDS", 1)  # of 7 shards: all, in two rounds
+    docs = sample[:90] + [(7000 + k, sample[k % 3][1]) for k in range(30)]
+    rows = frame(spark, docs).withColumn("kind", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 2))
+    queries = [d for d in docs if d[0] % 50 == 0]
+    got = top_documents(rows, rows.where("doc_id % 50 = 0"), 10, alike="kind").collect()
+    assert sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in got) == search_brute(docs, queries, 10)
+    for shards in (bmw.index_shards(rows.coalesce(1)), bmw.index_shards(rows.repartition(3))):
+        sizes = [np.frombuffer(r.doc_ids, "<i8") for r in shards.collect()]
+        assert sorted(np.concatenate(sizes).tolist()) == sorted(d[0] for d in docs)
+        assert all(len(x) >= 10 for x in sizes)
+
+
 @pytest.mark.parametrize("first_shards", [1, 2, 1 << 40])
 def test_shards_searched_first_do_not_change_the_best(spark, sample, monkeypatch, first_shards):
     monkeypatch.setattr(bmw, "SHARD_DOCS", 10)
