@@ -27,7 +27,7 @@ LAST_SHARD = 0.5  # a smaller rest of a shard goes to the one before
 BLOCK_DOCS = 4
 FREQUENT_SHARE, FREQUENT_TERMS = 0.1, 1024  # a term in more of a shard's documents is met by blocks; so many at most
 QUERY_TERMS = 4_000_000  # terms of the queries that are sent to the shards at once
-QUERY_BATCH = 64  # queries that are looked up at once
+QUERY_BATCH = 128  # queries that are looked up at once
 FIRST_SHARDS = 8  # one shard in so many is searched first, of many shards one in its square before those
 FEW_SHARE = 0.05  # of a shard's documents, which are looked at one by one
 _SLACK = 1e-9  # sums in another order differ by less
@@ -221,45 +221,49 @@ class Shard:
         ``at`` are the terms of the queries ``of``, by query.
         """
         n = len(floors)
-        # what one document can reach at most by its terms
-        hopeless = (np.bincount(of, weights=self.greatest[at], minlength=n) * (1 + _NEAR_SLACK) < floors) | (np.bincount(of, minlength=n) == 0)
-        kept = ~hopeless[of]
-        of, at = of[kept], at[kept]
-        frequent = self.frequent[at]
-        often = np.zeros((n, len(self.most)), dtype=np.float32)
-        often[of[frequent >= 0], frequent[frequent >= 0]] = 1
-        live = np.flatnonzero(~hopeless)
-        bounds = np.zeros((n, self.n_blocks))
-        bounds[live] = (often[live] @ self.most) * np.float32(1 + _NEAR_SLACK)
-        of, at = of[frequent < 0], at[frequent < 0]
+        rare = self.frequent[at] < 0
+        greatest = self.greatest[at]
+        # what one document can reach at most by its terms, and by those of them that are frequent
+        most, most_often = np.bincount(of, weights=greatest, minlength=n), np.bincount(of[~rare], weights=greatest[~rare], minlength=n)
+        hopeless = (most * (1 + _NEAR_SLACK) < floors) | (most == 0)
+        frequent_of, frequent = of[~rare], self.frequent[at[~rare]]
+        of, at = of[rare], at[rare]
         size = self.size[at]
         first = np.searchsorted(of, np.arange(n + 1))
         before = np.r_[0, np.cumsum(size)]
         ends = before[first]
         shift = self.start[at] - before[:-1] + ends[of]  # from the number of a posting of a query to its place
-        most = int(np.diff(ends).max())
-        numbers, gains = np.arange(most), np.empty(most)
+        longest = int(np.diff(ends).max())
+        numbers, gains = np.arange(longest), np.empty(longest)
         sums: dict[int, np.ndarray] = {}
-        hits: dict[int, np.ndarray] = {}
-        for row in live.tolist():
+        for row in np.flatnonzero(~hopeless).tolist():
             a, b, m = first[row], first[row + 1], ends[row + 1] - ends[row]
+            if not m:
+                sums[row] = np.zeros(self.n_slots)
+                continue
             place = np.repeat(shift[a:b], size[a:b])
             place += numbers[:m]
             gain = np.take(self.packed, place, out=gains[:m], mode="clip")
             np.bitwise_and(gain.view(np.int64), self.slot_bits, out=place)
-            total = np.bincount(place, weights=gain, minlength=self.n_slots) if m else np.zeros(self.n_slots)
-            floor = float(floors[row])
-            if floor > 0:
-                hit = np.flatnonzero(total.reshape(BLOCK_DOCS, self.n_blocks) >= floor / (1 + self.slack) - bounds[row])
-                if len(hit) <= FEW_SHARE * self.n_slots:
-                    if len(hit):
-                        hits[row] = hit[_reaching(total[hit] + self.near[hit] @ often[row], floor, k)]
-                    continue
-            sums[row] = total
+            total = np.bincount(place, weights=gain, minlength=self.n_slots)
+            if (total.max() + most_often[row]) * (1 + _NEAR_SLACK) >= floors[row]:
+                sums[row] = total
+        often = np.zeros((n, len(self.most)), dtype=np.float32)
+        often[frequent_of, frequent] = 1
+        hits: dict[int, np.ndarray] = {}
+        many = [row for row in sums if floors[row] <= 0]
+        known = [row for row in sums if floors[row] > 0]
+        for row, bound in zip(known, (often[known] @ self.most).astype(np.float64), strict=True):
+            total, floor = sums[row], float(floors[row])
+            bound *= 1 + _NEAR_SLACK
+            hit = np.flatnonzero(total.reshape(BLOCK_DOCS, self.n_blocks) >= floor / (1 + self.slack) - bound)
+            if len(hit) > FEW_SHARE * self.n_slots:
+                many.append(row)
+            elif len(hit):
+                hits[row] = hit[_reaching(total[hit] + self.near[hit] @ often[row], floor, k)]
         # where blocks leave many documents, all of them are looked at, for all such queries at once
-        rest = often[list(sums)] @ self.near.T
-        for (row, total), more in zip(sums.items(), rest, strict=True):
-            hits[row] = _reaching(total + more, float(floors[row]), k)
+        for row, rest in zip(many, often[many] @ self.near.T, strict=True):
+            hits[row] = _reaching(sums[row] + rest, float(floors[row]), k)
         for row in range(n):
             hit = hits.get(row, _NO_IDS)
             yield hit if len(hit) else None
