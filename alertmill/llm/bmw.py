@@ -42,7 +42,9 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     data = LOWER[data]
     start, end, firsts = words(data, offsets, WORD_ALNUM)
     term, row = word_hashes(data, start, end), np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
-    order = np.lexsort((term, row))
+    order = np.argsort(term)
+    rows = row[order]
+    order = order[np.argsort(rows.astype(np.uint16) if len(offsets) <= 1 << 16 else rows, kind="stable")]  # few bits are sorted fast
     term, row = term[order], row[order]
     first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (row[1:] != row[:-1])]) if len(term) else np.zeros(0, np.int64)
     return row[first], term[first], np.diff(np.r_[first, len(term)]), np.diff(firsts)
